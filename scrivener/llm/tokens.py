@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import shared_root, text_of
 
 #: Words that an encoder remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: The split of byte-level BPE for the code points in _PLAIN, whose classes all Unicode versions agree on; longer ones go whole to the library.
@@ -50,10 +50,26 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, self._ask(new), strict=True))
+            self._learn([w for w in dict.fromkeys(words) if w not in known])
             return b"".join([known[w] for w in words])
 
+    def _learn(self, new: list[str]) -> None:
+        """Words of a blank and letters stay words when joined, so one call encodes them all."""
+        import numpy as np
+
+        alike = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        if alike:
+            got = self.library.encode("".join(alike), add_special_tokens=False)
+            ids, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
+            ends = [*np.flatnonzero(np.diff(word)) + 1, len(word)]
+            if len(ends) == len(alike):
+                begin = 0
+                for w, end in zip(alike, ends, strict=True):
+                    self.known[w] = ids[4 * begin : 4 * end]
+                    begin = end
+                new = [w for w in new if w not in self.known]
+        self.known.update(zip(new, self._ask(new), strict=True))
+
     def _ask(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
