@@ -67,7 +67,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[(\[{ ](?:at|AT)[)\]} ]")
 _NUMBERS = frozenset(" ().-/+")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[(\[{] ?(?:at|AT) ?[)\]}] ?| (?:at|AT) )[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| (?:dot|DOT) )[A-Za-z0-9-]+)+")
+_MARK = re.compile(r"@| ?[(\[{] ?(?:at|AT) ?[)\]}] ?| (?:at|AT) ")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| (?:dot|DOT) )[A-Za-z0-9-]+)+")
+_CUE = re.compile(r"\b(?:tel|phone|call|mobile|fax|cell)\b\W*$", re.I)
 
 
 def features(kind: int, span: str, before: str, after: str) -> list[str]:
@@ -93,7 +95,7 @@ def features(kind: int, span: str, before: str, after: str) -> list[str]:
     else:
         groups = [len(g) for g in re.findall("[0-9]+", span)]
         f += ["plus" if span[0] == "+" else "no_plus", "len" if 9 <= n <= 15 else "no_len", "area" if re.search(r"\([0-9]{2,5}\)", span) else "no_area"]
-        f += ["shape" if groups[-3:] == [3, 3, 4] or groups[-2:] == [3, 4] and "(" in span else "no_shape", "cue" if re.search(r"\b(tel|phone|call|mobile|fax|cell)\b\W*$", before, re.I) else "no_cue"]
+        f += ["shape" if groups[-3:] == [3, 3, 4] or groups[-2:] == [3, 4] and "(" in span else "no_shape", "cue" if _CUE.search(before) else "no_cue"]
         f += ["one_group" if len(groups) == 1 else "groups", "balanced" if span.count("(") == span.count(")") else "unbalanced", "date" if re.fullmatch(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}", span) else "no_date"]
         f += ["runs_on" if re.match(r"[-.]?[0-9]", after) or re.search(r"[0-9][-.]?$", before) else "alone"]
     return [f"{KINDS[kind]}:{x}" for x in f]
@@ -114,7 +116,11 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
-    """Token boundaries of the window widened by 64 characters, and its candidate segments (first token, end token, kind, features)."""
+    """Token boundaries of the window widened by 64 characters, and its candidate segments (first token, end token, kind, features).
+
+    Only spans that can be entities are candidates: addresses around an @ or its spelling; numbers of 7 to 15 digits after
+    +, ( or a word such as phone; 13 to 19 digits in groups of three or more; four dotted numbers.
+    """
     low, high = max(0, begin - 64), min(len(text), end + 64)
     tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
     edges = [t[0] for t in tokens] + [tokens[-1][1]] if tokens else [low]
@@ -125,31 +131,37 @@ def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[i
         b, e = edges[i], edges[j]
         out.append((i, j, kind, features(kind, text[b:e], text[max(0, b - 16) : b], text[e : e + 2])))
 
-    for m in _ADDRESS.finditer(text, low, high):
-        i, j = at_begin.get(m.start()), at_end.get(m.end())
-        if i is not None and j is not None and j - i <= MOST_TOKENS:
-            add(i, j, 0)
-    for i, (b, e) in enumerate(tokens):
+    free = low
+    for m in _MARK.finditer(text, low, high):
+        begin = m.start() - len(_LOCAL_BACK.match(text[free : m.start()][::-1])[0])
+        host = _HOST.match(text, m.end(), high)
+        if host and begin < m.start():
+            i, j = at_begin.get(begin), at_end.get(host.end())
+            if i is not None and j is not None and j - i <= MOST_TOKENS:
+                add(i, j, 0)
+        free = m.end()
+    for i, (b, _) in enumerate(tokens):
         first = text[b]
-        if not ("0" <= first <= "9" or first in "+("):
+        if "0" <= first <= "9":
+            phone, dotted = bool(_CUE.search(text, max(0, b - 16), b)), True
+        elif first in "+(":
+            phone, dotted = True, False
+        else:
             continue
-        count, j = 0, i
+        count, short, j = 0, False, i
         while j < len(tokens) and j - i < MOST_TOKENS and count <= 19:
             s = text[tokens[j][0] : tokens[j][1]]
             if "0" <= s[0] <= "9":
                 count += len(s)
+                short |= len(s) < 3
                 j += 1
-                if count > 19:
-                    break
-                if count >= 7 and (j == len(tokens) or text[tokens[j][0]] not in "0123456789"):
-                    if first == "+" or first == "(" or j > i:
-                        add(i, j, 3)
-                    if count >= 13 and "0" <= first <= "9":
-                        add(i, j, 2)
-                if "0" <= first <= "9" and j - i == 7 and count <= 12:
-                    if all(text[tokens[k][0]] == "." for k in (i + 1, i + 3, i + 5)):
-                        add(i, j, 1)
-            elif s in _NUMBERS and (j == i or s != " " or text[tokens[j - 1][0]] != " "):
+                if phone and 7 <= count <= 15:
+                    add(i, j, 3)
+                if dotted and 13 <= count <= 19 and not short:
+                    add(i, j, 2)
+                if dotted and j - i == 7 and all(text[tokens[k][0]] == "." for k in (i + 1, i + 3, i + 5)):
+                    add(i, j, 1)
+            elif s in _NUMBERS and (s != "+" or j == i) and (s != " " or text[tokens[j - 1][0]] != " "):
                 j += 1
             else:
                 break

@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .langid import fit, identify, training
 from .mixing import mix
 from .packing import pack_documents
+from .pii import find_pii
 from .quality import quality
 from .sharding import shard
 from .tokens import count_tokens, default_path, new_cache
+from .urls import judge_urls
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 16 << 20
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs.filter(training())))
+    return found.select("doc_id", (~training()).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts tokens with a cache that is empty at first, so that every distinct text is encoded."""
     return count_tokens(read(spark, sf_dir, "documents"), default_path(), new_cache(spark))
@@ -26,6 +36,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), default_path())
 
@@ -40,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_mixing, op8_packing, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op5_pii, op6_url_filters, op8_packing, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
