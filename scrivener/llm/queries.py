@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .langid import fit, identify, training
 from .mixing import mix
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import find_pii
 from .quality import quality
@@ -36,6 +37,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op5_pii, op6_url_filters, op8_packing, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mixing, op4_near_duplicates, op5_pii, op6_url_filters, op8_packing, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
