@@ -63,7 +63,7 @@ def mix(
     text_col: str = "text",
     weight: Column | None = None,
 ) -> DataFrame:
-    """One row for each input row: doc_id, size, source, source_size, target, taken (words, repeats counted).
+    """One row for each input row: doc_id, size, source, source_size, target, taken (words, repeats counted), times.
 
     taken is size times (whole epochs + 1 if sampled): the document at which the budget ends is taken if that brings the
     source nearer to its target. Null text: size 0. A null source is a source. Ties of keys go by id; repeated rows are
@@ -100,6 +100,15 @@ def mix(
     cols = ["doc_id", "source", "size", "picked"]
     picked = at_edge.select(cols).unionByName(away.select(cols))
     plan = plan.withColumnRenamed("source", "p_source")
-    return picked.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken")
-    )
+    times = F.col("epochs") + F.col("picked").cast("long")
+    return picked.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents as the mix holds them: each row as many times as it is taken, with all its columns.
+
+    Ids should be unique; rows that repeat an id all come as often as the one taken most.
+    """
+    plan = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times")).filter("_times > 0")
+    plan = materialize(plan, "mix-times")
+    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_id", "_times", "_nth")

@@ -203,13 +203,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id: the least id of the document's class, the connected component of exact copies and of links between documents
     whose sets of five-word shingles (lower-cased words) have a Jaccard similarity of 0.8 or more. copy_of: the least id
     with the same words. kept: doc_id = class_id. Integer ids identify documents: rows that repeat an id repeat its result.
-    Null, empty and blank texts are classes of their own. An empty table gives an empty result.
+    Null, empty and blank texts are classes of their own; so are rows without an id (class_id null, kept). An empty table
+    gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = materialize(texts.mapInPandas(_sketch(n_bands, rows), "doc_id long, key long, key2 long, size int, bands array<long>"), "sketches")
     same = ["key", "key2", "size"]  # 128 bits and the number of shingles
     reps = materialize(
-        sketched.filter("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
+        sketched.filter("size > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
     members = reps.select("rep", "size", F.explode("bands").alias("band"))
     # buckets of two or more, each with its hub: the least member
     buckets = materialize(members.groupBy("band").agg(F.min(F.struct("rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
@@ -242,13 +243,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     roots = materialize(components(links), "roots")
     classes = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "rep").alias("class_id")), "classes")
-    found = sketched.filter("size > 0").select("doc_id", *same).join(classes, same).select("doc_id", "class_id", F.col("rep").alias("copy_of"))
-    blank = sketched.filter("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
-    return found.unionByName(blank).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    found = sketched.filter("size > 0 and doc_id is not null").select("doc_id", *same).join(classes, same).select("doc_id", "class_id", F.col("rep").alias("copy_of"))
+    blank = sketched.filter("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
+    return found.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each class, with all their columns; of rows that repeat an id one stays."""
-    kept = materialize(near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
-    out = docs.join(kept.distinct(), F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates([id_col]) if kept.count() > kept.distinct().count() else out
+    kept = materialize(near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")), "kept")
+    distinct = materialize(kept.distinct(), "kept-ids")
+    out = docs.join(distinct, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    out = out.dropDuplicates([id_col]) if kept.count() > distinct.count() else out
+    return out.unionByName(docs.filter(F.col(id_col).isNull()))

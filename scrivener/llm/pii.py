@@ -344,7 +344,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every span of the text replaced by its kind, as <EMAIL>; null stays null."""
+    """The same rows and columns with every span of the text replaced by its kind, as <EMAIL>; null stays null.
+
+    A column n_chars, if there is one, becomes the length of the new text where the text changed.
+    """
     weights = train()
 
     def clean(text: str | None) -> str | None:
@@ -362,4 +365,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def replace(texts: pd.Series) -> pd.Series:
         return pd.Series([clean(t) for t in texts], dtype=object)
 
-    return docs.withColumn(text_col, replace(F.col(text_col)))
+    out = docs.withColumn("_clean", replace(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("_clean").eqNullSafe(F.col(text_col))
+        out = out.withColumn("n_chars", F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn(text_col, F.col("_clean")).drop("_clean")

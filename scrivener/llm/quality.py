@@ -65,32 +65,37 @@ transform(array(filter(split(_t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')), l ->
 """
 
 
+def _counted(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """The columns ``keep`` and the counts of every whole text."""
+    counted = docs.select(*keep, text_of(text_col).alias("_t")).select(
+        *keep,
+        F.expr(_WORDS).alias("_w"),
+        F.expr(_LINES).alias("_l"),
+        (F.length("_t") - F.length(F.translate("_t", BLANKS, ""))).alias("_blanks"),
+        F.length("_t").alias("_chars"),
+        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("_symbols"),
+        (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).alias("_capitals"),
+    )
+    long = lambda c, name: c.cast("long").alias(name)
+    counts = [
+        long(F.col("_w.n_words"), "n_words"),
+        long(F.col("_chars") - F.col("_blanks"), "word_chars"),
+        long(F.col("_symbols"), "n_symbols"),
+        long(F.col("_l.n_dup_lines"), "n_dup_lines"),
+        long(F.col("_w.n_repeat_words"), "n_repeat_words"),
+        long(F.col("_l.n_lines"), "n_lines"),
+        long(F.col("_capitals"), "n_capitals"),
+        long(F.col("_w.n_distinct"), "n_distinct"),
+    ]
+    return counted.select(*keep, *counts)
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every whole text; one row for each input row, null text as the empty text.
 
     A word belongs to n_repeat_words if it lies in a window of three words whose 64-bit hash occurs twice or more.
     """
-    counted = docs.select(F.col(id_col), text_of(text_col).alias("_t")).select(
-        id_col,
-        F.expr(_WORDS).alias("w"),
-        F.expr(_LINES).alias("l"),
-        (F.length("_t") - F.length(F.translate("_t", BLANKS, ""))).alias("blanks"),
-        F.length("_t").alias("chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("symbols"),
-        (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).alias("capitals"),
-    )
-    long = lambda c, name: c.cast("long").alias(name)
-    return counted.select(
-        id_col,
-        long(F.col("w.n_words"), "n_words"),
-        long(F.col("chars") - F.col("blanks"), "word_chars"),
-        long(F.col("symbols"), "n_symbols"),
-        long(F.col("l.n_dup_lines"), "n_dup_lines"),
-        long(F.col("w.n_repeat_words"), "n_repeat_words"),
-        long(F.col("l.n_lines"), "n_lines"),
-        long(F.col("capitals"), "n_capitals"),
-        long(F.col("w.n_distinct"), "n_distinct"),
-    )
+    return _counted(docs, [id_col], text_col)
 
 
 def votes(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -142,5 +147,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     Null and empty texts have no words, so base_failed holds. Repeated rows give repeated results; other columns are ignored.
     """
     counted = materialize(features(docs, id_col, text_col), "quality")
+    return _judged(counted, fit(counted, rules), rules)
+
+
+def _judged(counted: DataFrame, model: tuple[float, list[float], list[float]], rules: tuple[Rule, ...]) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("*", failed.alias("base_failed"), posterior(fit(counted, rules), rules).alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    return counted.select("*", failed.alias("base_failed"), posterior(model, rules).alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+
+
+def drop_low_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that the rules keep, with all their columns, whatever their names.
+
+    The documents are written once beside their counts, so that texts are counted once and nothing is joined or shuffled.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[text_col].alias("_text"))
+    counted = materialize(_counted(packed, ["_doc"], "_text"), "quality-docs")
+    kept = _judged(counted, fit(counted, rules), rules).filter("kept")
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
