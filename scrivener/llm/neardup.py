@@ -7,7 +7,8 @@ component (early termination). Bands of components give candidates, exact Jaccar
 them, and verified links join documents into classes.
 
 No bucket is expanded into its pairs: exact copies are one representative, each member of a bucket is compared with the
-bucket's hub, and only members whose class differs from the hub's after that are compared with the others of their bucket.
+bucket's hub, and only members whose class differs from the hub's after that are compared with others of their bucket,
+with further hubs first and in the end with all members of other classes, so that no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, text_of
+from .common import materialize, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs at similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
@@ -184,17 +185,16 @@ def _near(big: str, small: str) -> str:
     return f"least({big}, {small}) >= {SIMILARITY}D * greatest({big}, {small})"
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
-    pairs = materialize(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(named, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles array<long>"), "sets")
     one = pairs.join(sets.toDF("b", "sb"), "b")
     two = one.join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    kept = materialize(two.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
-    drop_table(sets)
-    return kept
+    return materialize(two.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -212,35 +212,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(
         sketched.filter("size > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
     members = reps.select("rep", "size", F.explode("bands").alias("band"))
-    # buckets of two or more, each with its hub: the least member
-    buckets = materialize(members.groupBy("band").agg(F.min(F.struct("rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-                          .select("band", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
-    inside = materialize(members.join(buckets, "band"), "members")
-    pairs = inside.filter("rep <> hub").filter(_near("size", "hub_size")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verify(pairs, texts)
-    tested = pairs
+    shared = materialize(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    inside = materialize(members.join(shared, "band"), "members")
+    # the original of many edited copies meets more documents than any copy does: the most popular member makes the best hub
+    popular = materialize(inside.groupBy("rep").agg(F.sum("n").alias("popularity")), "popularity")
+    inside = materialize(inside.drop("n").join(popular, "rep").withColumn("order", F.struct("popularity", -F.col("rep"))), "ordered-members")
+    named = popular.select(F.col("rep").alias("doc_id")).hint("merge")  # as many texts move at every size
+    sets = materialize(texts.join(named, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles array<long>"), "sets")
+    hubs = materialize(inside.groupBy("band").agg(F.max_by(F.struct("rep", "size"), "order").alias("h")).select("band", F.col("h.rep").alias("h"), F.col("h.size").alias("h_size")), "hubs")
+    pairs = _ordered(inside.join(hubs, "band").filter("rep <> h").filter(_near("size", "h_size")).select("rep", "h"))
+    tested = materialize(pairs, "pairs")
+    links = _verify(tested, sets)
     for last in (False, False, True):
         roots = materialize(components(links), "roots")
-        where = materialize(inside.select("band", "rep", "size", "hub").join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", "size", F.coalesce("root", "rep").alias("root")), "placed")
-        open_ = materialize(where.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high"), "open-buckets")
-        left = materialize(where.join(open_, "band"), "open-members")
-        if last:  # what no hub settled: members outside the bucket's first class, with all of other classes there
-            odd = left.filter("root <> low").select("band", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("root").alias("x_root"))
-            step = np.log(1 / SIMILARITY) * (1 + 1e-9)  # sizes that can be similar differ by one class at most
-            odd = odd.withColumn("size_class", F.explode(F.array(*[(F.floor(F.log("x_size") / float(step)) + k).cast("int") for k in (-1, 0, 1)])))
-            rest = left.withColumn("size_class", F.floor(F.log("size") / float(step)).cast("int"))
-            new = odd.join(rest, ["band", "size_class"]).filter("x_root <> root").filter(_near("size", "x_size")).select("x", "rep")
-        else:  # another hub: of the first class for the others, and of the others for one another
-            chosen = left.groupBy("band", (F.col("root") == F.col("low")).alias("first")).agg(F.min_by(F.struct("rep", "size", "root"), F.xxhash64("rep", "band")).alias("h"))
-            chosen = materialize(chosen.select("band", F.col("h.rep").alias("h"), F.col("h.size").alias("h_size"), F.col("h.root").alias("h_root")), "hubs")
-            new = left.filter("root <> low").join(chosen, "band").filter("root <> h_root").filter(_near("size", "h_size")).select("rep", "h")
-        new = new.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        placed = materialize(inside.join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", "size", "order", F.coalesce("root", "rep").alias("root")), "placed")
+        # buckets of more than one class; the first class is that of the most popular member
+        open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "order").alias("first")).filter("low <> high")
+        left = materialize(placed.join(materialize(open_.select("band", "first"), "open-buckets"), "band"), "open-members")
+        odd = left.filter("root <> first")
+        if last:
+            # what no hub settled: members outside the first class, with all of other classes in a bucket of both. The pairs are
+            # tested inside the join, each in the least of the buckets that it shares, so that only links leave it
+            own = left.groupBy("rep").agg(F.sort_array(F.collect_list("band")).alias("all"))  # at most n_bands
+            rows = materialize(left.select("band", "rep", "size", "root", (F.col("root") != F.col("first")).alias("odd")).join(own.join(sets.toDF("rep", "s"), "rep"), "rep"), "last-members")
+            x, y = rows.filter("odd").alias("x"), rows.alias("y")
+            met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & F.expr(_near("x.size", "y.size"))
+            met = met & (~F.col("y.odd") | (F.col("x.rep") < F.col("y.rep"))) & (F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.band"))
+            shared = F.size(F.array_intersect("x.s", "y.s"))
+            found = x.join(y, met & (shared >= SIMILARITY * (F.col("x.size") + F.col("y.size") - shared))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            links = links.union(materialize(found, "last-links"))
+            break
+        # other hubs: one of the first class, and the most popular of the others
+        hubs = left.groupBy("band", (F.col("root") == F.col("first")).alias("_")).agg(
+            F.when(F.first("root") == F.first("first"), F.min_by(F.struct("rep", "size", "root"), F.xxhash64("rep", "band"))).otherwise(F.max_by(F.struct("rep", "size", "root"), "order")).alias("h"))
+        new = odd.join(materialize(hubs.select("band", F.col("h.rep").alias("h"), F.col("h.size").alias("h_size"), F.col("h.root").alias("h_root")), "hubs"), "band")
+        new = _ordered(new.filter("root <> h_root").filter(_near("size", "h_size")).select("rep", "h"))
         new = materialize(new.join(tested, ["a", "b"], "left_anti"), "new-pairs")
         if not new.isEmpty():
-            links = links.union(_verify(new, texts))
+            links = links.union(_verify(new, sets))
             tested = tested.union(new)
-        elif last:
-            break
     roots = materialize(components(links), "roots")
     classes = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "rep").alias("class_id")), "classes")
     found = sketched.filter("size > 0 and doc_id is not null").select("doc_id", *same).join(classes, same).select("doc_id", "class_id", F.col("rep").alias("copy_of"))
