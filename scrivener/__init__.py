@@ -1,0 +1 @@
+"""Document extraction and feedback analytics on Spark DataFrames."""
