@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +41,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside, but for kept ones, are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    ``keep``: the table outlives the innermost ``scratch``; it then belongs to the one around it, if any.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files below a table made by ``materialize`` once nothing reads it any more."""
-    root = shared_root(df.sparkSession)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            _remove(df.sparkSession, parent)
-
-
 def text_of(column: str = "text"):
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

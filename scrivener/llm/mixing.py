@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, materialize, scratch, text_of
 
 CELLS, LEVELS = 1024, 2
 
@@ -109,6 +109,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Ids should be unique; rows that repeat an id all come as often as the one taken most.
     """
-    plan = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times")).filter("_times > 0")
-    plan = materialize(plan, "mix-times")
+    with scratch(docs.sparkSession):
+        plan = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times")).filter("_times > 0")
+        plan = materialize(plan, "mix-times", keep=True)
     return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_id", "_times", "_nth")

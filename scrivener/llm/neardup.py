@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, scratch, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs at similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
@@ -206,6 +206,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts are classes of their own; so are rows without an id (class_id null, kept). An empty table
     gives an empty result.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_classes(docs, id_col, text_col, n_bands, rows), "near-duplicates", keep=True)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketched = materialize(texts.mapInPandas(_sketch(n_bands, rows), "doc_id long, key long, key2 long, size int, bands array<long>"), "sketches")
     same = ["key", "key2", "size"]  # 128 bits and the number of shingles
@@ -260,8 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each class, with all their columns; of rows that repeat an id one stays."""
-    kept = materialize(near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")), "kept")
-    distinct = materialize(kept.distinct(), "kept-ids")
+    with scratch(docs.sparkSession):
+        kept = near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+        distinct = materialize(kept.distinct(), "kept-ids", keep=True)
+        repeated = kept.count() > distinct.count()
     out = docs.join(distinct, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    out = out.dropDuplicates([id_col]) if kept.count() > distinct.count() else out
+    out = out.dropDuplicates([id_col]) if repeated else out
     return out.unionByName(docs.filter(F.col(id_col).isNull()))
