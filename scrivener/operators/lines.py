@@ -5,15 +5,17 @@ All windows partition by document and order by line, so they share one exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import headings as H
 from ..functions.scores import share
 from ..functions.text import bullet_line, lines_of, normalize_document, strip
 
-DOC = Window.partitionBy("doc_id").orderBy("line_no")
-WHOLE = Window.partitionBy("doc_id")
+
+def doc_order() -> WindowSpec:
+    """The lines of a document in their order."""
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +32,7 @@ def detect_headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = lines(docs, id_col, text_col).withColumn("section", H.canonical(F.col("line")))
     verdict = None
     for k in range(1, 5):
-        at = F.lead(F.struct("line", "section"), k).over(DOC)
+        at = F.lead(F.struct("line", "section"), k).over(doc_order())
         full = F.coalesce(at["line"], F.lit("")) != ""
         verdict = (F.when if verdict is None else verdict.when)(full & at["section"].isNotNull(), False)
         verdict = verdict.when(full & (F.length(at["line"]) > 2), True)
@@ -57,10 +59,10 @@ def rebuilt_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     clean = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(normalize_document(F.col(text_col)), "\n")).alias("line_no", "raw"))
     clean = clean.select("doc_id", "line_no", bullet_line(F.col("raw")).alias("line"))
-    before = F.lag("line", 1, "").over(DOC)
+    before = F.lag("line", 1, "").over(doc_order())
     marked = clean.withColumn("goes_on", H.is_continuation(before, F.col("line"))).withColumn("glued", F.col("goes_on") & before.endswith("-"))
     marked = marked.withColumn("used", (F.col("line") != "") | (before != "")).filter("used")  # of a run of blank lines the first
-    marked = marked.withColumn("grp", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(DOC))
+    marked = marked.withColumn("grp", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(doc_order()))
     # a glued line takes the hyphen before it away
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line", "glued")))
     joined = F.aggregate(parts, F.lit(""), lambda a, p: F.when(p["glued"], F.concat(F.regexp_replace(a, "-$", ""), p["line"])).when(a == "", p["line"]).otherwise(F.concat_ws(" ", a, p["line"])))
@@ -70,7 +72,7 @@ def rebuilt_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def islands(docs_lines: DataFrame) -> DataFrame:
     """doc_id, line_no, line, section, heading: every line that is no heading with the section of the last heading before it, else null."""
     marked = docs_lines.withColumn("head", H.probable_heading(F.col("line")))
-    last = F.last(F.when(F.col("head").isNotNull(), F.struct("head", "line")), ignorenulls=True).over(DOC)
+    last = F.last(F.when(F.col("head").isNotNull(), F.struct("head", "line")), ignorenulls=True).over(doc_order())
     return marked.withColumn("last", last).filter(F.col("head").isNull()).select("doc_id", "line_no", "line", F.col("last.head").alias("section"), F.col("last.line").alias("heading"))
 
 
