@@ -41,6 +41,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows that go to Python at once: texts may be long, and a batch of them is held in memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session sends at most BATCH_ROWS rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` in bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 _scopes: list[list[str]] = []
 
 

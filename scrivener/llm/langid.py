@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_batches, text_of
 
 #: Hash buckets of n-grams of one, two and three characters; characters that are scored at once (a bound of memory).
 BUCKETS, ORDERS, CHUNK = 1 << 13, 3, 1 << 20
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
 
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
-    counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = in_batches(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     by = np.zeros((len(languages), BUCKETS))
     by[counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"]
@@ -150,4 +150,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": names, "score": score, "ambiguous": unclear})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

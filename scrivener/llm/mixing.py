@@ -112,4 +112,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     with scratch(docs.sparkSession):
         plan = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times")).filter("_times > 0")
         plan = materialize(plan, "mix-times", keep=True)
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_id", "_times", "_nth")
+    # the row as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"))
+    taken = rows.join(plan, F.col("_key").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

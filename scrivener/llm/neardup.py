@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, text_of
+from .common import in_batches, materialize, scratch, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs at similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
@@ -108,7 +108,7 @@ def signatures(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, docs: int, co
         step += 1
         z = _mix(e + _U(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log(((z >> _U(11)).astype(float) + 1) * 2.0**-53) / w
-        slot = d * components + (((z & _U(2047)) * _U(components)) >> _U(11)).astype(np.int64)
+        slot = d * components + (((_mix(z) >> _U(32)) * _U(components)) >> _U(32)).astype(np.int64)
         np.minimum.at(earliest, slot, time)
         won = earliest[slot] == time
         winner[slot[won]] = e[won]
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sketched = materialize(texts.mapInPandas(_sketch(n_bands, rows), "doc_id long, key long, key2 long, size int, bands array<long>"), "sketches")
+    sketched = materialize(in_batches(texts, _sketch(n_bands, rows), "doc_id long, key long, key2 long, size int, bands array<long>"), "sketches")
     same = ["key", "key2", "size"]  # 128 bits and the number of shingles
     reps = materialize(
         sketched.filter("size > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
@@ -223,7 +223,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: in
     popular = materialize(inside.groupBy("rep").agg(F.sum("n").alias("popularity")), "popularity")
     inside = materialize(inside.drop("n").join(popular, "rep").withColumn("order", F.struct("popularity", -F.col("rep"))), "ordered-members")
     named = popular.select(F.col("rep").alias("doc_id")).hint("merge")  # as many texts move at every size
-    sets = materialize(texts.join(named, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = materialize(in_batches(texts.join(named, "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"), "sets")
     hubs = materialize(inside.groupBy("band").agg(F.max_by(F.struct("rep", "size"), "order").alias("h")).select("band", F.col("h.rep").alias("h"), F.col("h.size").alias("h_size")), "hubs")
     pairs = _ordered(inside.join(hubs, "band").filter("rep <> h").filter(_near("size", "h_size")).select("rep", "h"))
     tested = materialize(pairs, "pairs")
@@ -269,6 +269,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         kept = near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
         distinct = materialize(kept.distinct(), "kept-ids", keep=True)
         repeated = kept.count() > distinct.count()
-    out = docs.join(distinct, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    out = out.dropDuplicates([id_col]) if repeated else out
-    return out.unionByName(docs.filter(F.col(id_col).isNull()))
+    # the row as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_key"))
+    out = rows.join(distinct, F.col("_key") == F.col("_kept"), "left_semi")
+    out = (out.dropDuplicates(["_key"]) if repeated else out).unionByName(rows.filter("_key is null"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import in_batches, text_of
 from .tokens import encoder
 
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -139,4 +139,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
             yield flush()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, PIECES_SCHEMA)
+    return in_batches(rows, run, PIECES_SCHEMA)

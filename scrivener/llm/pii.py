@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bound_batches, in_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many tokens.
@@ -340,7 +340,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -361,12 +361,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 free = e
         return "".join([*out, text[free:]])
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def replace(texts: pd.Series) -> pd.Series:
         return pd.Series([clean(t) for t in texts], dtype=object)
 
-    out = docs.withColumn("_clean", replace(F.col(text_col)))
+    # the row as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), replace(docs[text_col]).alias("_text"))
+    old = lambda c: F.col("_row").getField(c)
+    values = {c: old(c) for c in docs.columns} | {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        changed = ~F.col("_clean").eqNullSafe(F.col(text_col))
-        out = out.withColumn("n_chars", F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn(text_col, F.col("_clean")).drop("_clean")
+        changed = ~F.col("_text").eqNullSafe(old(text_col))
+        values["n_chars"] = F.when(changed, F.length("_text")).otherwise(old("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in values.items()])

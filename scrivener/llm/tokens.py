@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_root, text_of
+from .common import in_batches, materialize, shared_root, text_of
 
 #: Words that an encoder remembers before it starts afresh.
 REMEMBERED = 600_000
@@ -156,7 +156,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
         for b in batches:
             yield pd.DataFrame({"tokenizer": version, "digest": b["digest"], "n_tokens": [one(t) for t in b["text"]]})
 
-    misses.mapInPandas(count, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    in_batches(misses, count, CACHE_SCHEMA).write.mode("append").parquet(cache)
     # written out, so that the join has plain exchanges on both sides and a hot digest can be split over tasks
     counts = materialize(read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     return seen.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")

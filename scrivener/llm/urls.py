@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: (verdict, host, path): a rule holds for its host and all subdomains where the path begins with its path.
 RULES = (
     ("allow", "com", "/"),
@@ -141,7 +143,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     kind = dict(parts.dtypes)["page_id"]
-    scored = parts.mapInPandas(run, f"page_id {kind}, host string, path string, p_block double")
+    scored = in_batches(parts, run, f"page_id {kind}, host string, path string, p_block double")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     return scored.withColumn("r", rule).select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"),
