@@ -15,18 +15,11 @@ YEAR, RANGE = r"\b(?:19|20)\d{2}\b", r"\b((?:19|20)\d{2})\s*[-/]\s*((?:19|20)\d{
 CURRENT = r"(?i)\b(?:present|current|ongoing|now|till\s+date)\b"
 
 
-def _number_of(token: Column) -> Column:
-    """1 to 12 of a month's name, its first letters or its number; null for anything else."""
-    names = F.coalesce(*[
-        F.when(token.isin(m.lower(), m.lower()[:3], *(["sept"] if m == "September" else []), str(n), f"{n:02d}"), n) for n, m in enumerate(MONTHS, 1)
-    ])
-    return names
-
-
 def month(x: Column) -> Column:
-    """English name of the month, empty if it is none."""
+    """English name of the month from its name, first letters or number, empty if it is none."""
     token = F.replace(F.lower(coerce(x)), F.lit("."), F.lit(""))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, MONTHS)), _number_of(token)), F.lit(""))
+    spelt = lambda n, m: (m.lower(), m.lower()[:3], *(["sept"] if m == "September" else []), str(n), f"{n:02d}")
+    return let(token, lambda t: F.coalesce(*[F.when(t.isin(*spelt(n, m)), m) for n, m in enumerate(MONTHS, 1)], F.lit("")))
 
 
 def _dashes(x: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.dates import CURRENT, MONTH, MONTHS, RANGE
 from ..functions.headings import ALIASES, HEADING_TERMS, TAIL_WORDS
 from ..functions.scores import DAMAGE
 from ..operators.entries import ATS_SKILLS, ATS_VERBS, DEGREE_LEVELS, ISSUERS, PROJECT_HOSTS, SKILL_CATEGORIES, TECHNOLOGIES
 from ..operators.lines import DEGREES, PATTERNS, ROLES, SCHOOLS
+from ..operators.schema import LEVEL_WORDS
 from ..operators.sections import NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, header_pattern, stop_pattern
 from ..sources.tables import RESUME_TEXT_SQL, SAMPLES_SQL
 
@@ -118,10 +120,10 @@ _LOOKS = f"""(head is not null or (length(line) <= 64 and not line like '- %' an
   or (regexp_matches(line, '[A-Za-z]') and (upper(line) = line or not regexp_matches(line, '(?:^| )[a-z]'))))))"""
 _REBUILT = f"""{RES}, {_lines()}, {HEADS},
 c as (select *, lag(line, 1, '') over (partition by doc_id order by idx) as prev from h),
-m as (select *, (prev <> '' and line <> '' and not {_LOOKS} and not line like '- %' and not regexp_matches(line, '^(19|20)\\d{{2}}') and not (regexp_matches(line, '^[A-Z][A-Z ]+$') and length(line) < 36)
+mk as (select *, (prev <> '' and line <> '' and not {_LOOKS} and not line like '- %' and not regexp_matches(line, '^(19|20)\\d{{2}}') and not (regexp_matches(line, '^[A-Z][A-Z ]+$') and length(line) < 36)
   and not prev like '%:' and (prev like '%-' or regexp_matches(line, '^[a-z]'))) as goes_on from c where line <> '' or prev <> ''),
-n as (select *, sum(case when goes_on then 0 else 1 end) over (partition by doc_id order by idx) as grp from m),
-rl as (select doc_id, min(idx) as idx, string_agg(line, ' ' order by idx) as line from n group by doc_id, grp),
+nk as (select *, sum(case when goes_on then 0 else 1 end) over (partition by doc_id order by idx) as grp from mk),
+rl as (select doc_id, min(idx) as idx, string_agg(line, ' ' order by idx) as line from nk group by doc_id, grp),
 rh as (select *, {_head('lower(line)')} as head from rl)"""
 _ISLANDS = """ri as (select *, last_value(head ignore nulls) over (partition by doc_id order by idx) as section from rh)"""
 _INSIDE = """si as (select * from (select *, row_number() over (partition by doc_id, section, lower(line) order by idx) as nth from ri where head is null and section is not null) where nth = 1 or line = '')"""
@@ -136,7 +138,7 @@ ce as (select doc_id, section, row_number() over (partition by doc_id, section o
 def _isolated() -> str:
     words = r"len(regexp_extract_all(t, '\S+'))"
     pattern = " ".join(
-        f"when section = '{n}' then ({' + '.join(f'regexp_matches(t, {_q(chr(40) + chr(63) + chr(105) + chr(41) + p)})::int' for p in ps)}) / {float(len(ps))}::double * 0.5::double" for n, ps in PATTERNS.items()
+        f"when p.section = '{n}' then ({' + '.join(f'regexp_matches(t, {_q(chr(40) + chr(63) + chr(105) + chr(41) + p)})::int' for p in ps)}) / {float(len(ps))}::double * 0.5::double" for n, ps in PATTERNS.items()
     )
     return f"""{_REBUILT}, {_ISLANDS}, {_INSIDE}, {_CHUNKS},
 p as (select doc_id, section, string_agg(line, chr(10) order by idx) as t, sum((line like '- %')::int + regexp_matches(line, '[,|]')::int) as marks from si where line <> '' group by all),
@@ -184,6 +186,14 @@ _EXAMPLES = f"{SAM}, x as (select field_name, 'feedback' as source, false as ver
 _YEAR = r"(?:19|20)\d{2}"
 
 
+_LEVELS = "|".join(w for _, w in LEVEL_WORDS)
+
+
+def _month(token: str) -> str:
+    cases = " ".join(f"when lower({token}) in ('{m.lower()}', '{m.lower()[:3]}', '{n}', '{n:02d}'{', ' + repr('sept') if n == 9 else ''}) then '{m}'" for n, m in enumerate(MONTHS, 1))
+    return f"(case {cases} else '' end)"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"sec_{s.name.replace('-', '_')}": section_sql(s) for s in SECTIONS}
     edu_level = " ".join(f"when regexp_matches(line, {_q('(?i)' + p)}) then '{n}'" for n, p in DEGREE_LEVELS)
@@ -227,7 +237,7 @@ select doc_id, email from (select *, row_number() over (partition by doc_id, low
         "doc_line_dedupe_ci": f"""with {_lines('documents')}, u as (select * from (select *, row_number() over (partition by doc_id, low order by idx) as nth from l where line <> '') where nth = 1)
 select d.doc_id, count(line) as n_distinct, coalesce(string_agg(line, chr(10) order by idx), '') as text from documents d left join u on d.doc_id = u.doc_id group by d.doc_id""",
         "doc_repeated_lines_topk": f"with {_lines('documents')} select line, count(*) as total from l where line <> '' group by line order by total desc, line limit 10",
-        "doc_best_scan": f"""with c as (select doc_id, 0 as attempt, 'plain' as method, text from documents union all select doc_id, 1, 'upper', upper(text) from documents union all select doc_id, 2, 'first', string_split(text, chr(10))[1] from documents),
+        "doc_best_scan": f"""with c as (select doc_id, 0 as attempt, 'plain' as method, text from documents union all select doc_id, 1, 'lower', lower(text) from documents union all select doc_id, 2, 'first', string_split(text, chr(10))[1] from documents),
 s as (select *, {_QUALITY.replace('{t}', 'text')} as score from c) select doc_id, method, score from (select *, row_number() over (partition by doc_id order by score desc, attempt) as nth from s) where nth = 1""",
         "sim_jaccard": f"""with a as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as v from benchmark),
 p as (select doc_id, item_id, len(list_intersect(w, v))::double as i, len(w) as nw, len(v) as nv from a, b) select doc_id, item_id, round(i / (nw + nv - i), 6) as jaccard from p where i / (nw + nv - i) >= 0.3""",
@@ -264,8 +274,15 @@ select doc_id, row_number() over (partition by doc_id order by entry) as entry_n
   arg_max(host, idx) filter (not name and host <> '') as link, string_agg(line, ' ' order by idx) filter (not name) as description from t group by doc_id, entry""",
         "res_certifications": f"""{_EXPERIENCE_TEXT}, {lines_of('certifications')} select doc_id, row_number() over (partition by doc_id order by idx) as entry_no, line as name,
   nullif(regexp_extract(line, '{_YEAR}'), '') as year, case {issuer} end as issuer from il where line <> ''""",
-        "res_date_range": None,
-        "res_languages": None,
+        "res_date_range": f"""with {RES}, {_lines()}, c as (select *, regexp_extract_all(line, {_q(MONTH)}) as ms, regexp_extract_all(line, '\\b(?:19|20)\\d{{2}}\\b') as ys,
+  regexp_extract(line, {_q(RANGE)}, 1) as a, regexp_extract(line, {_q(RANGE)}, 2) as b, regexp_matches(line, {_q(CURRENT)}) as cur from l where regexp_matches(line, '\\b(19|20)\\d{{2}}\\b')),
+d as (select {_month('ms[1]')} as start_month, case when a <> '' then a else coalesce(ys[1], '') end as start_year, case when cur then '' else {_month('ms[2]')} end as end_month,
+  case when cur then '' when a <> '' then case when length(b) = 4 then b when b::int > 12 then substr(a, 1, 2) || b else '' end else coalesce(ys[2], '') end as end_year, cur as current from c)
+select start_month, start_year, end_month, end_year, current, count(*) as total from d group by all""",
+        "res_languages": f"""with t as ({section_sql(next(s for s in SECTIONS if s.name == 'languages'))}), i as (select doc_id, trim(unnest(regexp_split_to_array(text, '[\\n,;•|]+')), ' -') as item from t),
+j as (select distinct doc_id, item from i where item <> '')
+select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select unnest(string_split(trim(regexp_replace(item, '(?i)\\b(?:{_LEVELS})\\b', '', 'g'), ' -–:()|,'), ' ')) as w)) as name,
+  case {' '.join(f"when regexp_matches(lower(item), '{w}') then '{n}'" for n, w in LEVEL_WORDS)} else 'Intermediate' end as level from j""",
         "res_ats": f"""with {RES}, {_lines()} select doc_id, (max((len(string_split(line, '|')) >= 3)::int) + max(regexp_matches(line, '\\|.*\\b(?:19|20)\\d{{2}}\\b')::int) + max(regexp_matches(low, '^(?:technical )?skills?\\s*:')::int)
   + max(regexp_matches(line, '^[A-Z][A-Z &]{{5,}}$')::int))::bigint as indicators, indicators >= 2 as is_ats from l group by doc_id""",
         "res_ats_skills": f"""with {RES}, a as (select doc_id, [x for x in [{ats}] if x is not null] as f from resume_text)

@@ -152,9 +152,9 @@ def doc_repeated_lines_topk(spark, sf):
 
 @query
 def doc_best_scan(spark, sf):
-    """Of each document as it is, in upper case, and cut at its first line end: the reading with the best rank."""
+    """Of each document as it is, in lower case, and cut at its first line end: the reading with the best rank."""
     d = load(spark, sf, "documents")
-    ways = F.array(*[F.struct(F.lit(k).alias("attempt"), F.lit(n).alias("method"), c.alias("text")) for k, (n, c) in enumerate((("plain", F.col("text")), ("upper", F.upper("text")), ("first", F.substring_index("text", "\n", 1))))])
+    ways = F.array(*[F.struct(F.lit(k).alias("attempt"), F.lit(n).alias("method"), c.alias("text")) for k, (n, c) in enumerate((("plain", F.col("text")), ("lower", F.lower("text")), ("first", F.substring_index("text", "\n", 1))))])
     tried = d.select("doc_id", F.inline(ways)).withColumn("score", scores.text_quality(F.col("text")))
     return layout.best_reading(tried).select("doc_id", "method", "score")
 
