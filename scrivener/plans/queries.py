@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, entities, scores, text
-from ..operators import entries, feedback, layout, lines, schema, sections, similarity, store
+from ..operators import builder, entries, feedback, layout, lines, schema, sections, similarity, store
 from ..sources.tables import load, resume_text, samples
 from . import documents
 
@@ -390,6 +390,31 @@ def res_section_text(spark, sf):
     return schema.section_text(_records(spark, sf))
 
 
+@query
+def res_builder_skills(spark, sf):
+    named = sections.extract_skills(resume_text(spark, sf)).select("doc_id", builder.skills(schema.items(F.col("text"))).alias("s"))
+    return named.select("doc_id", F.array_join("s", ",").alias("skills"))
+
+
+@query
+def res_degree_blocks(spark, sf):
+    studies = entries.parse_education(_isolated(spark, sf, "education")).filter("degree is not null")
+    return studies.select("doc_id", F.col("entry_no").cast("bigint").alias("entry_no"), builder.degree_block(F.col("degree")).alias("b")).select("doc_id", "entry_no", "b.*")
+
+
+@query
+def res_studies_merged(spark, sf):
+    return builder.merge_studies(res_degree_blocks(spark, sf))
+
+
+@query
+def res_jobs_distinct(spark, sf):
+    j = schema.job(F.col("title"), F.col("company"), F.col("duration"), F.col("description"))
+    jobs = entries.parse_experience(_isolated(spark, sf, "experience")).select("doc_id", F.struct("entry_no", j.alias("j")).alias("x"))
+    kept = builder.distinct_jobs(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]))
+    return jobs.groupBy("doc_id").agg(kept.alias("jobs")).select("doc_id", F.posexplode("jobs").alias("pos", "j")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "j.title", "j.employer", builder.job_quality(F.col("j")).alias("quality"))
+
+
 # stores --------------------------------------------------------------------------
 
 
