@@ -114,5 +114,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
         plan = materialize(plan, "mix-times", keep=True)
     # the row as one struct, so that its columns may have any names
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"))
-    taken = rows.join(plan, F.col("_key").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    # the same plan at every size: the times grow with the documents and are never broadcast
+    taken = rows.join(plan.hint("merge"), F.col("_key").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

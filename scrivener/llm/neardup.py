@@ -271,6 +271,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         repeated = kept.count() > distinct.count()
     # the row as one struct, so that its columns may have any names
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_key"))
-    out = rows.join(distinct, F.col("_key") == F.col("_kept"), "left_semi")
+    out = rows.join(distinct.hint("merge"), F.col("_key") == F.col("_kept"), "left_semi")  # the same plan at every size
     out = (out.dropDuplicates(["_key"]) if repeated else out).unionByName(rows.filter("_key is null"))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
