@@ -1,8 +1,9 @@
-"""Near-duplicate documents by ProbMinHash over weighted shingles, banding and exact verification.
+"""Near-duplicate documents by ProbMinHash over shingles, banding and exact verification.
 
-A shingle is five words; its weight is how often the document has it. Every shingle sends Poisson arrivals, at a rate of
-its weight, into random components of the signature; a component keeps the shingle that arrives first, so two components
-agree with the probability Jaccard similarity. A shingle stops as soon as its next arrival is later than the latest
+A shingle is five words. Every shingle sends Poisson arrivals, at a rate of its weight, into random components of the
+signature; a component keeps the shingle that arrives first, so two components agree with the probability Jaccard
+similarity. Every distinct shingle weighs 1: that is the Jaccard similarity of the sets, the measure of the classes. (With
+counts as weights, copies that repeat a line a different number of times would not meet.) A shingle stops as soon as its next arrival is later than the latest
 component (early termination). Bands of components give candidates, exact Jaccard similarity of the shingle sets verifies
 them, and verified links join documents into classes.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import in_batches, materialize, scratch, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Pairs at similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
+#: Pairs at Jaccard similarity s of their shingle sets meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
 BANDS, ROWS = 28, 6
 #: Words that are worked on at once: a bound of memory, save for one longer document.
 CHUNK_WORDS = 300_000
@@ -145,7 +146,7 @@ def _sketch(n_bands: int, rows: int):
             texts = b["text"].tolist()
             for i, j in _chunks(texts):
                 doc, s, weight, whole = shingles(texts[i:j])
-                keys = bands(signatures(doc, s, weight, j - i, n_bands * rows), n_bands, rows)
+                keys = bands(signatures(doc, s, np.ones(len(s)), j - i, n_bands * rows), n_bands, rows)
                 sizes = np.bincount(doc, minlength=j - i)
                 check = np.zeros(j - i, np.uint64)
                 np.add.at(check, doc, _mix(s * weight.astype(np.uint64) + _U(1)))

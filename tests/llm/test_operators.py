@@ -415,6 +415,18 @@ def test_near_duplicates_around_one_original(spark):
     assert got == classes(rows)
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """Two copies that differ in how often they repeat a line: the sets of shingles are near, the counts are not."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(24):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+        line = " ".join(f"m{k}x{n}" for n in range(12)) + " "
+        rows += [(10 * k, f"{base} {line}"), (10 * k + 1, f"{base} {line * (1, 2, 5, 20, 50, 100)[k % 6]}")]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and set(got.values()) == {10 * k for k in range(24)}
+
+
 def test_near_duplicates_hard(hard, empty, docs):
     rows = neardup.near_duplicates(hard).collect()
     assert len(rows) == len(HARD) and {r.class_id for r in rows if r.doc_id == 7} == {7}
