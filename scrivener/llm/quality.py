@@ -29,13 +29,14 @@ class Rule:
     bad: str
 
 
+#: Every rule can vote good, up to half of what it calls bad at least, so that several good votes can outweigh one weak bad vote.
 RULES = (
     Rule("length", "n_words >= 60", "n_words < 50"),
     Rule("mean_word", "word_chars between 3 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("symbols", "false", "5 * n_symbols > n_words"),
-    Rule("dup_lines", "false", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeats", "false", "10 * n_repeat_words > 3 * n_words"),
-    Rule("capitals", "false", "10 * n_capitals > 4 * word_chars"),
+    Rule("symbols", "10 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    Rule("dup_lines", "20 * n_dup_lines <= 3 * n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeats", "20 * n_repeat_words <= 3 * n_words", "10 * n_repeat_words > 3 * n_words"),
+    Rule("capitals", "20 * n_capitals <= 4 * word_chars", "10 * n_capitals > 4 * word_chars"),
     Rule("variety", "5 * n_distinct >= n_words", "10 * n_distinct < n_words"),
 )
 #: Rules are taken to be better than chance: a bad document draws a rule's bad vote with a probability of at least LEAST_BAD

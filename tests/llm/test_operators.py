@@ -91,6 +91,18 @@ def test_quality_keeps_good_documents(spark):
     assert share[1] > 0.98 and share[0] < 0.1
 
 
+def test_quality_outvotes_one_weak_bad_vote(spark):
+    """Good votes of the other rules save a document from one bad vote of a rule that also votes bad on good documents."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_distinct"]
+    clean = dict(zip(names, (100, 500, 0, 0, 0, 10, 0, 80), strict=True))
+    kinds = {"clean": (1800, {}), "weak": (12, {"n_dup_lines": 4})}
+    kinds |= {"symbols": (60, {"n_symbols": 50, "n_capitals": 300}), "repeats": (60, {"n_repeat_words": 45, "n_distinct": 5}), "both": (80, {"n_symbols": 50, "n_repeat_words": 45, "n_distinct": 5})}
+    rows = [(kind, *(clean | change).values()) for kind, (n, change) in kinds.items() for _ in range(n)]
+    table = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{x} long" for x in names))
+    got = {(r.kind, r.kept) for r in quality._judged(table, quality.fit(table), quality.RULES).collect()}
+    assert got == {("clean", True), ("weak", True), ("symbols", False), ("repeats", False), ("both", False)}
+
+
 def test_quality_hard(hard, empty):
     got = quality.quality(hard).collect()
     assert len(got) == len(HARD) and all(r.base_failed for r in got if r.n_words < 50)
