@@ -34,7 +34,8 @@ def _is_letter() -> np.ndarray:
 def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, texts, bucket of each n-gram, where each text's begin, letters of each text) for runs of texts.
 
-    Letters are lower-cased, anything else reads as a blank. No n-gram spans two texts, so a text's n-grams are its own.
+    Letters are lower-cased, anything else reads as a blank. Blanks go in front of each text, inside its own stretch, and
+    after the last one: no n-gram has letters of two texts, and a text has the same n-grams alone as among others.
     """
     first = 0
     while first < len(texts):
@@ -45,7 +46,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         own = [t.lower() for t in texts[first:last]]
         sizes = np.array([len(t) for t in own]) + ORDERS
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        a = np.frombuffer(("\0" * ORDERS).join([*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        a = np.frombuffer("".join("\0" * ORDERS + t for t in [*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _is_letter()[a]
         a = np.where(letter, a, np.uint32(32))
         count = np.add.reduceat(letter, starts, dtype=np.int64)

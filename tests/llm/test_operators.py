@@ -366,6 +366,17 @@ def test_language_order_of_rows_is_no_matter():
     assert together == [d.predict([t])[0][0] for t in texts]
 
 
+def test_language_ngrams_do_not_span_texts():
+    def grams(texts):
+        ((_, n, grams, starts, _),) = langid._grams(texts)
+        ends = [*starts[1:], grams.shape[1]]
+        return [[sorted(g[b:e][g[b:e] < langid.BUCKETS]) for g in grams] for b, e in zip(starts, ends, strict=True)]
+
+    texts = ["a", "\u65e5\u672c", "b", "le chat", "\u0436", "the dog", "x"]
+    assert grams(texts) == [grams([t])[0] for t in texts]
+    assert [len(g) for g in grams(texts)[0]] == [1, 2, 3]
+
+
 # near-duplicates -----------------------------------------------------------------------------
 
 
