@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +24,13 @@ _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own in local mode alone."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             given = "file://" + tempfile.mkdtemp(prefix="scrivener-")
             spark.sparkContext.setCheckpointDir(given)
         _roots[app] = f"{given.rstrip('/')}/scrivener-{uuid.uuid4().hex}"
@@ -53,22 +58,48 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInPandas(run, schema)`` in bounded batches."""
+    """``df.mapInPandas(run, schema)`` in bounded batches, for rows without ids."""
     bound_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 
-_scopes: list[list[str]] = []
+def in_arrow(df: DataFrame, run: Callable[[dict[str, list], int], Iterator[tuple[Sequence[int] | None, dict]]], schema: str, keep: Sequence[str]) -> DataFrame:
+    """Python over bounded Arrow batches. Columns of ``keep`` never become Python values: null ids stay null, large ones exact.
+
+    ``run`` gets the other columns as lists, and the number of rows; it yields (rows, columns): the rows of the batch that a
+    result belongs to (None: each its own) and the new columns, which ``schema`` names.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    bound_batches(df.sparkSession)
+    kept = [T.StructField(c, df.schema[c].dataType, True) for c in keep]
+    out = T.StructType([*kept, *T.StructType.fromDDL(schema).fields])
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for b in given:
+            own = {n: b.column(n).to_pylist() for n in b.schema.names if n not in keep}
+            for rows, columns in run(own, b.num_rows):
+                ids = [b.column(c) if rows is None else b.column(c).take(pa.array(rows, pa.int64())) for c in keep]
+                new = [pa.array(columns[f.name], f.type) for f in list(arrow)[len(keep) :]]
+                yield pa.RecordBatch.from_arrays([i.cast(f.type) for i, f in zip(ids, arrow, strict=False)] + new, schema=arrow)
+
+    return df.mapInArrow(batches, out)
+
+
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialised inside, but for kept ones, are deleted at the end."""
-    _scopes.append([])
+    """Tables that are materialised inside, but for kept ones, are deleted at the end. Each thread has scopes of its own."""
+    token = _scopes.set((*_scopes.get(), []))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        done = _scopes.get()[-1]
+        _scopes.reset(token)
+        for path in done:
             _remove(spark, path)
 
 
@@ -80,7 +111,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    scopes = _scopes[:-1] if keep else _scopes
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
     if scopes:
         scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,5 +125,3 @@ def text_of(column: str = "text"):
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-LONG, STRING = T.LongType(), T.StringType()

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, text_of
+from .common import in_arrow, in_batches, text_of
 
 #: Hash buckets of n-grams of one, two and three characters; characters that are scored at once (a bound of memory).
 BUCKETS, ORDERS, CHUNK = 1 << 13, 3, 1 << 20
@@ -142,13 +142,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row for each input row: doc_id, lang_pred, score (0 to 1), ambiguous.
 
     Null text, or text without a letter: ``und``, score 0. So is all text if nothing could be learned. Whole texts count;
-    other columns are ignored; repeated rows give repeated results.
+    other columns are ignored; repeated rows give repeated results; ids of any type come back as they are, null ones too.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names, score, unclear = model.predict(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": names, "score": score, "ambiguous": unclear})
+    def run(batch: dict[str, list], _: int) -> Iterator[tuple[None, dict]]:
+        names, score, unclear = model.predict(batch["text"])
+        yield None, {"lang_pred": names, "score": score, "ambiguous": unclear}
 
-    kind = dict(docs.dtypes)[id_col]
-    return in_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return in_arrow(rows, run, "lang_pred string, score double, ambiguous boolean", ["doc_id"])

@@ -2,8 +2,8 @@
 
 A source's target is a count of words. Whole epochs of the source come first; what is left of the target is filled by a
 weighted sample without replacement: every document draws the key -ln(u) / weight, keys are sorted within the source and
-documents are taken while the prefix sum of their sizes stays within what is left. No task sorts a source: prefix sums run
-over a fixed number of cells of the key, and only the cell in which the budget ends is looked at row by row.
+documents are taken while the prefix sum of their sizes stays within what is left. The sort is by ranges of (source, key,
+row): a hot source spans many ranges, and prefix sums are those of the ranges before plus those inside the range.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, scratch, text_of
 
-CELLS, LEVELS = 1024, 2
-
 
 def default_weight(text_col: str = "text") -> Column:
     """Document quality weight: 1 for text without symbol characters, falling with their share, never under 0.05."""
@@ -66,42 +64,32 @@ def mix(
     """One row for each input row: doc_id, size, source, source_size, target, taken (words, repeats counted), times.
 
     taken is size times (whole epochs + 1 if sampled): the document at which the budget ends is taken if that brings the
-    source nearer to its target. Null text: size 0. A null source is a source. Ties of keys go by id; repeated rows are
-    documents of their own. An empty table gives an empty result. Documents of size 0 take nothing.
+    source nearer to its target. Null text: size 0. A null source is a source. Ties of keys go by id, then size; repeated rows
+    are documents of their own, rows without an id share one key. An empty table gives an empty result. Documents of size 0
+    take nothing.
     """
     size = F.size(F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0))).cast("long")
     # u near 1 gives the smallest keys, so heavy documents come early
     key = -F.log(uniform(id_col, seed)) / (default_weight(text_col) if weight is None else weight)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
-    rows = materialize(rows, "mix-rows").withColumn("at", 1 - F.exp(-F.col("key")))
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "mix-rows")
+    # no two rows are equal, so ranges are even whatever the sources, weights and repeated ids are
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "doc_id", "size", "row"]
+    ranged = materialize(rows.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    parts = materialize(ranged.groupBy("source", "range").agg(F.sum("size").alias("part")), "mix-parts")
+    plan = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = materialize(plan.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
-
-    # edge: for each source the cell in which its rest ends, and the words before that cell
-    edge = plan.select(F.col("source").alias("e_source"), F.lit(0).cast("long").alias("e_cell"), F.lit(0).cast("long").alias("e_before"), F.col("rest").alias("e_rest"))
-    for level in range(1, LEVELS + 1):
-        cell = F.floor(F.col("at") * float(CELLS**level)).cast("long")
-        inside = rows.withColumn("cell", cell).join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.floor(F.col("cell") / CELLS).cast("long") == F.col("e_cell")))
-        sums = inside.groupBy("e_source", "e_before", "e_rest", "cell").agg(F.sum("size").alias("cell_size"))
-        upto = F.sum("cell_size").over(Window.partitionBy("e_source").orderBy("cell"))
-        ends = sums.withColumn("before", F.col("e_before") + upto - F.col("cell_size"))
-        # the last cell that begins within the rest
-        edge = materialize(
-            ends.filter(F.col("before") <= F.col("e_rest")).groupBy("e_source", "e_rest").agg(F.max_by(F.struct("cell", "before"), "cell").alias("x"))
-            .select("e_source", F.col("x.cell").alias("e_cell"), F.col("x.before").alias("e_before"), "e_rest"), f"mix-edge{level}",
-        )
-    cell = F.floor(F.col("at") * float(CELLS**LEVELS)).cast("long")
-    known = rows.withColumn("cell", cell).join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
-    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    before = F.col("e_before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    at_edge = known.filter(F.col("cell") == F.col("e_cell")).withColumn("picked", 2 * before + F.col("size") <= 2 * F.col("e_rest"))
-    away = known.filter(F.coalesce(F.col("cell") != F.col("e_cell"), F.lit(True))).withColumn("picked", F.coalesce(F.col("cell") < F.col("e_cell"), F.lit(False)))
-    cols = ["doc_id", "source", "size", "picked"]
-    picked = at_edge.select(cols).unionByName(away.select(cols))
-    plan = plan.withColumnRenamed("source", "p_source")
-    times = F.col("epochs") + F.col("picked").cast("long")
-    return picked.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    plan = plan.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = materialize(plan.withColumnRenamed("source", "p_source"), "mix-plan")
+    earlier = F.sum("part").over(Window.partitionBy("source").orderBy("range")) - F.col("part")  # at most so many rows a source as there are ranges
+    begins = parts.withColumn("begin", earlier).join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    begins = materialize(begins.select(F.col("source").alias("b_source"), F.col("range").alias("b_range"), "begin", "source_size", "target", "epochs", "rest"), "mix-begins")
+    known = ranged.join(begins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("range") == F.col("b_range")))
+    inside = F.sum("size").over(Window.partitionBy("range", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    times = F.col("epochs") + (2 * (F.col("begin") + inside) + F.col("size") <= 2 * F.col("rest")).cast("long")
+    found = known.withColumn("times", times)
+    return found.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

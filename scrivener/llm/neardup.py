@@ -8,8 +8,9 @@ component (early termination). Bands of components give candidates, exact Jaccar
 them, and verified links join documents into classes.
 
 No bucket is expanded into its pairs: exact copies are one representative, each member of a bucket is compared with the
-bucket's hub, and only members whose class differs from the hub's after that are compared with others of their bucket,
-with further hubs first and in the end with all members of other classes, so that no link between classes is lost.
+bucket's hub, and only members whose class differs from the hub's after that are compared with others of their bucket, with
+further hubs first. What is left open is settled by prefixes: of two sets that are near enough, the rarest shingles of both
+share one, so members of a bucket meet only where they share a rare shingle, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, materialize, scratch, text_of
+from .common import in_arrow, materialize, scratch, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs at Jaccard similarity s of their shingle sets meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, 0.02 at 0.3.
@@ -141,26 +141,24 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _sketch(n_bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for i, j in _chunks(texts):
-                doc, s, weight, whole = shingles(texts[i:j])
-                keys = bands(signatures(doc, s, np.ones(len(s)), j - i, n_bands * rows), n_bands, rows)
-                sizes = np.bincount(doc, minlength=j - i)
-                check = np.zeros(j - i, np.uint64)
-                np.add.at(check, doc, _mix(s * weight.astype(np.uint64) + _U(1)))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i:j], "key": whole.view(np.int64), "key2": check.view(np.int64), "size": sizes, "bands": list(keys)})
+    def run(batch: dict[str, list], _: int) -> Iterator[tuple[range, dict]]:
+        texts = batch["text"]
+        for i, j in _chunks(texts):
+            doc, s, weight, whole = shingles(texts[i:j])
+            keys = bands(signatures(doc, s, np.ones(len(s)), j - i, n_bands * rows), n_bands, rows)
+            sizes = np.bincount(doc, minlength=j - i).astype(np.int32)
+            check = np.zeros(j - i, np.uint64)
+            np.add.at(check, doc, _mix(s * weight.astype(np.uint64) + _U(1)))
+            yield range(i, j), {"key": whole.view(np.int64), "key2": check.view(np.int64), "size": sizes, "bands": list(keys)}
 
     return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts = b["text"].tolist()
-        for i, j in _chunks(texts):
-            doc, s, _, _ = shingles(texts[i:j])
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i:j], "shingles": np.split(s.view(np.int64), np.searchsorted(doc, np.arange(1, j - i)))})
+def _sets(batch: dict[str, list], _: int) -> Iterator[tuple[range, dict]]:
+    texts = batch["text"]
+    for i, j in _chunks(texts):
+        doc, s, _, _ = shingles(texts[i:j])
+        yield range(i, j), {"shingles": np.split(s.view(np.int64), np.searchsorted(doc, np.arange(1, j - i)))}
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,11 +189,19 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
+    """Those of the distinct pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY.
+
+    Nothing follows the joins that needs their partitioning, so that adaptive execution can split the pairs of a hot hub.
+    """
     one = pairs.join(sets.toDF("b", "sb"), "b")
     two = one.join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return materialize(two.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
+    return materialize(two.filter(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+
+
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart: the id and the text."""
+    return [F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("digest")]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -203,28 +209,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id: the least id of the document's class, the connected component of exact copies and of links between documents
     whose sets of five-word shingles (lower-cased words) have a Jaccard similarity of 0.8 or more. copy_of: the least id
-    with the same words. kept: doc_id = class_id. Integer ids identify documents: rows that repeat an id repeat its result.
-    Null, empty and blank texts are classes of their own; so are rows without an id (class_id null, kept). An empty table
-    gives an empty result.
+    with the same words. kept: the document is the first of its class by id, then by md5 of the text; rows without an id come
+    last. Rows equal in id and text are one document and have the same result; rows that share an id but not the text are
+    documents of their own. Ids may have any type that can be ordered. Null, empty and blank texts are classes of their own,
+    kept. An empty table gives an empty result.
     """
     with scratch(docs.sparkSession):
-        return materialize(_classes(docs, id_col, text_col, n_bands, rows), "near-duplicates", keep=True)
+        found = _classes(docs, id_col, text_col, n_bands, rows)
+        return materialize(found.drop("digest"), "near-duplicates", keep=True)
+
+
+def _first() -> Column:
+    """The least (id, digest), rows without an id last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: int) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sketched = materialize(in_batches(texts, _sketch(n_bands, rows), "doc_id long, key long, key2 long, size int, bands array<long>"), "sketches")
+    texts = docs.select(*_row_key(id_col, text_col), text_of(text_col).alias("text"))
+    sketched = materialize(in_arrow(texts, _sketch(n_bands, rows), "key long, key2 long, size int, bands array<long>", ["doc_id", "digest"]), "sketches")
     same = ["key", "key2", "size"]  # 128 bits and the number of shingles
-    reps = materialize(
-        sketched.filter("size > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "representatives")
+    grouped = sketched.filter("size > 0").groupBy(*same).agg(_first().alias("named"), F.first("bands").alias("bands"))
+    # a number of its own stands for each text
+    reps = materialize(grouped.select("*", F.monotonically_increasing_id().alias("rep")), "representatives")
     members = reps.select("rep", "size", F.explode("bands").alias("band"))
     shared = materialize(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     inside = materialize(members.join(shared, "band"), "members")
     # the original of many edited copies meets more documents than any copy does: the most popular member makes the best hub
     popular = materialize(inside.groupBy("rep").agg(F.sum("n").alias("popularity")), "popularity")
     inside = materialize(inside.drop("n").join(popular, "rep").withColumn("order", F.struct("popularity", -F.col("rep"))), "ordered-members")
-    named = popular.select(F.col("rep").alias("doc_id")).hint("merge")  # as many texts move at every size
-    sets = materialize(in_batches(texts.join(named, "doc_id", "left_semi"), _sets, "doc_id long, shingles array<long>"), "sets")
+    named = materialize(reps.join(popular, "rep").select("rep", F.col("named.doc_id").alias("n_id"), F.col("named.digest").alias("n_digest")), "named")
+    # as many texts move at every size
+    wanted = texts.join(named.hint("merge"), (F.col("digest") == F.col("n_digest")) & F.col("doc_id").eqNullSafe(F.col("n_id"))).select("rep", "text")
+    sets = materialize(in_arrow(wanted, _sets, "shingles array<long>", ["rep"]), "sets")
+    if sets.count() > named.count():  # rows that repeat an id and a text
+        sets = materialize(sets.dropDuplicates(["rep"]), "distinct-sets")
     hubs = materialize(inside.groupBy("band").agg(F.max_by(F.struct("rep", "size"), "order").alias("h")).select("band", F.col("h.rep").alias("h"), F.col("h.size").alias("h_size")), "hubs")
     pairs = _ordered(inside.join(hubs, "band").filter("rep <> h").filter(_near("size", "h_size")).select("rep", "h"))
     tested = materialize(pairs, "pairs")
@@ -235,19 +253,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: in
         # buckets of more than one class; the first class is that of the most popular member
         open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "order").alias("first")).filter("low <> high")
         left = materialize(placed.join(materialize(open_.select("band", "first"), "open-buckets"), "band"), "open-members")
-        odd = left.filter("root <> first")
         if last:
-            # what no hub settled: members outside the first class, with all of other classes in a bucket of both. The pairs are
-            # tested inside the join, each in the least of the buckets that it shares, so that only links leave it
-            own = left.groupBy("rep").agg(F.sort_array(F.collect_list("band")).alias("all"))  # at most n_bands
-            rows = materialize(left.select("band", "rep", "size", "root", (F.col("root") != F.col("first")).alias("odd")).join(own.join(sets.toDF("rep", "s"), "rep"), "rep"), "last-members")
-            x, y = rows.filter("odd").alias("x"), rows.alias("y")
-            met = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & F.expr(_near("x.size", "y.size"))
-            met = met & (~F.col("y.odd") | (F.col("x.rep") < F.col("y.rep"))) & (F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.band"))
-            shared = F.size(F.array_intersect("x.s", "y.s"))
-            found = x.join(y, met & (shared >= SIMILARITY * (F.col("x.size") + F.col("y.size") - shared))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            links = links.union(materialize(found, "last-links"))
+            pairs = _open_pairs(left, sets)
+            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "last-pairs")
+            if not pairs.isEmpty():
+                links = links.union(_verify(pairs, sets))
             break
+        odd = left.filter("root <> first")
         # other hubs: one of the first class, and the most popular of the others
         hubs = left.groupBy("band", (F.col("root") == F.col("first")).alias("_")).agg(
             F.when(F.first("root") == F.first("first"), F.min_by(F.struct("rep", "size", "root"), F.xxhash64("rep", "band"))).otherwise(F.max_by(F.struct("rep", "size", "root"), "order")).alias("h"))
@@ -258,20 +270,51 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: in
             links = links.union(_verify(new, sets))
             tested = tested.union(new)
     roots = materialize(components(links), "roots")
-    classes = materialize(reps.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "rep").alias("class_id")), "classes")
-    found = sketched.filter("size > 0 and doc_id is not null").select("doc_id", *same).join(classes, same).select("doc_id", "class_id", F.col("rep").alias("copy_of"))
-    blank = sketched.filter("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
-    return found.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    classes = reps.join(roots, F.col("rep") == F.col("node"), "left").select(*same, "named", F.coalesce("root", "rep").alias("root"))
+    classes = materialize(classes, "classes")
+    firsts = classes.groupBy("root").agg(F.min("named").alias("first"))
+    placed = materialize(classes.join(firsts, "root").select(*same, "named", "first"), "placed-texts")
+    found = sketched.filter("size > 0").join(placed, same).select(
+        "doc_id", "digest", F.col("first.doc_id").alias("class_id"), F.col("named.doc_id").alias("copy_of"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept"),
+    )
+    blank = sketched.filter("size = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("kept"))
+    return found.unionByName(blank)
+
+
+def _open_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that a bucket of more than one class may still link: near in size, of different classes, with a common
+    shingle among their rarest.
+
+    Ordered by how many of these documents have a shingle, sets of sizes s and t with a Jaccard similarity of J or more share
+    one among the first s - ceil(J s) + 1 and t - ceil(J t) + 1. A passage that many documents hold is last in this order, so
+    it makes no pairs, however large its buckets are; as every shingle's documents have but few in the prefix, nothing is
+    compared with all of its bucket.
+    """
+    reps = left.select("rep").distinct()
+    own = materialize(sets.join(reps, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "open-shingles")
+    counts = materialize(own.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "common-shingles")
+    # a shingle of one document can't be shared: it takes a place in the prefix but makes no pair
+    ranked = own.join(counts, "s", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "s"))).alias("all"))
+    places = F.size("all") - F.ceil(SIMILARITY * F.size("all") - 1e-9).cast("int") + 1
+    prefix = ranked.select("rep", F.explode(F.slice("all", F.lit(1), places)).alias("x")).filter("x.n > 1").select("rep", F.col("x.s").alias("s"))
+    prefix = materialize(prefix, "prefixes")
+    keyed = materialize(left.select("band", "rep", "size", "root").join(prefix, "rep"), "open-keys")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") < F.col("y.rep")) & F.expr(_near("x.size", "y.size"))
+    return x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each class, with all their columns; of rows that repeat an id one stays."""
+    """The rows of one document of each class, with all their columns; of rows equal in id and text one stays."""
     with scratch(docs.sparkSession):
-        kept = near_duplicates(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
-        distinct = materialize(kept.distinct(), "kept-ids", keep=True)
+        kept = _classes(docs, id_col, text_col, BANDS, ROWS).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+        kept = materialize(kept, "kept-rows")
+        distinct = materialize(kept.distinct(), "kept-keys", keep=True)
         repeated = kept.count() > distinct.count()
     # the row as one struct, so that its columns may have any names
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_key"))
-    out = rows.join(distinct.hint("merge"), F.col("_key") == F.col("_kept"), "left_semi")  # the same plan at every size
-    out = (out.dropDuplicates(["_key"]) if repeated else out).unionByName(rows.filter("_key is null"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_key"), F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")))).alias("_text"))
+    same = (F.col("_text") == F.col("_digest")) & F.col("_key").eqNullSafe(F.col("_id"))
+    out = rows.join(distinct.hint("merge"), same, "left_semi")  # the same plan at every size
+    out = out.dropDuplicates(["_key", "_text"]) if repeated else out
     return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

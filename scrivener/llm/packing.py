@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import in_batches, text_of
+from .common import bound_batches, text_of
 from .tokens import encoder
 
-PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Capacities:
@@ -105,38 +106,47 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
     piece; the pieces of a sequence follow one another from offset 0. A task packs what it reads in groups of about
     ``group_tokens`` ids, its bound of memory besides one document; at most one sequence of a group is not full. Nothing is
     shuffled: any set of documents packs well, so the order of rows and hot keys do not matter. sequence_id is the task's
-    partition and a running number. Repeated rows and ids are packed as they come; an empty table gives an empty result.
+    partition and a running number. Repeated rows and ids are packed as they come, each row a document of its own; ids of any
+    type come back as they are, null ones too; an empty table gives an empty result.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(docs[id_col].alias("doc_id"), text_of(text_col).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType, True), *T.StructType.fromDDL(PIECES_SCHEMA).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import array
 
         from pyspark import TaskContext
 
-        encode, sequence = encoder(tokenizer_path), TaskContext.get().partitionId() << 33
+        encode, sequence, arrow = encoder(tokenizer_path), TaskContext.get().partitionId() << 33, to_arrow_schema(schema)
         end = array.array("I", [end_id]).tobytes()
         ids: list[bytes] = []
-        names: list[int] = []
+        names: list[pa.Array] = []  # the ids of the rows in hand, never as Python values
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal sequence, held
             pieces = pack([len(x) // 4 for x in ids], size)
-            rows = [(names[d], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, sequence + w, at) for d, s, n, w, at in pieces]
-            sequence += pieces[-1][3] + 1 if pieces else 0
+            columns = zip(*((s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, sequence + w, at) for d, s, n, w, at in pieces), strict=True)
+            own = pa.concat_arrays(names).take(pa.array([p[0] for p in pieces], pa.int64()))
+            sequence += pieces[-1][3] + 1
             ids.clear(), names.clear()
             held = 0
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES_SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([own.cast(arrow[0].type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
         for b in batches:
-            for name, text in zip(b["doc_id"], b["text"], strict=True):
+            begin = 0
+            for k, text in enumerate(b.column("text").to_pylist()):
                 ids.append(encode(text) + end)
-                names.append(name)
                 held += len(ids[-1]) // 4
                 if held >= group_tokens:
+                    names.append(b.column("doc_id").slice(begin, k + 1 - begin))
+                    begin = k + 1
                     yield flush()
+            names.append(b.column("doc_id").slice(begin))
         if ids:
             yield flush()
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return in_batches(rows, run, PIECES_SCHEMA)
+    bound_batches(docs.sparkSession)
+    return rows.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_batches, text_of
+from .common import bound_batches, in_arrow, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many tokens.
@@ -323,24 +323,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added.
 
     Spans are kind:begin:end in code points, end exclusive, by kind, then begin. Null and empty texts have none. Whole
-    texts of any length are searched, in time linear in their length; repeated rows give repeated results.
+    texts of any length are searched, in time linear in their length; repeated rows give repeated results, an empty table an
+    empty one; ids of any type come back as they are, null ones too.
     """
     weights = train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nothing = hashlib.sha256(b"").hexdigest()
-        for b in batches:
-            rows = []
-            for name, text in zip(b["doc_id"], b["text"], strict=True):
-                base, spans = find(text, weights) if _TRIGGER.search(text) else ([], [])
-                kinds = [k for k, _, _ in base]
-                digest = hashlib.sha256(_joined(base).encode()).hexdigest() if base else nothing
-                rows.append((name, *(kinds.count(k) for k in range(4)), digest, _joined(spans), len(spans) - len(base)))
-            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
-
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return in_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, schema)
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+
+    def run(batch: dict[str, list], _: int) -> Iterator[tuple[None, dict]]:
+        nothing, rows = hashlib.sha256(b"").hexdigest(), []
+        for text in batch["text"]:
+            base, spans = find(text, weights) if _TRIGGER.search(text) else ([], [])
+            kinds = [k for k, _, _ in base]
+            digest = hashlib.sha256(_joined(base).encode()).hexdigest() if base else nothing
+            rows.append((*(kinds.count(k) for k in range(4)), digest, _joined(spans), len(spans) - len(base)))
+        yield None, dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
+
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), run, schema, ["doc_id"])
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

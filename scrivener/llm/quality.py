@@ -1,14 +1,14 @@
 """Quality rules by weak supervision (native: DataFrame and SQL functions only).
 
 Every rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the table of vote
-patterns (at most 3^rules rows, however many documents there are) estimates how often each rule casts either vote in
-either class, and so what its votes are worth; an abstention says nothing. The posterior probability of "good" replaces
-the demand that all rules pass.
+patterns (at most 3^rules rows, however many documents there are) estimates the share of good documents and how often each
+rule votes good, bad or abstains in either class, and so what each of the three is worth. The posterior probability of
+"good" replaces the demand that all rules pass. Nothing is clamped and no label is read: the only knowledge put in is where
+EM starts, documents with two bad votes or more as bad, since every fault is seen by two rules or more.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,8 @@ from .common import BLANKS, materialize, text_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+STOPS = ".!?"
 
 
 @dataclass(frozen=True)
@@ -29,22 +31,22 @@ class Rule:
     bad: str
 
 
-#: Every rule can vote good, up to half of what it calls bad at least, so that several good votes can outweigh one weak bad vote.
+#: Each fault is seen by two rules or more, from different counts: their agreement is what EM learns accuracies from.
 RULES = (
-    Rule("length", "n_words >= 60", "n_words < 50"),
-    Rule("mean_word", "word_chars between 3 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("symbols", "10 * n_symbols <= n_words", "5 * n_symbols > n_words"),
-    Rule("dup_lines", "20 * n_dup_lines <= 3 * n_lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeats", "20 * n_repeat_words <= 3 * n_words", "10 * n_repeat_words > 3 * n_words"),
-    Rule("capitals", "20 * n_capitals <= 4 * word_chars", "10 * n_capitals > 4 * word_chars"),
-    Rule("variety", "5 * n_distinct >= n_words", "10 * n_distinct < n_words"),
+    Rule("length", "n_words >= 100", "n_words < 50"),
+    Rule("mean_word", "10 * word_chars between 35 * n_words and 65 * n_words", "word_chars < 3 * n_words or word_chars > 7 * n_words"),
+    Rule("symbols", "20 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    Rule("symbol_chars", "200 * n_symbols <= word_chars", "20 * n_symbols > word_chars"),
+    Rule("punctuation", "100 * n_punctuation <= 6 * word_chars", "100 * n_punctuation > 12 * word_chars"),
+    Rule("sentences", "40 * n_stops >= n_words", "100 * n_stops < n_words"),
+    Rule("dup_lines", "20 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeats", "20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
+    Rule("capitals", "200 * n_capitals >= word_chars and 20 * n_capitals <= word_chars", "5 * n_capitals > word_chars or n_capitals = 0"),
+    Rule("variety", "2 * n_distinct >= n_words", "10 * n_distinct < 3 * n_words"),
 )
-#: Rules are taken to be better than chance: a bad document draws a rule's bad vote with a probability of at least LEAST_BAD
-#: (a rule sees only some faults), a good one with at most MOST_GOOD; a good vote never speaks against a document.
-LEAST_BAD, MOST_GOOD, LEAST = 0.1, 0.004, 0.001
-#: The share of good documents that is taken as known (votes that abstain at random can't show it), the first guess of a bad
-#: vote's log odds, and the steps of expectation-maximisation.
-GOOD_SHARE, FIRST_BAD, ITERATIONS = 0.9, -6.0, 25
+#: Imagined documents of every outcome, so that no rate is 0; steps of expectation-maximisation; the first guess of what a bad
+#: vote, none and a good vote are worth: nine good votes outweigh one bad vote, eight don't outweigh two.
+PSEUDO, ITERATIONS, START = 1.0, 25, (-2.0, 0.0, 0.25)
 
 # The lambda over a one-element array binds a value once; a plain alias could be expanded at every use.
 _REPEATS = """
@@ -76,6 +78,8 @@ def _counted(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
         F.length("_t").alias("_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("_symbols"),
         (F.length("_t") - F.length(F.translate("_t", CAPITALS, ""))).alias("_capitals"),
+        (F.length("_t") - F.length(F.translate("_t", PUNCTUATION, ""))).alias("_punctuation"),
+        (F.length("_t") - F.length(F.translate("_t", STOPS, ""))).alias("_stops"),
     )
     long = lambda c, name: c.cast("long").alias(name)
     counts = [
@@ -87,6 +91,8 @@ def _counted(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
         long(F.col("_l.n_lines"), "n_lines"),
         long(F.col("_capitals"), "n_capitals"),
         long(F.col("_w.n_distinct"), "n_distinct"),
+        long(F.col("_punctuation"), "n_punctuation"),
+        long(F.col("_stops"), "n_stops"),
     ]
     return counted.select(*keep, *counts)
 
@@ -103,14 +109,15 @@ def votes(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array(*[F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules])
 
 
-_LOG_ODDS = "aggregate(sequence(0, {k} - 1), {m}.b, (o, j) -> o + case when {v}[j] = 1 then {m}.up[j] when {v}[j] = -1 then {m}.dn[j] else 0D end)"
+#: What a fit returns: log odds of the share of good documents, and for each rule the log odds of a bad vote, none, a good one.
+Model = tuple[float, list[list[float]]]
 
 
-def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[float, list[float], list[float]]:
-    """(prior log odds, log odds of each rule's good vote, of its bad vote) by EM over the counts of vote patterns.
+def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
+    """The model by EM over the counts of vote patterns.
 
-    One aggregation over all documents; the loop runs inside one SQL expression on one row of at most 3^rules patterns.
-    An empty table gives even odds and the imagined votes alone.
+    One aggregation over all documents; the loop runs inside one SQL expression on one row of at most 3^rules patterns,
+    starting from START. An empty table gives even odds.
     """
     k = len(rules)
     patterns = (
@@ -118,26 +125,26 @@ def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[float, lis
         .agg(F.count("*").cast("double").alias("n"))
         .agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"))
     )
-    start_up, start_dn = (f"array_repeat({x}D, {k})" for x in (0.0, FIRST_BAD))
-    # w is the posterior of "good"; the rates of a vote in either class
-    rate = lambda w, vote: f"(aggregate(ps, 0D, (a, r) -> a + case when r.v[j] = {vote} then r.n * {w} else 0D end) / (aggregate(ps, 0D, (a, r) -> a + r.n * {w}) + 1D) + {LEAST}D)"
+    # w is the posterior of "good"; the sums of both classes over all patterns, and over those in which rule j casts the vote
+    total = lambda w, test="true": f"aggregate(ps, 0D, (a, r) -> a + case when {test} then r.n * {w} else 0D end)"
     good, bad = "r.w", "(1D - r.w)"
-    up = f"greatest(0D, ln({rate(good, 1)} / {rate(bad, 1)}))"
-    dn = f"ln(least(greatest({rate(good, -1)}, {LEAST}D), {MOST_GOOD}D) / greatest({rate(bad, -1)}, {LEAST_BAD}D))"
-    posts = f"transform(pats, r -> named_struct('v', r.v, 'n', r.n, 'w', 1D / (1D + exp(-({_LOG_ODDS.format(k=k, m='m', v='r.v')})))))"
+    rate = lambda w, vote: f"({total(w, f'r.v[j] = {vote}')} + {PSEUDO}D) / ({total(w)} + {3 * PSEUDO}D)"
+    worth = ", ".join(f"ln(({rate(good, vote)}) / ({rate(bad, vote)}))" for vote in (-1, 0, 1))
+    odds = f"aggregate(sequence(0, {k} - 1), m.b, (o, j) -> o + m.l[j][r.v[j] + 1])"
+    posts = f"transform(pats, r -> named_struct('v', r.v, 'n', r.n, 'w', 1D / (1D + exp(-{odds}))))"
     step = f"""transform(array({posts}), ps -> named_struct(
-        'b', m.b,
-        'up', transform(sequence(0, {k} - 1), j -> {up}),
-        'dn', transform(sequence(0, {k} - 1), j -> {dn})))[0]"""
-    model = patterns.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), named_struct('b', {math.log(GOOD_SHARE / (1 - GOOD_SHARE))}D, 'up', {start_up}, 'dn', {start_dn}), (m, t) -> {step})").alias("m")).first()["m"]
-    return model["b"], list(model["up"]), list(model["dn"])
+        'b', ln(({total(good)} + {PSEUDO}D) / ({total(bad)} + {PSEUDO}D)),
+        'l', transform(sequence(0, {k} - 1), j -> array({worth}))))[0]"""
+    start = f"named_struct('b', 0D, 'l', array_repeat(array({', '.join(f'{x}D' for x in START)}), {k}))"
+    model = patterns.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), {start}, (m, t) -> {step})").alias("m")).first()["m"]
+    return model["b"], [list(x) for x in model["l"]]
 
 
-def posterior(model: tuple[float, list[float], list[float]], rules: tuple[Rule, ...] = RULES) -> Column:
-    b, up, dn = model
+def posterior(model: Model, rules: tuple[Rule, ...] = RULES) -> Column:
+    b, worth = model
     odds = F.lit(b)
-    for r, u, d in zip(rules, up, dn, strict=True):
-        odds = odds + F.when(F.expr(r.bad), d).when(F.expr(r.good), u).otherwise(0.0)
+    for r, (bad, none, good) in zip(rules, worth, strict=True):
+        odds = odds + F.when(F.expr(r.bad), bad).when(F.expr(r.good), good).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -145,13 +152,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """One row for each input row: its counts, base_failed, the posterior probability of "good" and kept.
 
     base_failed: n_words < 50 or 100 * n_repeat_words > 50 * n_words. kept: not base_failed and posterior >= 0.5.
-    Null and empty texts have no words, so base_failed holds. Repeated rows give repeated results; other columns are ignored.
+    Null and empty texts have no words, so base_failed holds. Repeated rows give repeated results, null ids stay null; other
+    columns are ignored. An empty table gives an empty result.
     """
     counted = materialize(features(docs, id_col, text_col), "quality")
     return _judged(counted, fit(counted, rules), rules)
 
 
-def _judged(counted: DataFrame, model: tuple[float, list[float], list[float]], rules: tuple[Rule, ...]) -> DataFrame:
+def _judged(counted: DataFrame, model: Model, rules: tuple[Rule, ...]) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.select("*", failed.alias("base_failed"), posterior(model, rules).alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 

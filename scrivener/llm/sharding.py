@@ -1,14 +1,12 @@
 """Sharding by extendible hashing (native: DataFrame and SQL functions only).
 
-The directory is indexed by the leading bits of a 64-bit hash. It starts with as many bits as the total size asks for; a
-bucket over the byte limit splits on its next bit, the others stay. Sizes are summed per directory entry (a partial
-aggregation), so a split is decided on at most 2^STEP numbers of one bucket, never on its documents.
+The directory is indexed by the leading bits of a 64-bit hash. It starts with no bit, one bucket of all; a bucket over the
+byte limit splits on its next bit, the others stay. Sizes are summed per directory entry (a partial aggregation), STEP bits
+at a time, so splits are decided on at most 2^STEP numbers of one bucket, never on its documents.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +35,18 @@ def _split(cells: DataFrame, depth: int, deep: int, limit: int) -> DataFrame:
 def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, shard_id (the bucket's bits), depth, shard_bytes, shard_docs, oversize.
 
-    No shard is over ``limit_bytes`` unless it is one document that alone is over (oversize). Null text has 0 bytes. The
-    first 32 bits hash the id; further bits hash the row's number, so repeated ids, however many, can be split too. An
-    empty table gives an empty result; with one bucket the shard_id is the empty string.
+    No shard is over ``limit_bytes`` unless it is one document that alone is over (oversize), and every shard's parent is
+    over it. Null text has 0 bytes. The first 32 bits are those of the md5 of seed and id (null: as the word null); further
+    bits hash the row's number, so repeated or null ids, however many, can be split too. An empty table gives an empty
+    result; with one bucket the shard_id is the empty string.
     """
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
-    high, low = F.xxhash64(F.lit(seed), F.col(id_col)), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    h = F.shiftleft(F.shiftrightunsigned(high, 32), 32).bitwiseOR(F.shiftrightunsigned(low, 32))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    high, low = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    h = F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(low, 32))
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), h.alias("h")), "shard-rows")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(total / limit_bytes))) if total > limit_bytes else 0
-    done, left = None, rows
+    done, left, depth = None, rows, 0
     while True:
         deep = min(depth + STEP, 63)
         # cells are numbers of at most 63 bits: never negative

@@ -113,7 +113,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
+CACHE_SCHEMA = "digest string, n_tokens long, tokenizer string"
 
 
 def new_cache(spark: SparkSession) -> str:
@@ -124,6 +124,7 @@ def new_cache(spark: SparkSession) -> str:
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
+    """digest, n_tokens, tokenizer; a filter on the tokenizer version reads that folder alone."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], CACHE_SCHEMA)
@@ -135,17 +136,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
 
     The content is normalised only by reading null as the empty text, as anything more would change counts. Contents are
     known by 128 bits of SHA-256. Digests that the cache lacks for this tokenizer version are encoded, each once, and
-    appended to it as new Parquet files; a second call encodes nothing. A retried append may store a count twice: reads
-    take one. Texts are encoded whole. An empty table gives an empty result and appends nothing.
+    appended to its folder; a second call encodes nothing. What is asked is found by digests alone: the cache is only
+    scanned, and the texts of known digests never move unless the misses are too many to broadcast. A retried append may
+    store a count twice: reads take one. Texts are encoded whole. Repeated rows give repeated results; ids of any type come
+    back as they are, null ones too; an empty table gives an empty result and appends nothing.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     digest = F.substring(F.sha2(text_of(text_col), 256), 1, 32)
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     seen = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), digest.alias("digest"))
+    asked = materialize(seen.groupBy("digest").agg(F.first(F.lit(True)).alias("asked")).select("digest"), "asked-digests")
+    # of the cache's rows those that are asked for are grouped, not the whole cache
+    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    stored = materialize(stored, "known-counts")
+    misses = materialize(asked.join(stored, "digest", "left_anti"), "missing-digests")
     # each content once: the partial aggregation keeps one text of each digest per task, so a hot text doesn't meet in one place
-    distinct = docs.select(digest.alias("digest"), text_of(text_col).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti")
+    texts = docs.select(digest.alias("digest"), text_of(text_col).alias("text")).groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if tokenizer_path.endswith(".model"):
@@ -154,11 +160,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
             encode = encoder(tokenizer_path)
             one = lambda text: len(encode(text)) // 4
         for b in batches:
-            yield pd.DataFrame({"tokenizer": version, "digest": b["digest"], "n_tokens": [one(t) for t in b["text"]]})
-
-    in_batches(misses, count, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    # written out, so that the join has plain exchanges on both sides and a hot digest can be split over tasks
-    counts = materialize(read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
-    return seen.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
-
-
+            yield pd.DataFrame({"digest": b["digest"], "n_tokens": [one(t) for t in b["text"]], "tokenizer": version})
+
+    if not misses.isEmpty():
+        in_batches(texts, count, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+        new = read_cache(spark, cache).filter(F.col("tokenizer") == version).join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+        # written out, so that the join has plain exchanges on both sides and a hot digest can be split over tasks
+        stored = materialize(stored.unionByName(new), "token-counts")
+    return seen.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")

@@ -34,6 +34,23 @@ def test_run_and_empty(spark, sf):
     assert docs.count() == 0
 
 
+def test_stages_on_hard_rows(spark, sf):
+    """Null ids, texts and sources, repeated rows, ids that floating point can't hold, clashing names: through all stages."""
+    body = "the cat sat on the mat and ran away from the dog in the town, "
+    rows = [(k, " ".join(f"w{k}x{n}" if n % 9 else f"W{k}x{n}." for n in range(120)), "en", "a", 1) for k in range(20)]
+    rows += [(None, rows[3][1], "en", None, 1), (None, None, None, None, None), ((1 << 53) + 1, body * 9, "en", "b", 7), (5, "", "en", "b", 0), rows[4], rows[4], (6, "x " * 50_000, None, "b", 9)]
+    rows += [(30, rows[7][1] + " mail a@b.co", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("_row", "_key", "_text", "_id", "key", "size", "rep", "n_words", "digest", "times", "range")})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), "hard")
+        assert docs.columns == columns and docs.count()
+    assert not docs.filter(F.col("text").contains("a@b.co")).count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     sf = "/root/testdata/sf0.001"
