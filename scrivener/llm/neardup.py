@@ -283,26 +283,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n_bands: int, rows: in
 
 
 def _open_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that a bucket of more than one class may still link: near in size, of different classes, with a common
-    shingle among their rarest.
+    """The pairs (a, b) that members of buckets of more than one class may still form: of different classes, with a common
+    shingle among their rarest, and enough shingles left behind it.
 
     Ordered by how many of these documents have a shingle, sets of sizes s and t with a Jaccard similarity of J or more share
-    one among the first s - ceil(J s) + 1 and t - ceil(J t) + 1. A passage that many documents hold is last in this order, so
-    it makes no pairs, however large its buckets are; as every shingle's documents have but few in the prefix, nothing is
-    compared with all of its bucket.
+    one among the first s - ceil(J s) + 1 and t - ceil(J t) + 1; if the first that they share stands behind p and q others,
+    they share min(s - p, t - q) at most, and they must share J / (1 + J) (s + t). A passage that many documents hold is last
+    in this order, and edits that no other document has take up the places of a text that is near to nothing: neither makes
+    pairs, however large the buckets are.
     """
-    reps = left.select("rep").distinct()
-    own = materialize(sets.join(reps, "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "open-shingles")
+    odd = F.max((F.col("root") != F.col("first")).cast("int")).alias("odd")
+    reps = materialize(left.groupBy("rep", "size", "root").agg(odd), "open-texts")
+    own = materialize(sets.join(reps.select("rep"), "rep", "left_semi").select("rep", F.explode("shingles").alias("s")), "open-shingles")
     counts = materialize(own.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "common-shingles")
-    # a shingle of one document can't be shared: it takes a place in the prefix but makes no pair
+    # a shingle of one document can't be shared: it takes a place but makes no pair
     ranked = own.join(counts, "s", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "s"))).alias("all"))
     places = F.size("all") - F.ceil(SIMILARITY * F.size("all") - 1e-9).cast("int") + 1
-    prefix = ranked.select("rep", F.explode(F.slice("all", F.lit(1), places)).alias("x")).filter("x.n > 1").select("rep", F.col("x.s").alias("s"))
-    prefix = materialize(prefix, "prefixes")
-    keyed = materialize(left.select("band", "rep", "size", "root").join(prefix, "rep"), "open-keys")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") < F.col("y.rep")) & F.expr(_near("x.size", "y.size"))
-    return x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    prefix = ranked.select("rep", F.posexplode(F.slice("all", F.lit(1), places)).alias("p", "x")).filter("x.n > 1").select("rep", "p", F.col("x.s").alias("s"))
+    keyed = materialize(reps.join(prefix, "rep").withColumn("room", F.col("size") - F.col("p")), "open-keys")
+    x, y = keyed.filter("odd = 1").alias("x"), keyed.alias("y")
+    enough = F.least("x.room", "y.room") >= SIMILARITY / (1 + SIMILARITY) * (F.col("x.size") + F.col("y.size")) - 1e-9
+    met = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.odd") == 0) | (F.col("x.rep") < F.col("y.rep"))) & enough
+    return _ordered(x.join(y, met).select(F.col("x.rep"), F.col("y.rep")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
