@@ -9,34 +9,42 @@ from .text import let, strip
 
 #: Headings of each section; the first section that fits wins.
 ALIASES = {
-    "name": "name|personal details|personal information",
-    "summary": "summary|professional summary|career summary|career objective|objective|profile|about me|about|introduction",
-    "skills": "skills|technical skills|key skills|core skills|skill set|skills summary|technical expertise|technical competencies|technical proficiencies"
-    "|technical knowledge|tools and technologies|tools & technologies|technologies|software skills|programming skills|technology stack|tech stack|core competencies"
-    "|competencies|professional skills|areas of expertise|computer skills|it skills|soft skills",
-    "education": "education|education qualification|educational background|educational qualifications|academic qualifications|education and qualifications"
-    "|education & qualifications|education details|education background|academic background|educational profile|educational summary|academic credentials"
-    "|education and training|qualification|qualifications|degree|degrees",
-    "experience": "experience|work experience|professional experience|employment history|employment|work history|job history|career history|internship|internships"
-    "|professional background|career timeline",
-    "projects": "projects|project|project details|project work|project experience|key projects|academic projects|personal projects",
-    "certifications": "certifications|certification|certificates|professional certifications|technical certifications|certifications and training"
-    "|certifications & training|training and certifications|training & certifications|licenses and certifications|licenses & certifications|credentials"
-    "|professional credentials|courses and certifications|certifications and courses|certifications & courses|certifications/courses",
-    "awards": "awards|achievements|select achievements|key achievements|honors|recognition|accomplishments|awards and achievements",
-    "languages": "languages|languages known|language skills|language proficiency|known languages",
-    "interests": "interests|interests & hobbies|hobbies|personal interests|activities",
-    "references": "references|referees|recommendations|professional references|references upon request",
-    "publications": "publications|papers|research|journal articles",
-    "volunteer": "volunteer|volunteering|community service|social work",
-    "training": "training|trainings attended|workshops|seminars|courses",
-    "patents": "patents|inventions",
-    "presentations": "presentations|talks|lectures",
-    "affiliations": "affiliations|memberships",
-    "service": "service",
-    "strengths": "strengths|core strengths",
-    "declaration": "declaration|statement",
-    "contact": "contact|personal profile|contact details|contact information",
+    "name": ("name", "personal details", "personal information"),
+    "summary": ("summary", "professional summary", "career summary", "career objective", "objective", "profile", "about me", "about", "introduction"),
+    "skills": (
+        "skills", "technical skills", "key skills", "core skills", "skill set", "skills summary", "technical expertise", "technical competencies", "technical proficiencies",
+        "technical knowledge", "tools and technologies", "tools & technologies", "technologies", "software skills", "programming skills", "technology stack", "tech stack", "core competencies",
+        "competencies", "professional skills", "areas of expertise", "computer skills", "it skills", "soft skills",
+    ),
+    "education": (
+        "education", "education qualification", "educational background", "educational qualifications", "academic qualifications", "education and qualifications", "education & qualifications",
+        "education details", "education background", "academic background", "educational profile", "educational summary", "academic credentials", "education and training", "qualification",
+        "qualifications", "degree", "degrees",
+    ),
+    "experience": (
+        "experience", "work experience", "professional experience", "employment history", "employment", "work history", "job history", "career history", "internship", "internships",
+        "professional background", "career timeline",
+    ),
+    "projects": ("projects", "project", "project details", "project work", "project experience", "key projects", "academic projects", "personal projects"),
+    "certifications": (
+        "certifications", "certification", "certificates", "professional certifications", "technical certifications", "certifications and training", "certifications & training",
+        "training and certifications", "training & certifications", "licenses and certifications", "licenses & certifications", "credentials", "professional credentials",
+        "courses and certifications", "certifications and courses", "certifications & courses", "certifications/courses",
+    ),
+    "awards": ("awards", "achievements", "select achievements", "key achievements", "honors", "recognition", "accomplishments", "awards and achievements"),
+    "languages": ("languages", "languages known", "language skills", "language proficiency", "known languages"),
+    "interests": ("interests", "interests & hobbies", "hobbies", "personal interests", "activities"),
+    "references": ("references", "referees", "recommendations", "professional references", "references upon request"),
+    "publications": ("publications", "papers", "research", "journal articles"),
+    "volunteer": ("volunteer", "volunteering", "community service", "social work"),
+    "training": ("training", "trainings attended", "workshops", "seminars", "courses"),
+    "patents": ("patents", "inventions"),
+    "presentations": ("presentations", "talks", "lectures"),
+    "affiliations": ("affiliations", "memberships"),
+    "service": ("service",),
+    "strengths": ("strengths", "core strengths"),
+    "declaration": ("declaration", "statement"),
+    "contact": ("contact", "personal profile", "contact details", "contact information"),
 }
 #: Words that may follow a heading.
 TAIL_WORDS = "details|detail|summary|section|profile|background|history|overview|highlights|highlight|information|and"
@@ -61,30 +69,34 @@ def allowed_tail(tail: Column) -> Column:
     return (tail == "") | tail.rlike(rf"^[\s/&]*(?:{TAIL_WORDS})(?:[\s/&]+(?:{TAIL_WORDS}))?[\s/&]*$")
 
 
-def _any_in(heads: Column, words: str) -> Column:
-    return F.exists(heads, lambda x: F.coalesce(x.isin(*words.split("|")), F.lit(False)))
+#: First words of the aliases: a line that begins otherwise is no heading, and nothing more is asked about it.
+_FIRST = sorted({alias.split(" ")[0] for words in ALIASES.values() for alias in words})
+_ALL = sorted({alias for words in ALIASES.values() for alias in words})
 
 
 def canonical(line: Column) -> Column:
     """The section that the line heads, or null.
 
-    A hashed set lookup for each section: the whole line, or the line without a tail of a few words. No join is needed.
+    Hashed set look-ups: the whole line, or the line without a tail of a few words. No join is needed. Most lines are
+    settled by their first word, and sections are told apart only where one of all aliases has been found.
     """
 
+    def heads_of(p: Column, normal: Column) -> Column:
+        heads = [(F.lit(True), normal)]
+        for k in range(1, TAIL_PARTS + 1):
+            n = F.size(p) - k
+            head = F.when(n > 0, F.array_join(F.slice(p, 1, F.greatest(n, F.lit(0))), " "))
+            tail = F.array_join(F.slice(p, F.greatest(n, F.lit(0)) + 1, k), " ")
+            heads.append(((n > 0) & allowed_tail(tail), head))
+        return F.filter(F.array(*[F.when(F.coalesce(ok, F.lit(False)), head) for ok, head in heads]), lambda h: F.coalesce(h.isin(*_ALL), F.lit(False)))
+
+    def named(heads: Column) -> Column:
+        any_of = lambda words: F.exists(heads, lambda h: h.isin(*words))
+        return F.when(F.size(heads) > 0, F.coalesce(*[F.when(any_of(words), name) for name, words in ALIASES.items()]))
+
     def section(normal: Column) -> Column:
-        parts = F.split(normal, " ")
-
-        def find(p: Column) -> Column:
-            heads = [(F.lit(True), normal)]
-            for k in range(1, TAIL_PARTS + 1):
-                n = F.size(p) - k
-                head = F.when(n > 0, F.array_join(F.slice(p, 1, F.greatest(n, F.lit(0))), " "))
-                tail = F.array_join(F.slice(p, F.greatest(n, F.lit(0)) + 1, k), " ")
-                heads.append(((n > 0) & allowed_tail(tail), head))
-            found = [F.when(F.coalesce(ok, F.lit(False)), head) for ok, head in heads]
-            return let(F.array(*found), lambda h: F.coalesce(*[F.when(_any_in(h, words), name) for name, words in ALIASES.items()]))
-
-        return F.when(~is_noise(normal), let(parts, find))
+        possible = F.substring_index(normal, " ", 1).isin(*_FIRST) & ~is_noise(normal)
+        return F.when(possible, let(F.split(normal, " "), lambda p: let(heads_of(p, normal), named)))
 
     return let(normalize_line(line), section)
 

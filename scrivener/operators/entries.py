@@ -182,40 +182,6 @@ def _facts(x: Column) -> Column:
     )
 
 
-#: Skills of the tracking-system format, and verbs of its bullets.
-ATS_SKILLS = "python java javascript sql react angular node aws azure docker kubernetes git linux html css excel tableau spark hadoop".split()
-ATS_VERBS = "developed|managed|led|built|created|designed|implemented|improved|increased|reduced|launched|delivered|coordinated"
-
-
-def is_ats(docs: DataFrame) -> DataFrame:
-    """doc_id, indicators, is_ats: two or more of bars, dated rows, labelled skills and capital headings."""
-    x = F.col("line")
-    signs = (
-        F.max((F.size(F.split(x, r"\|")) >= 3).cast("int")) + F.max(x.rlike(r"\|.*\b(?:19|20)\d{2}\b").cast("int")) + F.max(F.lower(x).rlike(r"^(?:technical )?skills?\s*:").cast("int"))
-        + F.max(x.rlike(r"^[A-Z][A-Z &]{5,}$").cast("int"))
-    )
-    return lines(docs).groupBy("doc_id").agg(signs.alias("indicators")).withColumn("is_ats", F.col("indicators") >= 2)
-
-
-def ats_skills(docs: DataFrame, skills: list[str] = ATS_SKILLS) -> DataFrame:
-    """doc_id, text, confidence: skills of the dictionary found as words, sorted; 0.3 and 0.05 each, 0.95 at most."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = F.filter(F.array(*[F.when(low.rlike(rf"\b{s}\b"), s) for s in sorted(skills)]), lambda s: s.isNotNull())
-    n = F.size(found)
-    return docs.select("doc_id", F.array_join(found, ", ").alias("text"), F.when(n > 0, F.least(0.3 + 0.05 * n, F.lit(0.95))).otherwise(0.0).alias("confidence"))
-
-
-def ats_experience(docs: DataFrame, most: int = 10) -> DataFrame:
-    """doc_id, text, confidence: rows with bars and a year, and bullets with a verb; distinct by their first 50 characters."""
-    x = F.col("line")
-    picked = lines(docs).filter((x.contains("|") & x.rlike(r"\b(?:19|20)\d{2}\b")) | (x.rlike(r"^[-•*]") & F.lower(x).rlike(rf"\b(?:{ATS_VERBS})\b")))
-    same = Window.partitionBy("doc_id", F.substring("line", 1, 50)).orderBy("line_no")
-    picked = picked.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
-    picked = picked.withColumn("rank", F.row_number().over(doc_order())).filter(F.col("rank") <= most)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda v: v["line"]), "\n")
-    return picked.groupBy("doc_id").agg(text.alias("text"), F.least(0.4 + 0.1 * F.count("*"), F.lit(0.9)).alias("confidence"))
-
-
 def names(docs: DataFrame, first_names: DataFrame | None = None, most_lines: int = 15) -> DataFrame:
     """doc_id, name, confidence: the best candidate among the first lines.
 

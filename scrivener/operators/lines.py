@@ -112,42 +112,48 @@ def section_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept.withColumn("nth", F.row_number().over(same)).filter("nth = 1 or line = ''").drop("nth")
 
 
+def _chunks(inside: DataFrame) -> DataFrame:
+    """doc_id, section, chunk, text, marks: sessions of the lines of each section; sections without entries are one session."""
+    order = Window.partitionBy("doc_id", "section").orderBy("line_no")
+    blank_before = F.lag("line", 1, "").over(order) == ""
+    starts = (F.col("line") != "") & F.col("section").isin("experience", "education") & (blank_before | starts_entry(F.col("line"), F.col("section")))
+    numbered = inside.withColumn("starts", starts).withColumn("chunk", F.sum(F.col("starts").cast("int")).over(order)).filter("line <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    marks = F.sum(F.when(F.col("line").startswith("- "), 1).otherwise(0) + F.when(F.col("line").rlike("[,|]"), 1).otherwise(0))
+    return numbered.groupBy("doc_id", "section", "chunk").agg(text.alias("text"), marks.alias("marks"))
+
+
 def entry_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, section, entry_no (from 1), entry: sessions of the lines of experience and education.
 
     A new one begins at a line that starts an entry or after a blank line. Entries of up to two characters go.
     """
     inside = section_lines(docs, id_col, text_col).filter(F.col("section").isin("experience", "education"))
-    order = Window.partitionBy("doc_id", "section").orderBy("line_no")
-    blank_before = F.lag("line", 1, "").over(order) == ""
-    marked = inside.withColumn("starts", (F.col("line") != "") & (blank_before | starts_entry(F.col("line"), F.col("section"))))
-    numbered = marked.withColumn("chunk", F.sum(F.col("starts").cast("int")).over(order)).filter("line <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    chunks = numbered.groupBy("doc_id", "section", "chunk").agg(F.trim(text).alias("entry")).filter(F.length("entry") > 2)
+    chunks = _chunks(inside).withColumn("entry", F.trim("text")).filter(F.length("entry") > 2)
     nth = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("chunk"))
     return chunks.select("doc_id", "section", nth.alias("entry_no"), "entry")
 
 
 def isolated_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, section, text, confidence, valid: sections by their headings, scored by words, patterns and entries."""
-    all_lines = section_lines(docs, id_col, text_col).filter("line <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    marks = F.sum(F.when(F.col("line").startswith("- "), 1).otherwise(0) + F.when(F.col("line").rlike("[,|]"), 1).otherwise(0))
-    plain = all_lines.groupBy("doc_id", "section").agg(text.alias("lines_text"), marks.alias("marks"))
-    entries = entry_chunks(docs, id_col, text_col).groupBy("doc_id", "section").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "entry"))), lambda x: x["entry"]), "\n\n").alias("entries_text"), F.count("*").alias("entries")
-    )
-    both = plain.join(entries, ["doc_id", "section"], "left")
+    """doc_id, section, text, confidence, valid: sections by their headings, scored by words, patterns and entries.
+
+    Lines are read once: sessions give the entries, and their texts in order the section.
+    """
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
+    grouped = _chunks(section_lines(docs, id_col, text_col)).groupBy("doc_id", "section").agg(in_order.alias("chunks"), F.sum("marks").alias("marks"))
+    listed = F.filter(F.transform("chunks", lambda x: F.trim(x)), lambda x: F.length(x) > 2)
+    both = grouped.select("doc_id", "section", "marks", F.array_join("chunks", "\n").alias("lines_text"), F.when(F.col("section").isin("experience", "education"), listed).alias("entries"))
     t = F.col("lines_text")
     words = F.size(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)))
     pattern, shape = F.lit(0.0), F.lit(0.0)
     for name, ps in PATTERNS.items():
         found = sum((F.when(t.rlike(f"(?i){p}"), 1).otherwise(0) for p in ps), F.lit(0))
         pattern = F.when(F.col("section") == name, found / float(len(ps)) * 0.50).otherwise(pattern)
-    shape = F.when(F.col("section").isin("experience", "education"), share(F.coalesce("entries", F.lit(0)), 3, 0.25)).when(
+    shape = F.when(F.col("section").isin("experience", "education"), share(F.size("entries"), 3, 0.25)).when(
         F.col("section").isin("skills", "projects", "certifications"), share(F.col("marks"), 5, 0.25)).otherwise(shape)
     score = F.round(F.least(share(words, 80, 0.25) + pattern + shape, F.lit(1.0)), 2)
-    out = both.select("doc_id", "section", F.coalesce("entries_text", "lines_text").alias("text"), score.alias("confidence"))
+    text = F.when(F.size("entries") > 0, F.array_join("entries", "\n\n")).otherwise(t)
+    out = both.select("doc_id", "section", text.alias("text"), score.alias("confidence"))
     return out.withColumn("valid", (F.col("text") != "") & (F.col("confidence") >= 0.2))
 
 

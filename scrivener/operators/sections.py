@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import hits, non_blank_lines, share
-from ..functions.text import lines_of, let, strip, text_or_empty
+from ..functions.text import distinct_ci, lines_of, let, strip, text_or_empty
 
 SEPARATOR = r"^[-–—=_*#]+$"
 YEARS_ONLY = r"^(?:19|20)\d{2}(?:\s*[-–]\s*(?:19|20)\d{2})?$"
@@ -28,12 +28,14 @@ class Section:
     blank, hyphen or colon and is shorter than ``inner``. It is a stop if it is one of ``stops`` or begins with one
     (``loose``: anything may follow; else white space, colon or dash), or contains one and is shorter than ``contains``;
     unless loose, the last holds only once something is captured. ``confidence`` is (items, weight, matches, weight,
-    characters, weight); ``boost`` multiplies what is above (score, length).
+    characters, weight); ``boost`` multiplies what is above (score, length). Where the headers find nothing, lines with one of
+    ``keywords`` are taken, each with the line before if that is shorter than ``before``, has at most ``words`` words and no
+    stop word.
     """
 
     name: str
-    headers: str
-    stops: str
+    headers: tuple[str, ...]
+    stops: tuple[str, ...]
     prefix: int = 50
     inner: int = 0
     loose: bool = False
@@ -45,33 +47,55 @@ class Section:
     patterns: tuple[str, ...] = ()
     confidence: tuple[float, ...] = (3, 0.4, 3, 0.4, 100, 0.2)
     boost: tuple[float, float, int] | None = None
+    keywords: tuple[str, ...] = ()
+    before: int = 50
+    words: int = 1000
 
 
 #: Header words, stop words and patterns of the sections.
-_COMMON = "skills|education|experience|projects|certifications|summary|about|interests|hobbies|references|declaration|languages"
+_COMMON = ("skills", "education", "experience", "projects", "certifications", "summary", "about", "interests", "hobbies", "references", "declaration", "languages")
 LANGUAGES = (
     "english|hindi|telugu|tamil|kannada|malayalam|marathi|gujarati|bengali|punjabi|urdu|french|german|spanish|portuguese|italian|chinese|japanese|korean|arabic|russian|dutch"
     "|swedish|norwegian|danish|finnish|polish|turkish|vietnamese|thai|indonesian|malay|tagalog|swahili|hebrew|greek|latin|sanskrit"
 )
+AWARD_WORDS = (
+    r"\b(awarded|won|received|achieved|earned|granted)\b", r"\b(prize|medal|certificate|recognition|trophy|plaque)\b", r"\b(winner|first|second|third|top|best|honorable)\b",
+    r"\b(competition|contest|event|hackathon|challenge)\b", r"\b(scholarship|fellowship|stipend)\b", r"\b(dean.*list|president.*list|honor.*roll)\b",
+)
+CERTIFICATE_WORDS = (
+    r"\bcertified\b", r"\bcertificate\b", r"\bcertification\b", r"\baws\b", r"\bazure\b", r"\bgcp\b", r"\bgoogle cloud\b", r"\bpmp\b", r"\bscrum\b", r"\bagile\b", r"\bpmi\b", r"\bitil\b",
+    r"\bccna\b", r"\bccnp\b", r"\bmcse\b", r"\bmcsa\b", r"\biso\b", r"\bceh\b", r"\bcissp\b", r"\bcisa\b", r"\bcomptia\b", r"\bsalesforce\b", r"\boracle\b", r"\bjava\b", r"\bpython\b",
+    r"\bmicrosoft certified\b", r"\bgoogle certified\b", r"\bcisco\b", r"\bvmware\b", r"\bredhat\b", r"\bprofessional\b", r"\bspecialist\b", r"\bexpert\b",
+)
+REFERENCE_WORDS = (r"\b(reference|referee|recommend)\b", r"\b(contact|phone|email)\b", r"\b(mr\.|mrs\.|ms\.|dr\.)\b", r"\b(professor|manager|director|ceo|cto|vp|head)\b")
 SECTIONS = (
     Section(
         "education",
-        "education|education qualification|educational qualifications|academic qualifications|education & qualifications|education details|education background"
-        "|educational background|academic background|educational profile|educational summary|academic credentials|qualification|qualifications|academic details|degree|degrees",
-        "skills|projects|certifications|experience|summary|about|technical skills|work experience|employment|internships|achievements|awards|objective|career objective"
-        "|project details|training|trainings attended",
+        (
+            "education", "education qualification", "educational qualifications", "academic qualifications", "education & qualifications", "education details", "education background",
+            "educational background", "academic background", "educational profile", "educational summary", "academic credentials", "qualification", "qualifications", "academic details",
+            "degree", "degrees",
+        ),
+        (
+            "skills", "projects", "certifications", "experience", "summary", "about", "technical skills", "work experience", "employment", "internships", "achievements", "awards", "objective",
+            "career objective", "project details", "training", "trainings attended",
+        ),
         inner=40, loose=True, shortest=3, no_years=True, distinct="cs",
         patterns=(r"\b(bachelor|master|phd|doctorate|diploma|certificate)\b", r"\b(20\d{2}|19\d{2})\b", r"\b(university|college|institute|school)\b", r"\b(gpa|grade|percentage|score)\b"),
         confidence=(5, 0.4, 8, 0.4, 300, 0.2),
     ),
     Section(
         "experience",
-        "experience|work experience|employment history|employment|professional experience|work history|job history|career history|internship|internships|practical experience"
-        "|work experience details|employment details|professional history|career details|job profile|responsibilities|duties|employment record|professional background"
-        "|career timeline|job experience",
-        "skills|education|projects|certifications|summary|about|technical skills|strength|strengths|personal details|extra-curricular activities|languages|interests|hobbies"
-        "|references|declaration|objective|career objective|introduction|contact|achievements|awards|publications|volunteer experience|training|workshops|seminars"
-        "|awards & achievements",
+        (
+            "experience", "work experience", "employment history", "employment", "professional experience", "work history", "job history", "career history", "internship", "internships",
+            "practical experience", "work experience details", "employment details", "professional history", "career details", "job profile", "responsibilities", "duties", "employment record",
+            "professional background", "career timeline", "job experience",
+        ),
+        (
+            "skills", "education", "projects", "certifications", "summary", "about", "technical skills", "strength", "strengths", "personal details", "extra-curricular activities", "languages",
+            "interests", "hobbies", "references", "declaration", "objective", "career objective", "introduction", "contact", "achievements", "awards", "publications", "volunteer experience",
+            "training", "workshops", "seminars", "awards & achievements",
+        ),
         prefix=60, loose=True, distinct="cs",
         patterns=(
             r"\b(company|organization|employer|work|job|role|position)\b", r"\b(20\d{2}|19\d{2})\b", r"\b(developer|engineer|manager|analyst|designer|consultant|intern|trainee)\b",
@@ -81,8 +105,13 @@ SECTIONS = (
     ),
     Section(
         "projects",
-        "projects|project|academic projects|personal projects|project experience|project details|key projects|project work|major projects|minor projects",
-        "education|experience|technical skills|soft skills|skills|certifications|certificates|languages|declaration|summary|about|contact|references|achievements|awards",
+        (
+            "projects", "project", "academic projects", "personal projects", "project experience", "project details", "key projects", "project work", "major projects", "minor projects",
+        ),
+        (
+            "education", "experience", "technical skills", "soft skills", "skills", "certifications", "certificates", "languages", "declaration", "summary", "about", "contact", "references",
+            "achievements", "awards",
+        ),
         prefix=60, loose=True, no_years=True, distinct="",
         patterns=(
             r"\b(developed|built|created|designed|implemented|led)\b", r"\b(python|java|javascript|react|angular|node|django|flask)\b",
@@ -93,11 +122,16 @@ SECTIONS = (
     ),
     Section(
         "certifications",
-        "certifications|certificates|certification|credentials|licenses|licenses & certifications|certifications & licenses|professional certifications|certifications earned"
-        "|certifications obtained|certified|license|certifications and licenses|professional credentials|certification details",
-        "skills|projects|education|experience|summary|about|technical skills|work experience|employment|internships|achievements|awards|languages|interests|hobbies|references"
-        "|declaration|contact|personal details",
+        (
+            "certifications", "certificates", "certification", "credentials", "licenses", "licenses & certifications", "certifications & licenses", "professional certifications",
+            "certifications earned", "certifications obtained", "certified", "license", "certifications and licenses", "professional credentials", "certification details",
+        ),
+        (
+            "skills", "projects", "education", "experience", "summary", "about", "technical skills", "work experience", "employment", "internships", "achievements", "awards", "languages",
+            "interests", "hobbies", "references", "declaration", "contact", "personal details",
+        ),
         inner=40, contains=30, shortest=3, no_years=True,
+        keywords=CERTIFICATE_WORDS,
         patterns=(
             r"\b(certified|certificate|certification)\b", r"\b(aws|azure|gcp|google|amazon|microsoft)\b", r"\b(pmp|scrum|agile|pmi|itil|ccna|ccnp|mcse|mcsa)\b",
             r"\b(iso|ceh|cissp|cisa|comptia)\b",
@@ -106,45 +140,53 @@ SECTIONS = (
     ),
     Section(
         "awards",
-        "awards|achievements|honors|recognition|accomplishments|awards & achievements|awards and achievements|honors & awards|achievements & awards|awards received|awards earned"
-        "|honors and awards|professional awards|academic honors|awards and recognitions|certifications and awards",
-        "skills|projects|education|experience|certifications|summary|about|technical skills|work experience|employment|internships|languages|interests|hobbies|references"
-        "|declaration|contact|personal details|publications|volunteer|training|workshops",
-        inner=40, contains=30, shortest=3, no_years=True,
-        patterns=(
-            r"\b(awarded|won|received|achieved|earned|granted)\b", r"\b(prize|medal|certificate|recognition|trophy|plaque)\b", r"\b(winner|first|second|third|top|best|honorable)\b",
-            r"\b(competition|contest|event|hackathon|challenge)\b", r"\b(scholarship|fellowship|stipend)\b", r"\b(dean.*list|president.*list|honor.*roll)\b",
+        (
+            "awards", "achievements", "honors", "recognition", "accomplishments", "awards & achievements", "awards and achievements", "honors & awards", "achievements & awards",
+            "awards received", "awards earned", "honors and awards", "professional awards", "academic honors", "awards and recognitions", "certifications and awards",
+        ),
+        (
+            "skills", "projects", "education", "experience", "certifications", "summary", "about", "technical skills", "work experience", "employment", "internships", "languages", "interests",
+            "hobbies", "references", "declaration", "contact", "personal details", "publications", "volunteer", "training", "workshops",
         ),
+        inner=40, contains=30, shortest=3, no_years=True,
+        patterns=AWARD_WORDS, keywords=AWARD_WORDS,
         confidence=(5, 0.4, 5, 0.4, 150, 0.2), boost=(1.2, 0.3, 20),
     ),
     Section(
         "references",
-        "references|referees|recommendations|professional references|personal references|character references|reference available|references furnished|references upon request",
-        "skills|projects|education|experience|certifications|summary|about|technical skills|work experience|employment|internships|languages|interests|hobbies|awards"
-        "|achievements|declaration|contact|personal details|publications|volunteer|training|workshops|signature",
+        (
+            "references", "referees", "recommendations", "professional references", "personal references", "character references", "reference available", "references furnished",
+            "references upon request",
+        ),
+        (
+            "skills", "projects", "education", "experience", "certifications", "summary", "about", "technical skills", "work experience", "employment", "internships", "languages", "interests",
+            "hobbies", "awards", "achievements", "declaration", "contact", "personal details", "publications", "volunteer", "training", "workshops", "signature",
+        ),
         inner=40, contains=30, shortest=3, no_years=True,
-        patterns=(r"\b(reference|referee|recommend)\b", r"\b(contact|phone|email)\b", r"\b(mr\.|mrs\.|ms\.|dr\.)\b", r"\b(professor|manager|director|ceo|cto|vp|head)\b"),
+        patterns=REFERENCE_WORDS, keywords=REFERENCE_WORDS, before=60, words=5,
         boost=(1.2, 0.3, 30),
     ),
     Section(
         "contact",
-        "contact|contact details|contact information|personal details|personal information|contact me|reach me|communication details",
+        ("contact", "contact details", "contact information", "personal details", "personal information", "contact me", "reach me", "communication details"),
         _COMMON, inner=40, contains=30, shortest=3,
         patterns=(r"[\w.-]+@[\w.-]+\.\w+", r"\+?[\d\s\-–()]{10,}", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"[\w\s,]+,\s*[\w\s]+,\s*[\w\s]+"),
         confidence=(3, 0.4, 2, 0.4, 100, 0.2), boost=(1.2, 0.3, 20),
     ),
     Section(
         "declaration",
-        "declaration|statement|legal declaration|affidavit|declaration statement|personal declaration|certification",
-        "skills|education|experience|projects|certifications|summary|about|interests|hobbies|references|languages", inner=40, contains=30, shortest=3,
+        ("declaration", "statement", "legal declaration", "affidavit", "declaration statement", "personal declaration", "certification"),
+        ("skills", "education", "experience", "projects", "certifications", "summary", "about", "interests", "hobbies", "references", "languages"), inner=40, contains=30, shortest=3,
         patterns=(r"\b(declare|declared|hereby|certify|certified)\b", r"\b(believe|truth|accurate|best of my knowledge)\b", r"\b(signature|date|place)\b"),
         confidence=(3, 0.4, 3, 0.4, 200, 0.2), boost=(1.2, 0.3, 20),
     ),
     Section(
         "strengths",
-        "strengths|strength|key strengths|personal strengths|core strengths|strong suits|key competencies|personal qualities|soft skills|key attributes|positive traits"
-        "|professional strengths",
-        f"{_COMMON}|awards|achievements", inner=40, contains=30, shortest=3,
+        (
+            "strengths", "strength", "key strengths", "personal strengths", "core strengths", "strong suits", "key competencies", "personal qualities", "soft skills", "key attributes",
+            "positive traits", "professional strengths",
+        ),
+        (*_COMMON, "awards", "achievements"), inner=40, contains=30, shortest=3,
         patterns=(
             r"\b(leadership|communication|teamwork|problem.solving|critical.thinking)\b", r"\b(analytical|creative|innovative|adaptable|flexible)\b",
             r"\b(organized|detail.oriented|time.management|multitasking)\b", r"\b(confident|self.motivated|proactive|ambitious)\b",
@@ -153,17 +195,24 @@ SECTIONS = (
     ),
     Section(
         "training",
-        "training|trainings|workshops|seminars|courses|professional development|training & development|training programs|workshops & seminars|training courses"
-        "|corporate training|skill development|learning & development|trainings attended|internship|internships",
-        f"{_COMMON}|awards|achievements|publications", inner=40, contains=30, shortest=3, no_years=True,
+        (
+            "training", "trainings", "workshops", "seminars", "courses", "professional development", "training & development", "training programs", "workshops & seminars", "training courses",
+            "corporate training", "skill development", "learning & development", "trainings attended", "internship", "internships",
+        ),
+        (*_COMMON, "awards", "achievements", "publications"), inner=40, contains=30, shortest=3, no_years=True,
         patterns=(r"\b(training|workshop|seminar|course|certified|completed)\b", r"\b(attended|participated|undergone|undertook)\b", r"\b(certificate|diploma|program|bootcamp)\b"),
         confidence=(3, 0.4, 3, 0.4, 150, 0.2), boost=(1.2, 0.3, 20),
     ),
     Section(
         "extra-curricular",
-        "extra-curricular|extracurricular|co-curricular|extra curricular|extracurricular activities|extra-curricular activities|co-curricular activities|activities|sports|games"
-        "|cultural activities|leadership activities|club activities|events|competitions",
-        "skills|education|experience|projects|certifications|summary|about|references|declaration|languages|awards|achievements|publications|volunteer",
+        (
+            "extra-curricular", "extracurricular", "co-curricular", "extra curricular", "extracurricular activities", "extra-curricular activities", "co-curricular activities", "activities",
+            "sports", "games", "cultural activities", "leadership activities", "club activities", "events", "competitions",
+        ),
+        (
+            "skills", "education", "experience", "projects", "certifications", "summary", "about", "references", "declaration", "languages", "awards", "achievements", "publications",
+            "volunteer",
+        ),
         inner=40, contains=30, shortest=3, no_years=True,
         patterns=(
             r"\b(sports|football|cricket|basketball|tennis|badminton)\b", r"\b(dance|music|drama|art|painting|photography)\b", r"\b(club|society|committee|event|competition)\b",
@@ -173,46 +222,73 @@ SECTIONS = (
     ),
     Section(
         "languages",
-        "languages|language skills|known languages|language proficiency|linguistic skills|communication skills|spoken languages",
-        "skills|education|experience|projects|certifications|summary|about|interests|hobbies|references|declaration", loose=True, distinct="cs", only=f"(?:{LANGUAGES})",
+        ("languages", "language skills", "known languages", "language proficiency", "linguistic skills", "communication skills", "spoken languages"),
+        ("skills", "education", "experience", "projects", "certifications", "summary", "about", "interests", "hobbies", "references", "declaration"), loose=True, distinct="cs", only=f"(?:{LANGUAGES})",
         patterns=(f"(?m)^.*?(?:{LANGUAGES}).*$",),
     ),
     Section(
         "interests",
-        "interests|hobbies|personal interests|activities|interest|hobby|leisure activities|pastimes",
-        "skills|education|experience|projects|certifications|summary|references|declaration|languages|personal profile|languages known|email|mobile|contact",
+        ("interests", "hobbies", "personal interests", "activities", "interest", "hobby", "leisure activities", "pastimes"),
+        (
+            "skills", "education", "experience", "projects", "certifications", "summary", "references", "declaration", "languages", "personal profile", "languages known", "email", "mobile",
+            "contact",
+        ),
         loose=True, distinct="cs", confidence=(3, 0.5, 1, 0.0, 100, 0.5),
     ),
     Section(
         "achievements",
-        "achievements|awards|honors|recognition|accomplishments|awards & achievements|awards and achievements|honors & awards",
-        "skills|education|experience|projects|certifications|summary|references|declaration|languages|interests|professional experience|work experience|employment history"
-        "|tools & technologies|tools and technologies|additional information",
+        ("achievements", "awards", "honors", "recognition", "accomplishments", "awards & achievements", "awards and achievements", "honors & awards"),
+        (
+            "skills", "education", "experience", "projects", "certifications", "summary", "references", "declaration", "languages", "interests", "professional experience", "work experience",
+            "employment history", "tools & technologies", "tools and technologies", "additional information",
+        ),
         loose=True, distinct="cs",
         patterns=(r"\b(awarded|won|received|achieved|earned|granted)\b", r"\b(prize|medal|certificate|recognition|trophy)\b", r"\b(winner|first|second|third|top|best)\b"),
         confidence=(3, 0.4, 3, 0.3, 150, 0.3),
     ),
     Section(
         "publications",
-        "publications|papers|research|conference papers|journal articles|thesis|dissertation|books|presentations",
-        "skills|education|experience|projects|certifications|summary|references|declaration|awards", loose=True, distinct="cs",
+        ("publications", "papers", "research", "conference papers", "journal articles", "thesis", "dissertation", "books", "presentations"),
+        ("skills", "education", "experience", "projects", "certifications", "summary", "references", "declaration", "awards"), loose=True, distinct="cs",
         patterns=(r"\b(published|presented|conference|journal|paper|article)\b", r"\b(research|study|analysis)\b", r"\b(isbn|doi|volume|issue)\b"),
         confidence=(3, 0.4, 3, 0.3, 200, 0.3),
     ),
     Section(
         "volunteer",
-        "volunteer|volunteering|community service|social work|charity|community involvement|social activities",
-        "skills|education|experience|projects|certifications|summary|references|declaration|awards", loose=True, distinct="cs",
+        ("volunteer", "volunteering", "community service", "social work", "charity", "community involvement", "social activities"),
+        ("skills", "education", "experience", "projects", "certifications", "summary", "references", "declaration", "awards"), loose=True, distinct="cs",
         patterns=(r"\b(volunteer|community|charity|non-profit|social)\b", r"\b(organization|foundation|trust|society)\b"),
         confidence=(3, 0.4, 2, 0.3, 150, 0.3),
     ),
 )
 BY_NAME = {s.name: s for s in SECTIONS}
+_AFTER_CONTACT = (
+    "skills", "education", "experience", "projects", "certifications", "summary", "about", "interests", "hobbies", "references", "declaration", "languages", "awards", "achievements",
+    "publications", "volunteer",
+)
+#: Headed sections of addresses, numbers and links.
+CONTACTS = (
+    Section(
+        "email", ("email", "email address", "email id", "e-mail", "mail", "electronic mail", "contact email", "personal email", "official email", "email id:"), (*_AFTER_CONTACT, "training"),
+        contains=30, shortest=3,
+    ),
+    Section(
+        "phone",
+        (
+            "phone", "phone number", "contact number", "mobile", "mobile number", "telephone", "tel", "cell", "cell number", "phone no", "phone no.", "contact phone", "phone:", "mobile:", "tel:",
+            "ph:", "ph no",
+        ),
+        (*_AFTER_CONTACT, "training"), contains=30, shortest=3,
+    ),
+    Section(
+        "links", ("links", "contact links", "social links", "profiles", "online profiles", "web links", "website", "urls", "social media", "portfolio"), _AFTER_CONTACT, contains=30, shortest=3,
+    ),
+)
 
 
-def _one_of(words: str) -> str:
+def _one_of(words: Sequence[str]) -> str:
     """Longest first, so that the alternation finds the longest word that fits."""
-    return "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-").replace("\\&", "&") for w in sorted(set(words.split("|")), key=lambda w: (-len(w), w)))
+    return "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-").replace("\\&", "&") for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
 def header_pattern(s: Section) -> tuple[str, str, str]:
@@ -269,6 +345,20 @@ def capture(lines: Column, s: Section) -> Column:
     return kept
 
 
+def by_keywords(lines: Column, s: Section) -> Column:
+    """The lines with a keyword and what may introduce them, distinct up to case."""
+
+    def pick(x: Column, i: Column) -> Column:
+        previous = F.get(lines, i - 1)
+        stops = "|".join(re.escape(w) for w in s.stops)
+        words = F.size(F.regexp_extract_all(previous, F.lit(r"\S+"), F.lit(0)))
+        leads = (i > 0) & (previous != "") & (F.length(previous) < s.before) & ~F.lower(previous).rlike(stops) & (words <= s.words)
+        hit = F.lower(x).rlike("|".join(s.keywords))
+        return F.when(hit & F.coalesce(leads, F.lit(False)), F.array(previous, x)).when(hit, F.array(x)).otherwise(F.array().cast("array<string>"))
+
+    return distinct_ci(F.flatten(F.transform(lines, pick)))
+
+
 def confidence(text: Column, s: Section) -> Column:
     """Of items, matches and length, to two decimals; 0 for a blank text."""
     a, wa, b, wb, c, wc = s.confidence
@@ -286,7 +376,12 @@ def extract_sections(docs: DataFrame, sections: Sequence[Section] = SECTIONS, id
     """
     lines = F.transform(lines_of(F.col(text_col)), lambda x: strip(x))
     found = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"))
-    each = F.array(*[F.struct(F.lit(s.name).alias("section"), F.array_join(capture(F.col("_lines"), s), "\n").alias("text")) for s in sections])
+
+    def text(s: Section) -> Column:
+        own = capture(F.col("_lines"), s)
+        return F.array_join(let(own, lambda a: F.when(F.size(a) > 0, a).otherwise(by_keywords(F.col("_lines"), s))) if s.keywords else own, "\n")
+
+    each = F.array(*[F.struct(F.lit(s.name).alias("section"), text(s).alias("text")) for s in sections])
     rows = found.select("doc_id", F.inline(each))
     score = F.coalesce(*[F.when(F.col("section") == s.name, confidence(F.col("text"), s)) for s in sections])
     return rows.select("doc_id", "section", "text", score.alias("confidence"))
@@ -294,15 +389,20 @@ def extract_sections(docs: DataFrame, sections: Sequence[Section] = SECTIONS, id
 
 #: What a line of skills is not.
 _SKILL_HEADERS = (
-    "skills|technical skills|key skills|core skills|skill set|skills summary|technical expertise|technical competencies|technical proficiencies|technical knowledge"
-    "|tools & technologies|tools and technologies|technologies|software skills|programming skills|technology stack|tech stack|core competencies|competencies|professional skills"
-    "|areas of expertise|strengths|skills & abilities|skills and abilities|computer skills|it skills|technical skill|skills set|soft skills|professional competencies"
-    "|technical abilities|skill summary|expertise|technical profile|skill profile|technical skills & competencies"
+    (
+    "skills", "technical skills", "key skills", "core skills", "skill set", "skills summary", "technical expertise", "technical competencies", "technical proficiencies", "technical knowledge",
+    "tools & technologies", "tools and technologies", "technologies", "software skills", "programming skills", "technology stack", "tech stack", "core competencies", "competencies",
+    "professional skills", "areas of expertise", "strengths", "skills & abilities", "skills and abilities", "computer skills", "it skills", "technical skill", "skills set", "soft skills",
+    "professional competencies", "technical abilities", "skill summary", "expertise", "technical profile", "skill profile", "technical skills & competencies",
+)
 )
 _SKILL_STOPS = (
-    "education|projects|experience|certifications|summary|about|technical skills|strength|strengths|personal details|extra-curricular activities|languages|interests|hobbies"
-    "|references|declaration|objective|career objective|introduction|contact|achievements|awards|publications|volunteer experience|internships|work experience|employment"
-    "|professional experience|awards & achievements|training|trainings attended|educational background|education background|project details|personal profile|languages known|internship"
+    (
+    "education", "projects", "experience", "certifications", "summary", "about", "technical skills", "strength", "strengths", "personal details", "extra-curricular activities", "languages",
+    "interests", "hobbies", "references", "declaration", "objective", "career objective", "introduction", "contact", "achievements", "awards", "publications", "volunteer experience",
+    "internships", "work experience", "employment", "professional experience", "awards & achievements", "training", "trainings attended", "educational background", "education background",
+    "project details", "personal profile", "languages known", "internship",
+)
 )
 SKILLS = Section("skills", _SKILL_HEADERS, _SKILL_STOPS, inner=40, loose=True, contains=40, confidence=(5, 0.5, 1, 0.0, 200, 0.5), boost=(1.2, 0.3, 20))
 NOT_SKILLS = (
@@ -311,8 +411,8 @@ NOT_SKILLS = (
     r"\b(?:assistant|accountant|engineer|developer|manager|analyst|executive|specialist|intern|co\.|ltd|llp|inc)\b",
     r"\b(?:reviewed|managed|assisted|supported|developed|implemented|coordinated|authored|prepared|drafted|collaborated|achieved|reducing|improving)\b",
 )
-SKILL_NOISE = "key achievements|achievements|core competencies|languages|education|experience"
-SINGLE_SKILLS = "budgeting|forecasting|regulatory|compliance|taxation|auditing|accounting|analysis|excel|python|java|sql"
+SKILL_NOISE = ("key achievements", "achievements", "core competencies", "languages", "education", "experience")
+SINGLE_SKILLS = ("budgeting", "forecasting", "regulatory", "compliance", "taxation", "auditing", "accounting", "analysis", "excel", "python", "java", "sql")
 
 
 def looks_like_skills(line: Column) -> Column:
@@ -320,11 +420,11 @@ def looks_like_skills(line: Column) -> Column:
     low = F.lower(line)
     words = F.size(F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0)))
     colon, letters = line.contains(":"), F.regexp_replace(line, "[^A-Za-z]", "")
-    test = (F.length(line) >= 2) & ~F.trim(F.regexp_replace(low, "[^a-z ]", "")).isin(*SKILL_NOISE.split("|"))
+    test = (F.length(line) >= 2) & ~F.trim(F.regexp_replace(low, "[^a-z ]", "")).isin(*SKILL_NOISE)
     for p in NOT_SKILLS:
         test = test & ~low.rlike(p)
     prose = (line.startswith("- ") & (words > 8)) | (~colon & ((words > 10) | (line.contains(",") & (words > 3)) | line.contains("."))) | line.rlike("[.;]$")
-    name = (words == 1) & ~F.lower(letters).isin(*SINGLE_SKILLS.split("|")) & letters.rlike("^[A-Z][a-z]+$")
+    name = (words == 1) & ~F.lower(letters).isin(*SINGLE_SKILLS) & letters.rlike("^[A-Z][a-z]+$")
     return test & ~prose & ~name & (colon | (words <= 7))
 
 
@@ -354,7 +454,7 @@ def extract_skills(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 #: Words of a summary.
-SUMMARY_HEADERS = "summary|career summary|professional summary|objective|career objective|profile|about me|about|introduction"
+SUMMARY_HEADERS = ("summary", "career summary", "professional summary", "objective", "career objective", "profile", "about me", "about", "introduction")
 SUMMARY_PATTERNS = (r"\b(experienced|skilled|professional|dedicated|motivated)\b", r"\b(years|experience|expertise|proficient)\b")
 
 
@@ -368,7 +468,7 @@ def extract_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The lines after a summary header up to another heading, joined by blanks."""
     from ..functions.headings import canonical
 
-    s = Section("summary", SUMMARY_HEADERS, "summary")
+    s = Section("summary", SUMMARY_HEADERS, ("summary",))
     lines = F.filter(F.transform(lines_of(F.col(text_col)), lambda x: strip(x)), lambda x: x != "")
     skills = r"^(?:technical\s+)?skills\s*[:–—-]?\s*$|^(?:programming languages|web development|database|tools|soft skills)"
 

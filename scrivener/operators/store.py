@@ -77,8 +77,13 @@ def register(versions: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def deploy(versions: DataFrame, model: str, version: str) -> DataFrame:
-    """The version becomes active and the one before archived (the reference loses the second by writing a stale list)."""
+    """The version becomes active and the one before archived (the reference loses the second by writing a stale list).
+
+    A version that does not exist changes nothing. Versions are few: whether it exists is asked first.
+    """
     here = F.col("model_name") == model
+    if versions.filter(here & (F.col("version_id") == version)).isEmpty():
+        return versions
     status = F.when(here & (F.col("version_id") == version), "active").when(here & (F.col("status") == "active"), "archived").otherwise(F.col("status"))
     return versions.withColumn("status", status)
 

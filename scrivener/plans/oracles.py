@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.dates import CURRENT, MONTH, MONTHS, RANGE
 from ..functions.headings import ALIASES, HEADING_TERMS, TAIL_WORDS
 from ..functions.scores import DAMAGE
-from ..operators.entries import ATS_SKILLS, ATS_VERBS, DEGREE_LEVELS, ISSUERS, PROJECT_HOSTS, SKILL_CATEGORIES, TECHNOLOGIES
+from ..operators import ats
+from ..operators.entries import DEGREE_LEVELS, ISSUERS, PROJECT_HOSTS, SKILL_CATEGORIES, TECHNOLOGIES
 from ..operators.lines import DEGREES, PATTERNS, ROLES, SCHOOLS
 from ..operators.schema import LEVEL_WORDS
 from ..operators.sections import NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, header_pattern, stop_pattern
@@ -65,19 +68,86 @@ b as (select doc_id, h, {begun} as b from x),
 e as (select b.doc_id, any_value(h) as h, min(case when idx > h and (stop or (soft and idx > b)) then idx end) as e from b join f2 on b.doc_id = f2.doc_id group by b.doc_id),
 kept as (select f2.* from f2 join e on f2.doc_id = e.doc_id where idx > h and idx < coalesce(e, 1000000) and keep),
 u as (select * from (select *, row_number() over ({same}) as nth from kept) where nth = 1),
-t as (select r.doc_id, coalesce(string_agg(line, chr(10) order by idx), '') as text, count(line) as items from resume_text r left join u on r.doc_id = u.doc_id group by r.doc_id)
+{_by_keywords(s)}
+t as (select r.doc_id, coalesce(string_agg(line, chr(10) order by idx), '') as text, count(line) as items from resume_text r left join {'u2' if s.keywords else 'u'} as u on r.doc_id = u.doc_id group by r.doc_id)
 select doc_id, '{s.name}' as section, text, {_confidence(s, 'text', 'items')} as confidence from t"""
 
 
+def _by_keywords(s: Section) -> str:
+    """u2: the kept lines, or, of documents without any, lines with a keyword and short lines before them."""
+    if not s.keywords:
+        return ""
+    stops = "|".join(re.escape(w) for w in s.stops)
+    leads = f"prev <> '' and length(prev) < {s.before} and not regexp_matches(lower(prev), {_q(stops)}) and len(regexp_extract_all(prev, '\\S+')) <= {s.words}"
+    return f"""kw as (select * from (select *, lag(line) over (partition by doc_id order by idx) as prev from l) where regexp_matches(low, {_q('|'.join(s.keywords))}) and doc_id not in (select doc_id from u)),
+kl as (select doc_id, 2 * idx + 1 as idx, line from kw union all select doc_id, 2 * idx as idx, prev from kw where {leads}),
+u2 as (select doc_id, idx, line from u union all select doc_id, idx, line from (select *, row_number() over (partition by doc_id, lower(line) order by idx) as nth from kl) where nth = 1),"""
+
+
+def _ats() -> dict[str, str]:
+    """The tracking-system format over unnested lines."""
+    has = lambda x, words: f"regexp_matches({x}, {_q(ats.any_word(words))})"
+    short = f"(line <> '' and length(line) < 50 and not {has('low', ats.LABELS)})"
+    capitals = "(regexp_matches({0}, '\\p{{Lu}}') and not regexp_matches({0}, '\\p{{Ll}}'))"
+    school = has("low", (*ats.DEGREE_WORDS, *ats.SCHOOL_WORDS))
+    skill = f"(not {school} and ({' + '.join(f'contains(low, {_q(x)})::int' for x in ats.SKILLS)}) >= 2)"
+    known = f"list_distinct(flatten([{', '.join(f'regexp_extract_all(lower(text), {_q(p)}, 1)' for p in ats.SKILL_PATTERNS)}]))"
+    pieces = "case when len(string_split(line, '|')) >= 3 then string_split(line, '|') when len(string_split(line, ',')) >= 3 and not regexp_matches(line, '20\\d{2}|19\\d{2}') then string_split(line, ',') end"
+    role = f"({has('low', ats.ROLE_WORDS)} and (contains(line, '|') or not contains(line, ',')))"
+    contact = "regexp_matches(line, '@\\w+\\.\\w+') or regexp_matches(line, '\\(\\d{3}\\)\\s*\\d{3}-\\d{4}')"
+    excluded = ", ".join(map(_q, ats.NO_SKILLS))
+    clean = "regexp_replace(low, '^[\\s\\-•:]+|[\\s\\-•:]+$', '', 'g')"
+    head = f"(regexp_matches({clean}, {_q(f'^(?:{ats.any_word(ats.HEADINGS)})(?:$|:)')}) or ({capitals.format('line')} and length({clean}) < 30))"
+    field = f"trim(regexp_extract(line, {_q(ats.DEGREE_START)}, 2))"
+    year = f"regexp_extract(line, {_q(ats.STUDY_YEAR)}, 1)"
+    skip = f"line = '' or regexp_matches(line, '^[-•]') or {has('low', (*ats.ROLE_WORDS, 'architect'))} or {skill}"
+    entry = f"upper(regexp_extract(line, {_q(ats.DEGREE_START)}, 1)) || case when {field} <> '' then ' ' || {field} else '' end || ' (' || {year} || ')'"
+    listed = f"(len(string_split(line, ',')) >= 3 and not {has('low', ('engineer', 'developer', 'manager'))})"
+    first, last = "trim(string_split(line, '|')[1])", "trim(string_split(line, '|')[-1])"
+    fits = f"(regexp_matches({first}, {_q(ats.TITLE)}) or regexp_matches({last}, {_q(ats.JOB_YEAR)}))"
+    action = "trim(regexp_replace(line, '^[-•]+', ''))"
+    titled = lambda x: f"(len(regexp_extract_all({x}, '\\S+')) between 2 and 4 and not regexp_matches({x}, '(^|\\s)[^\\p{{Lu}}\\s]'))"
+    return {
+        "res_ats": f"""with {RES}, {_lines()}, c as (select doc_id, any_value(text) as text, max((len(string_split(line, '|')) > 2)::int) as bars, sum({short}::int) as s, count(*) as n, sum((line <> '')::int) as f,
+  sum((line <> '' and {capitals.format('line')} and length(line) < 30)::int) as caps from l join resume_text using (doc_id) group by doc_id),
+i as (select *, case when text = '' then 0 else bars + (s > n * 0.5)::int + (not regexp_matches(lower(text), '\\n(?:experience|skills|education|projects):'))::int end as indicators,
+  case when text = '' then 0 else contains(text, '|')::int + (s > f * 0.4)::int + (caps > 2)::int end as quick from c)
+select doc_id, indicators::bigint as indicators, indicators >= 2 as is_ats, quick >= 2 as likely from i""",
+        "res_ats_skills": f"""with {RES}, {_lines()}, k as (select doc_id, {known} as known from resume_text),
+p as (select doc_id, idx, unnest(range(1, 1 + len(q))) as j, unnest(q) as raw from (select *, {pieces} as q from l where line <> '' and not {school} and not ({contact}) and not {role}) where q is not null),
+e as (select p.doc_id, idx, j, trim(raw) as x from p join k using (doc_id) where list_contains(known, lower(trim(raw))) or {has('lower(trim(raw))', ats.SKILLS)}
+  union all select doc_id, 1000000 as idx, unnest(range(1, 1 + len(known))) as j, unnest(known) as x from k),
+u as (select * from (select *, row_number() over (partition by doc_id, lower(x) order by idx, j) as nth from e where length(x) >= 2 and not regexp_matches(x, '^\\d+$') and lower(x) not in ({excluded})) where nth = 1)
+select r.doc_id, coalesce(string_agg(x, ', ' order by x collate "C"), '') as text, case when count(x) > 0 then round(least(0.3::double + 0.05::double * count(x), 1.0::double), 2) else 0.0::double end as confidence
+  from resume_text r left join u on r.doc_id = u.doc_id group by r.doc_id""".replace(' collate "C"', ""),
+        "res_ats_education": f"""with {RES}, {_lines()}, m as (select *, {head} as head, case when not ({skip}) and regexp_matches(line, {_q(ats.DEGREE_START)}) and {year} <> '' then {entry} end as entry from l),
+o as (select *, head and contains(low, 'education') as opens from m), b as (select doc_id, min(idx) filter (opens) as b from o group by doc_id),
+z as (select b.doc_id, any_value(b) as b, coalesce(min(idx) filter (head and not opens and idx > b), 1000000) as z from b join o on b.doc_id = o.doc_id group by b.doc_id),
+i as (select o.*, coalesce(idx > b and idx < z and not opens, false) as inside from o join z on o.doc_id = z.doc_id where entry is not null),
+w as (select * from i where inside or doc_id not in (select doc_id from i where inside)),
+u as (select * from (select *, row_number() over (partition by doc_id, lower(entry) order by idx) as nth from w) where nth = 1)
+select r.doc_id, coalesce(string_agg(entry, chr(10) order by idx), '') as text, case when count(entry) > 0 then round(least(0.5::double + 0.15::double * count(entry), 1.0::double), 2) else 0.0::double end as confidence
+  from resume_text r left join u on r.doc_id = u.doc_id group by r.doc_id""",
+        "res_ats_experience": f"""with {RES}, {_lines()}, e as (select doc_id, idx, regexp_replace(line, '\\s*\\|\\s*', ' | ', 'g') as x from l where line <> '' and not {skill} and not {school} and not {listed} and contains(line, '|') and {fits}
+  union all select doc_id, 1000000 + idx, {action} from l where regexp_matches(line, '^[-•]') and {has(f'lower({action})', ats.VERBS)}),
+u as (select *, row_number() over (partition by doc_id order by idx) as rank from (select *, row_number() over (partition by doc_id, substr(lower(x), 1, 50) order by idx) as nth from e) where nth = 1)
+select r.doc_id, coalesce(string_agg(x, chr(10) order by idx) filter (rank <= {ats.MOST_ENTRIES}), '') as text, case when count(x) > 0 then round(least(0.4::double + 0.1::double * count(x), 1.0::double), 2) else 0.0::double end as confidence
+  from resume_text r left join u on r.doc_id = u.doc_id group by r.doc_id""",
+        "res_ats_name": f"""with {RES}, {_lines()}, o as (select doc_id, any_value(line) filter (idx = 0) as line, any_value(low) filter (idx = 0) as low, arg_min(line, idx) filter (idx < 3 and {titled('line')}) as later from l group by doc_id),
+n as (select *, case when contains(line, '|') and {titled(first)} then {first} when regexp_matches(line, '^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,3}}$') and not {has('low', ats.NOT_NAMES)} then line end as best from o)
+select doc_id, coalesce(best, regexp_replace(later, '\\s+', ' ', 'g'), '') as text, case when best is not null then 0.85::double when later is not null then 0.7::double else 0.0::double end as confidence from n""",
+    }
+
+
 def _skills() -> str:
     s = SKILLS
     begins, contains = stop_pattern(s)
     words = r"len(regexp_extract_all(line, '\S+'))"
     letters = "regexp_replace(line, '[^A-Za-z]', '', 'g')"
-    good = f"length(line) >= 2 and not trim(regexp_replace(low, '[^a-z ]', '', 'g')) in ({', '.join(_q(x) for x in SKILL_NOISE.split('|'))})"
+    good = f"length(line) >= 2 and not trim(regexp_replace(low, '[^a-z ]', '', 'g')) in ({', '.join(_q(x) for x in SKILL_NOISE)})"
     good += "".join(f" and not regexp_matches(low, {_q(p)})" for p in NOT_SKILLS)
     good += f" and not (line like '- %' and {words} > 8) and not (not contains(line, ':') and ({words} > 10 or (contains(line, ',') and {words} > 3) or contains(line, '.'))) and not regexp_matches(line, '[.;]$')"
-    good += f" and not ({words} = 1 and not lower({letters}) in ({', '.join(_q(x) for x in SINGLE_SKILLS.split('|'))}) and regexp_matches({letters}, '^[A-Z][a-z]+$'))"
+    good += f" and not ({words} = 1 and not lower({letters}) in ({', '.join(_q(x) for x in SINGLE_SKILLS)}) and regexp_matches({letters}, '^[A-Z][a-z]+$'))"
     good += f" and (contains(line, ':') or {words} <= 7)"
     return f"""with {RES}, {_lines()},
 f as (select *, ({_header(s)}) as head, (regexp_matches(low, {_q(begins)}) or (length(line) < {s.contains} and regexp_matches(low, {_q(contains)}))) as stop from l where line <> ''),
@@ -91,14 +161,14 @@ def _head(column: str) -> str:
     """Canonical heading of a lower-cased line, by patterns: an alias and at most two tail words."""
     norm = f"regexp_replace(regexp_replace(regexp_replace({column}, '–|—|•', '-', 'g'), '^[-*.:;|_ ]+', ''), '[-*.:;|_ ]+$', '')"
     tail = rf"(?: [\s/&]*(?:{TAIL_WORDS})(?:[\s/&]+(?:{TAIL_WORDS}))?[\s/&]*)?"
-    cases = " ".join(f"when regexp_matches({norm}, {_q(f'^(?:{words}){tail}$')}) then '{name}'" for name, words in ALIASES.items())
+    cases = " ".join(f"when regexp_matches({norm}, {_q(f'^(?:{"|".join(words)}){tail}$')}) then '{name}'" for name, words in ALIASES.items())
     return f"(case when length({norm}) > 64 or regexp_matches({norm}, {_q('[@' + chr(92) * 2 + ']')}) then null {cases} end)"
 
 
 HEADS = f"h as (select *, {_head('low')} as head from l)"
 
 _SUMMARY = f"""with {RES}, {_lines()}, {HEADS},
-f as (select *, ({_header(Section('summary', SUMMARY_HEADERS, 'summary'))}) as top,
+f as (select *, ({_header(Section('summary', SUMMARY_HEADERS, ('summary',)))}) as top,
   ((head is not null and head <> 'summary') or regexp_matches(low, '^(?:technical\\s+)?skills\\s*[:–—-]?\\s*$|^(?:programming languages|web development|database|tools|soft skills)')) as stop from h where line <> ''),
 x as (select doc_id, min(case when top then idx end) as h from f group by doc_id),
 e as (select x.doc_id, any_value(h) as h, min(case when idx > h and stop and not top then idx end) as e from x join f on x.doc_id = f.doc_id group by x.doc_id),
@@ -202,7 +272,6 @@ def oracle_sql() -> dict[str, str]:
 sc as (select doc_id, skill, case {category} else 'other' end as category from sk)"""
     issuer = " ".join(f"when contains(lower(line), '{i}') then '{i.title()}'" for i in reversed(ISSUERS))
     lines_of = lambda section: f"il as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as idx, trim(unnest(string_split(text, chr(10)))) as line from iso where section = '{section}')"
-    ats = ", ".join(f"case when regexp_matches(lower(text), '\\b{s}\\b') then '{s}' end" for s in sorted(ATS_SKILLS))
     out |= {
         "sec_skills": _skills(),
         "sec_summary": _SUMMARY,
@@ -283,14 +352,7 @@ select start_month, start_year, end_month, end_year, current, count(*) as total
 j as (select distinct doc_id, item from i where item <> '')
 select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select unnest(string_split(trim(regexp_replace(item, '(?i)\\b(?:{_LEVELS})\\b', '', 'g'), ' -–:()|,'), ' ')) as w)) as name,
   case {' '.join(f"when regexp_matches(lower(item), '{w}') then '{n}'" for n, w in LEVEL_WORDS)} else 'Intermediate' end as level from j""",
-        "res_ats": f"""with {RES}, {_lines()} select doc_id, (max((len(string_split(line, '|')) >= 3)::int) + max(regexp_matches(line, '\\|.*\\b(?:19|20)\\d{{2}}\\b')::int) + max(regexp_matches(low, '^(?:technical )?skills?\\s*:')::int)
-  + max(regexp_matches(line, '^[A-Z][A-Z &]{{5,}}$')::int))::bigint as indicators, indicators >= 2 as is_ats from l group by doc_id""",
-        "res_ats_skills": f"""with {RES}, a as (select doc_id, [x for x in [{ats}] if x is not null] as f from resume_text)
-select doc_id, array_to_string(f, ', ') as text, case when len(f) > 0 then least(0.3::double + 0.05::double * len(f), 0.95::double) else 0.0::double end as confidence from a""",
-        "res_ats_experience": f"""with {RES}, {_lines()}, p as (select *, row_number() over (partition by doc_id, substr(line, 1, 50) order by idx) as nth from l
-  where (contains(line, '|') and regexp_matches(line, '\\b(?:19|20)\\d{{2}}\\b')) or (regexp_matches(line, '^[-•*]') and regexp_matches(low, '\\b(?:{ATS_VERBS})\\b'))),
-q as (select *, row_number() over (partition by doc_id order by idx) as rank from p where nth = 1)
-select doc_id, string_agg(line, chr(10) order by idx) as text, least(0.4::double + 0.1::double * count(*), 0.9::double) as confidence from q where rank <= 10 group by doc_id""",
+        **_ats(),
         "res_choose_best": f"""with {SAM}, c as (select *, (sample_id % 7) / 7.0::double as x, original_value <> '' and confidence_before >= 0.2 as good from samples)
 select sample_id, case when good and (corrected_value = '' or confidence_before >= x - 0.15::double) then original_value else corrected_value end as text,
   round(case when good and corrected_value = '' then greatest(confidence_before, 0.45::double) when good and confidence_before >= x - 0.15::double then greatest(confidence_before, x * 0.9::double) else x end, 6) as confidence from c""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, entities, scores, text
-from ..operators import builder, entries, feedback, layout, lines, schema, sections, similarity, store
+from ..operators import ats, builder, entries, feedback, layout, lines, schema, sections, similarity, store
 from ..sources.tables import load, resume_text, samples
 from . import documents
 
@@ -322,17 +322,27 @@ def res_names(spark, sf):
 
 @query
 def res_ats(spark, sf):
-    return entries.is_ats(resume_text(spark, sf)).withColumn("indicators", F.col("indicators").cast("bigint"))
+    return ats.is_ats(resume_text(spark, sf)).withColumn("indicators", F.col("indicators").cast("bigint"))
 
 
 @query
 def res_ats_skills(spark, sf):
-    return entries.ats_skills(resume_text(spark, sf))
+    return ats.skills(resume_text(spark, sf))
+
+
+@query
+def res_ats_education(spark, sf):
+    return ats.education(resume_text(spark, sf))
 
 
 @query
 def res_ats_experience(spark, sf):
-    return entries.ats_experience(resume_text(spark, sf))
+    return ats.experience(resume_text(spark, sf))
+
+
+@query
+def res_ats_name(spark, sf):
+    return ats.name(resume_text(spark, sf))
 
 
 @query
