@@ -1,0 +1,636 @@
+"""One document's sections to one builder record, in plain Python.
+
+The repairs below look back and forth between the entries of one record (merging, moving fields, filling blanks), which
+column expressions can't hold; every function works on one record alone, so ``operators.mapper`` runs them in Arrow batches
+without a shuffle. A record's input is a mapping of section to {raw_text, structured_data, confidence}.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+
+from .dates import MONTHS
+
+#: Words of titles, companies, duties, headings, degrees, schools, languages, places and names.
+TITLE_HINTS = (
+    "engineer", "developer", "manager", "analyst", "architect", "executive", "consultant", "specialist", "accountant", "administrator", "lead", "officer", "representative", "assistant",
+    "payroll", "cashier", "cloud", "sales", "technician", "supervisor", "coordinator", "director", "intern", "associate", "operator", "trainer",
+)
+COMPANY_SUFFIXES = (
+    "pvt", "ltd", "llc", "inc", "corp", "corporation", "technologies", "technology", "solutions", "services", "consulting", "group", "systems", "labs", "international", "co",
+)
+DUTIES = (
+    "achieve", "achieving", "assisted", "building", "calculated", "collaborated", "conducted", "coordinated", "coordinating", "created", "delivered", "designed", "developed", "drafted",
+    "ensure", "ensuring", "executed", "facilitated", "generated", "handled", "identifying", "implemented", "imported", "improved", "led", "liaised", "maintained", "managed", "mentored",
+    "monitor", "monitored", "negotiated", "negotiating", "owned", "participated", "performed", "prepared", "processed", "promoted", "provided", "reconciled", "resolved", "responsible",
+    "reviewed", "supported", "trained", "verifying", "worked",
+)
+JOB_HEADINGS = ("experience", "work experience", "professional experience", "employment history", "employment", "career history")
+STOP_HEADINGS = (*JOB_HEADINGS, "education", "skills", "projects", "certifications", "achievements", "languages", "interests", "summary", "professional summary")
+NO_TITLES = (
+    "professional experience", "proffessional experience", "work experience", "employment history", "employment", "career history", "responsibilities", "profile", "summary",
+    "professional summary", "key responsibilities", "key achievements", "achievements", "objective", "career objective", "projects", "certifications", "skills", "education", "languages",
+    "interests", "hobbies", "references", "additional information",
+)
+OBJECTIVES = (
+    "to work in", "to be in", "to contribute", "to utilize", "to apply", "to grow", "to seek", "i can", "i want", "i am looking", "looking for", "aspiring to", "seeking a position",
+    "seeking an opportunity", "responsible position", "professional growth", "driven environment", "contribute my", "apply my knowledge", "organization's growth", "organisation's growth",
+    "potential ability",
+)
+SPOKEN = (
+    "english", "hindi", "french", "german", "spanish", "arabic", "urdu", "tamil", "telugu", "kannada", "malayalam", "marathi", "gujarati", "bengali", "japanese", "chinese", "korean",
+    "portuguese", "italian",
+)
+LEVELS = {
+    "beginner": "Beginner", "elementary": "Beginner", "intermediate": "Intermediate", "conversational": "Intermediate", "advanced": "Advanced", "professional": "Advanced", "fluent": "Fluent",
+    "native": "Native", "bilingual": "Native",
+}
+PLACES = ("hyderabad", "guntur", "vijayawada", "delhi", "telangana", "india", "mumbai", "pune", "bangalore", "bengaluru", "chennai", "kolkata")
+NO_NAMES = (
+    "language", "languages", "python", "javascript", "java", "php", "sql", "html", "css", "react", "node", "skills", "tools", "platforms", "databases", "frameworks", "mpc", "nri", "ssc", "hsc",
+    "college", "school", "institute", "university", "core", "competencies", "payroll", "implementation", "compliance", "uk", "audit", "financial", "reporting", "taxation", "risk",
+    "assessment", "requirements", "gathering", "data", "analysis", "problem", "solving", "root", "cause", "process", "documentation", "reconciliation", "naukri", "resume", "cv",
+)
+SKILL_NOISE = ("additional information", "languages", "interests", "profile", "summary", "skills")
+GENERIC_SKILLS = ("team player", "hard working", "self motivated", "good communication")
+KNOWN_CERTIFICATES = ("adp ihcm", "gst", "ms-cit", "siebel", "siebel (records management)", "tally & taxation")
+#: Degrees from the highest, and issuers that a line of certificates may name.
+DEGREES = (
+    (6, r"ph\.?\s?d|doctorate"), (5, r"master'?s?(?: of [a-z]+)?|m\.?\s?tech|m\.?\s?sc|mba|m\.?\s?com|m\.e"), (4, r"bachelor'?s?(?: of [a-z]+)?|b\.?\s?tech|b\.?\s?e|b\.?\s?sc|b\.?\s?com|bba"),
+    (3, "diploma"), (2, "intermediate|hsc|12th"), (1, "ssc|10th|matriculation"),
+)
+ISSUERS = ("udemy", "coursera", "ibm", "google", "microsoft", "aws", "amazon", "oracle", "cisco", "smartbridge", "aicte", "linkedin", "hackerrank", "nptel", "salesforce", "infosys", "edx")
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+PHONE = re.compile(r"\+?\d[\d\s().-]{6,18}\d")
+LINK = re.compile(r"https?://[^\s,;]+|www\.[^\s,;]+|[A-Za-z0-9.-]+\.[A-Za-z]{2,}/[^\s,;]+", re.I)
+YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
+MARK = re.compile(r"(?:\b(?:cgpa|gpa|grade|percentage)\s*[:\-]?\s*)?(\d{1,2}(?:\.\d+)?\s*/\s*10|\d{1,3}(?:\.\d+)?\s*%)|\b(?:cgpa|gpa)\s*[:\-]?\s*(\d{1,2}(?:\.\d+)?)", re.I)
+MONTH = re.compile(r"\b(" + "|".join(m[:3] for m in MONTHS) + r")[a-z]*\b\.?", re.I)
+SCHOOL = re.compile(r"\b(?:university|college|institute|school|academy)\b", re.I)
+CURRENT = re.compile(r"\b(?:present|current|now|till date|to date|ongoing)\b", re.I)
+CERTIFICATE = re.compile(r"\b(?:certifi\w+|licen[cs]e\w*|course|training|program|internship|bootcamp)\b", re.I)
+HEAD_OF_CERTIFICATE = re.compile(r"\b(?:professional summary|education|skills|experience|projects|@)", re.I)
+
+
+def clean(x: object) -> str:
+    """One line: scan marks away, white space collapsed, signs off both ends."""
+    t = re.sub(r"[•◦●▪]+|[<>]{2,}|[_=]{3,}|[`~^]+", " ", str(x or "").replace("\0", " ").replace(" ", " "))
+    return re.sub(r"\s+", " ", t).strip(" -|,;:")
+
+
+def lines(x: object) -> list[str]:
+    """Lines that are not blank; bullets stay, so that they can be told from other lines."""
+    return [t for t in (re.sub(r"[ \t]+", " ", raw).strip() for raw in re.split(r"\r\n?|\n|<br ?/?>", str(x or ""))) if clean(t)]
+
+
+def distinct(items: Iterable[str]) -> list[str]:
+    """First spellings, up to case, without blanks."""
+    return list({i.lower(): i for i in reversed([i for i in items if i])}.values())[::-1]
+
+
+def section(native: dict, name: str) -> tuple[str, dict, float]:
+    """(raw text, structured data, confidence) of a section, whatever stands there."""
+    s = native.get(name)
+    if not isinstance(s, dict):
+        return str(s or ""), {}, 0.0
+    data, sure = s.get("structured_data"), s.get("confidence")
+    try:
+        sure = float(sure or 0.0)
+    except (TypeError, ValueError):
+        sure = 0.0
+    return str(s.get("raw_text") or ""), data if isinstance(data, dict) else {}, sure
+
+
+def entries(data: dict, key: str = "entries") -> list[dict]:
+    found = data.get(key)
+    return [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+
+
+def value(entry: dict, *names: str) -> str:
+    """The first of the names that is not blank; lists are joined."""
+    for n in names:
+        v = entry.get(n)
+        v = ", ".join(distinct(clean(i) for i in v)) if isinstance(v, list) else clean(v)
+        if v:
+            return v
+    return ""
+
+
+def block_under(text: str, headings: Iterable[str]) -> list[str]:
+    """Lines between the first of the headings and the next heading of any kind."""
+    out, inside = [], False
+    for line in lines(text):
+        low = clean(line).lower()
+        if low in headings:
+            inside = True
+        elif inside and (low in STOP_HEADINGS or low in NO_TITLES):
+            break
+        elif inside:
+            out.append(line)
+    return out
+
+
+# dates ------------------------------------------------------------------------
+
+
+def dates(text: str) -> dict:
+    """startMonth, startYear, endMonth, endYear, current; the earlier of two years is the start, a current job has no end."""
+    current = bool(CURRENT.search(text))
+    years = YEAR.findall(text)
+    short = re.search(r"\b((?:19|20)\d{2})\s*[-–/]\s*(\d{2})\b(?!\d)", text)
+    if short and len(years) == 1 and int(short[2]) > 12:
+        years.append(short[1][:2] + short[2])
+    months = [next(m for m in MONTHS if m.lower().startswith(x.lower())) for x in MONTH.findall(text)]
+    months += [""] * (2 - len(months))
+    if len(years) > 1 and years[0] > years[1]:
+        years, months = years[1::-1], months[1::-1]
+    start, end = [*years, "", ""][:2]
+    return {"startMonth": months[0] if start else "", "startYear": start, "endMonth": "" if current or not end else months[1], "endYear": "" if current else end, "current": current}
+
+
+def only_dates(text: str) -> bool:
+    rest = re.sub(r"[\W\d_]+|\bto\b", "", MONTH.sub("", CURRENT.sub("", text)), flags=re.I)
+    return bool(text) and not rest and bool(YEAR.search(text) or CURRENT.search(text))
+
+
+# people -----------------------------------------------------------------------
+
+
+def is_name(x: str) -> bool:
+    words = x.split()
+    shaped = 2 <= len(words) <= 4 and all(re.fullmatch(r"[^\W\d_][\w'.-]*", w) and w[0].isupper() for w in words)
+    low = {w.strip(".").lower() for w in words}
+    return shaped and not low & {*NO_NAMES, *TITLE_HINTS, *SKILL_NOISE, *COMPANY_SUFFIXES, *SPOKEN} and x.lower() not in (*NO_TITLES, *STOP_HEADINGS) and not low <= set(PLACES)
+
+
+def split_name(x: str) -> tuple[str, str]:
+    cased = [w if re.search(r"[a-z]", w) and re.search(r"[A-Z]", w[1:]) else w.capitalize() for w in x.split()]
+    return cased[0], " ".join(cased[1:])
+
+
+def name_in(text: str, email: str) -> str:
+    """Two or three words in capitals, best those that the address is made of, or else the address's own parts."""
+    local = email.partition("@")[0].lower()
+    runs = [m[0] for m in re.finditer(r"\b[A-Z]{3,}(?: [A-Z]{3,}){1,2}\b", text)]
+    runs = [r for r in runs if is_name(r)]
+    known = [r for r in runs if all(w.lower() in local for w in r.split())]
+    parts = [p for p in re.split(r"[._\d-]+", local) if len(p) > 1]
+    return (known or runs or [" ".join(p.capitalize() for p in parts) if len(parts) in (2, 3) else ""])[0]
+
+
+def pick_email(candidates: Iterable[str]) -> str:
+    """The first candidate that is, or holds, an address."""
+    return next((m[0] for m in (EMAIL.search(c or "") for c in candidates) if m), "")
+
+
+def pick_phone(candidates: Iterable[str]) -> str:
+    """The first candidate with a number of 8 to 15 digits that is no share."""
+    for c in candidates:
+        m = PHONE.search(c or "") if "%" not in (c or "") else None
+        if m and 8 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            return m[0].strip()
+    return ""
+
+
+def url(x: str) -> str:
+    """One protocol however often it was written, none for what has no dot."""
+    t = re.sub(r"^(?:h?t*tps?\s*:\s*/*\s*)+", "", clean(x), flags=re.I).rstrip(".")
+    return f"https://{t}" if "." in t and " " not in t else ""
+
+
+def links(native: dict) -> tuple[str, list[str]]:
+    named = section(native, "summary")[1].get("links")
+    named = named if isinstance(named, dict) else {}
+    found = [*(named.get("linkedin") or []), *(named.get("website") or [])]
+    text = "\n".join(section(native, s)[0] for s in ("links", "contact", "raw_text"))
+    text = re.sub(r"(?:https?\s*:\s*/*\s*)+", "https://", text, flags=re.I)
+    found = distinct(url(u) for u in [*found, *(m[0] for m in LINK.finditer(text) if "@" not in m[0])])
+    profile = [u for u in found if re.search(r"linkedin\.com/in/[a-z0-9_-]+", u, re.I)]
+    return (profile or [""])[0], [u for u in found if u not in profile]
+
+
+def place(contact: str) -> tuple[str, str]:
+    """(city, country) of a line such as ``Pune, India`` without figures, addresses or schools."""
+    for line in lines(contact):
+        parts = [clean(p) for p in line.split(",")]
+        plain = not re.search(r"[\d@/]", line) and not SCHOOL.search(line) and not degree_of(line)[1]
+        if plain and 2 <= len(parts) <= 3 and all(p and len(p.split()) <= 3 and p[0].isupper() for p in parts):
+            return parts[0].title(), parts[-1].title()
+        known = [p for p in parts if p.lower() in PLACES]
+        if plain and known:
+            return known[0].title(), ""
+    return "", ""
+
+
+# jobs -------------------------------------------------------------------------
+
+
+def _words(x: str) -> list[str]:
+    return [w.strip(".,;:()/&").lower() for w in x.split()]
+
+
+def is_duty(x: str) -> bool:
+    """A sentence or duty: begins with a duty's verb, is long, or ends like a sentence."""
+    w = _words(x)
+    return bool(w) and (w[0] in DUTIES or len(w) > 12 or (x.endswith(".") and len(w) > 6))
+
+
+def is_role(x: str) -> bool:
+    return bool(set(_words(x)) & set(TITLE_HINTS)) and not is_duty(x) and x.lower() not in NO_TITLES
+
+
+def is_company(x: str) -> bool:
+    w = _words(x)
+    return 0 < len(w) <= 9 and bool(set(w) & set(COMPANY_SUFFIXES)) and not is_duty(x) and x[0].isupper() and not YEAR.search(x)
+
+
+def _merged(x: str) -> tuple[str, str]:
+    """(title, company) of ``Design Engineer Acme Works``: what follows the last word of a title, if it is written like a name."""
+    w = x.split()
+    at = max((k for k, v in enumerate(_words(x)) if v in TITLE_HINTS), default=-1)
+    rest = w[at + 1 :]
+    if at < 0 or not rest or len(rest) > 6 or not all(r[0].isupper() or r in ("&", "and") for r in rest) or not rest[0][0].isalpha():
+        return (x, "") if at >= 0 else ("", "")
+    return " ".join(w[: at + 1]), " ".join(rest)
+
+
+def _junior(title: str) -> str:
+    """Without the rank in front of a longer title."""
+    w = title.split()
+    return " ".join(w[1:]) if len(w) > 1 and w[0].lower() in ("intern", "junior", "trainee") and is_role(" ".join(w[1:])) else title
+
+
+def role_and_company(x: str) -> tuple[str, str]:
+    """(title, company) of one line; either may be empty."""
+    t = clean(x)
+    m = re.match(r"^(.+?)\s+(?:@|at)\s+(.+)$", t, re.I)
+    if m and is_role(m[1]):
+        return clean(m[1]), m[2].strip(" -|,;:")
+    m = re.match(r"^(.+?)\s*(?:\s[-–—]|\|)\s*(.+)$", t)
+    if m:
+        left, right = clean(m[1]), clean(m[2])
+        if is_role(left) and is_company(right) and not is_role(right):
+            return left, right
+        if is_company(left) and is_role(right):
+            return right, left
+        if is_role(left) and is_role(right):
+            title, company = _merged(right)
+            return clean(f"{_junior(left)} {title}"), company
+    if is_role(t):
+        title, company = _merged(t)
+        return (_junior(title), company) if company else (title, "")
+    return ("", t) if is_company(t) else ("", "")
+
+
+def blank_job() -> dict:
+    return {"title": "", "employer": "", "location": "", "description": "", "startMonth": "", "startYear": "", "endMonth": "", "endYear": "", "current": False}
+
+
+def job(entry: dict) -> dict:
+    """A job from an entry whose fields may be swapped, merged, dates, or part of the description."""
+    title, employer = value(entry, "title"), value(entry, "company", "employer")
+    when, about = value(entry, "duration", "dates"), str(entry.get("description") or "").strip()
+    for x in (title, employer):
+        when += f" {x}" if only_dates(x) else ""
+    title, employer = ("" if only_dates(x) else x for x in (title, employer))
+    if not employer and title:
+        t, e = role_and_company(title)
+        if e and (t or not is_role(title)):
+            title, employer = t, e
+    elif is_role(employer) and not is_role(title):
+        title, employer = employer, title
+    if not employer:
+        head = re.split(r",| (?=(?:%s)\b)" % "|".join(d.capitalize() for d in DUTIES), about, maxsplit=1)
+        first = head[0].strip(" -|,;:")
+        if is_company(first):
+            employer, about = first, about[len(head[0]) :].strip(" -|,;:")
+    if title.lower() in NO_TITLES:
+        title = ""
+    given = {k: value(entry, k) for k in ("startMonth", "startYear", "endMonth", "endYear")}
+    own = dates(when)
+    span = {k: given[k] if given[k] and not when.strip() else own[k] for k in given}
+    span["current"] = own["current"] or bool(entry.get("current"))
+    if span["current"]:
+        span["endMonth"] = span["endYear"] = ""
+    return {**blank_job(), "title": title, "employer": employer, "location": value(entry, "location"), "description": about, **span}
+
+
+def line_kind(line: str) -> str:
+    """header, stop, bullet, date, duty or identity of a line of a raw section of jobs."""
+    low = clean(line).lower()
+    if low in JOB_HEADINGS:
+        return "header"
+    if low in STOP_HEADINGS:
+        return "stop"
+    if low in NO_TITLES:
+        return "header"
+    if re.match(r"^[•◦●▪*\-–—]+(?:\s|$)", line):
+        return "bullet"
+    if YEAR.search(line) or CURRENT.search(line) and MONTH.search(line):
+        return "date" if not is_duty(clean(line)) else "duty"
+    return "identity" if not is_duty(clean(line)) and any(role_and_company(line)) else "duty"
+
+
+def jobs_from_lines(text: str) -> list[dict]:
+    """Jobs of a raw section: a name after a date or a duty, or a second date, begins the next one."""
+    segments: list[dict] = []
+    now: dict = {"identity": [], "date": [], "duty": []}
+
+    def close() -> dict:
+        if now["identity"] or now["date"]:
+            segments.append({k: list(v) for k, v in now.items()})
+        return {"identity": [], "date": [], "duty": []}
+
+    for line in lines(text):
+        kind = line_kind(line)
+        if kind == "stop":
+            break
+        if (kind == "date" and now["date"]) or (kind == "identity" and (now["date"] or now["duty"])):
+            now = close()
+        if kind in ("identity", "date"):
+            now[kind].append(clean(line))
+        elif kind == "duty" or (kind == "bullet" and (now["identity"] or now["date"])):
+            now["duty"].append(clean(line))
+    close()
+    out = []
+    for s in segments:
+        pairs = [role_and_company(x) for x in s["identity"]]
+        title = next((t for t, _ in pairs if t), "")
+        employer = next((c for _, c in pairs if c), "") or next((x for x, (t, _) in zip(s["identity"], pairs, strict=True) if not t), "")
+        dated = " ".join(s["date"])
+        where = clean(re.split(YEAR, MONTH.sub("", dated), maxsplit=1)[0]) if dated else ""
+        made = {**blank_job(), "title": title, "employer": employer, "description": "\n".join(s["duty"]), **dates(dated)}
+        out.append({**made, "location": where if where and where[0].isalpha() and not CURRENT.search(where) else ""})
+    return out
+
+
+def job_score(jobs: list[dict]) -> int:
+    return sum(3 * bool(j["title"]) + 3 * bool(j["employer"]) + 2 * bool(j["startYear"]) + bool(j["description"]) for j in jobs)
+
+
+def repair_jobs(jobs: list[dict]) -> list[dict]:
+    """Fragments go to the job before: sentences as titles, headings as titles, descriptions without any name or date; repeated jobs go."""
+    out: list[dict] = []
+    seen = set()
+    for j in jobs:
+        j = dict(j)
+        if is_duty(j["title"]) or j["title"].lower().strip(" :") in NO_TITLES:
+            spill = "" if j["title"].lower().strip(" :") in NO_TITLES else j["title"]
+            j["title"], j["description"] = "", "\n".join(filter(None, (spill, j["description"])))
+        if is_duty(j["employer"]) or j["employer"].lower().strip(" :") in NO_TITLES:
+            j["description"], j["employer"] = "\n".join(filter(None, (j["description"], j["employer"] if is_duty(j["employer"]) else ""))), ""
+        named = j["title"] or j["employer"] or j["startYear"] or j["endYear"]
+        if not named:
+            if j["description"] and out:
+                out[-1]["description"] = "\n".join(filter(None, (out[-1]["description"], j["description"])))
+            continue
+        key = (j["title"].lower(), j["employer"].lower(), j["startYear"], j["description"][:80].lower() if not (j["title"] or j["employer"]) else "")
+        if key not in seen:
+            seen.add(key)
+            out.append(j)
+    return out
+
+
+# studies ----------------------------------------------------------------------
+
+
+def degree_of(x: str) -> tuple[int, str]:
+    """(rank, the degree as it is written) of the highest degree in the text; 0 and empty for none."""
+    for rank, pattern in DEGREES:
+        m = re.search(rf"(?<![\w.])(?:{pattern})(?![\w])\.?", x, re.I)
+        if m:
+            return rank, m[0]
+    return 0, ""
+
+
+def study(x: str) -> dict:
+    """degree, field, school, gpa, gradYear of one text such as ``BE in Physics, Hill College (2013-2017) - 59%``."""
+    mark = MARK.search(x)
+    years = YEAR.findall(x)
+    bare = re.sub(r"\(\s*(?:19|20)\d{2}[^()]*\)", "", x.replace(mark[0], "") if mark else x)
+    bare = YEAR.sub("", bare)
+    parts = [p for p in (clean(p) for p in re.split(r",|\||\s[-–—]\s|\n", bare)) if p]
+    school = next((p for p in parts if SCHOOL.search(p) and not re.match(r"(?:%s)(?!\w)" % "|".join(d for _, d in DEGREES), p, re.I)), "")
+    head = next((p for p in parts if p != school and degree_of(p)[0]), "")
+    m = re.match(r"^(.*?)\s+in\s+(.+)$", head, re.I)
+    degree, field = (clean(m[1]), clean(m[2])) if m else (head, "")
+    others = [p for p in parts if p not in (school, head) and not re.fullmatch(r"[\d\W]+", p)]
+    field = field or (others[0] if head and others and "|" in x else "")
+    return {"degree": degree, "field": field, "school": school, "gpa": re.sub(r"\s+", "", mark[1] or mark[2]) if mark else "", "gradYear": max(years, default="")}
+
+
+def is_objective(x: str) -> bool:
+    return any(p in x.lower() for p in OBJECTIVES)
+
+
+def study_of(entry: dict) -> dict:
+    """A study from an entry whose fields may hold a whole description, or each other's values."""
+    given = {"degree": value(entry, "degree"), "field": value(entry, "field"), "school": value(entry, "institution", "school"), "gpa": value(entry, "grade", "gpa"), "gradYear": value(entry, "year", "gradYear")}
+    blocks = []
+    for k, v in given.items():
+        s = study(v)
+        if degree_of(v)[0] and (s["school"] or s["gpa"] or (k == "field" and s["field"])):
+            blocks.append((sum(map(bool, s.values())), s, k))
+    best, source = max(((s, k) for _, s, k in sorted(blocks, key=lambda b: b[0])), key=lambda b: sum(map(bool, b[0].values())), default=({}, ""))
+    out = {k: best.get(k, "") for k in given}
+    taken = {k for _, _, k in blocks}
+    for k, v in given.items():
+        if not out[k] and k not in taken:
+            out[k] = v
+    if given["degree"] and "degree" not in taken and best and degree_of(given["degree"])[0] > degree_of(out["degree"])[0]:
+        out["degree"] = given["degree"]
+    if degree_of(out["school"])[0] and not SCHOOL.search(out["school"]):  # the degree of the next row
+        out["school"] = ""
+    mark = MARK.search(out["gpa"])
+    out["gpa"] = re.sub(r"\s+", "", mark[1] or mark[2]) if mark else out["gpa"] if re.fullmatch(r"\d{1,2}(?:\.\d+)?", out["gpa"]) else ""
+    out["gradYear"] = max(YEAR.findall(out["gradYear"] or given["gradYear"]), default="")
+    return out
+
+
+def studies_from_lines(text: str) -> list[dict]:
+    """A line with a degree begins a study; a text without any is read four lines at a time."""
+    own = [x for x in lines(text) if not is_objective(x) and clean(x).lower() not in NO_TITLES]
+    starts = [k for k, x in enumerate(own) if degree_of(x)[0]] or list(range(0, len(own), 4))
+    groups = [own[a:b] for a, b in zip(starts, [*starts[1:], len(own)], strict=False)]
+    return [study(", ".join(g)) if "|" not in g[0] else study(" | ".join(g)) for g in groups]
+
+
+def merge_studies(rows: list[dict]) -> list[dict]:
+    """Rows that share a degree or a school and contradict one another nowhere are one; its blanks are filled from all."""
+    letters = lambda x: re.sub(r"[^a-z]", "", x.lower())
+    out: list[dict] = []
+    ranked = sorted(enumerate(r for r in rows if (r["degree"] or r["school"]) and not any(is_objective(r[k]) for k in ("degree", "school", "field"))), key=lambda x: (-sum(map(bool, x[1].values())), x[0]))
+    for at, row in ranked:
+        for have in out:
+            same = [k for k in ("degree", "school") if letters(row[k]) and letters(row[k]) == letters(have[k])]
+            apart = [k for k in ("degree", "school") if letters(row[k]) and letters(have[k]) and letters(row[k]) != letters(have[k])]
+            if same and not apart:
+                for k in ("degree", "field", "school", "gpa"):
+                    have[k] = have[k] or row[k]
+                have["gradYear"] = max(have["gradYear"], row["gradYear"])
+                have["at"] = min(have["at"], at)
+                break
+        else:
+            out.append({**row, "at": at})
+    return [{k: v for k, v in r.items() if k != "at"} for r in sorted(out, key=lambda r: r["at"])]
+
+
+# skills, languages, certificates, projects ------------------------------------
+
+
+def skill(x: str, cases: dict[str, str]) -> str:
+    """A skill as it is spelt, or empty for what is none."""
+    t = re.sub(r"^(?:languages?|tools?|tools\s*&\s*platforms?|databases?|frameworks?|libraries?)\s*[:\-]\s*", "", clean(x), flags=re.I)
+    t = t.strip(" .")
+    t = t[:-1].strip() if t.endswith(")") and "(" not in t else t
+    low = t.lower()
+    if not t or len(t) > 40 or low in (*SPOKEN, *GENERIC_SKILLS, *SKILL_NOISE, "vs", "code") or t.count("(") != t.count(")") or ". " in t:
+        return ""
+    if low in cases:
+        return cases[low]
+    return " ".join(cases.get(w.lower(), w if re.search(r"[a-z][A-Z]|[A-Z]{2}", w) else w.capitalize()) for w in t.split())
+
+
+def skills(items: Iterable[str], cases: dict[str, str]) -> list[str]:
+    """Distinct skills; places are none, and one whose words another one holds goes."""
+    spelt = [s for s in distinct(skill(i, cases) for i in items) if not set(_words(s)) <= set(PLACES)]
+    parts = {s: set(re.findall(r"[a-z0-9+#]+", s.lower())) for s in spelt}
+    return [s for s in spelt if not any(o != s and parts[s] < parts[o] for o in spelt)]
+
+
+def split_items(text: str) -> list[str]:
+    return [i for i in (clean(p) for p in re.split(r"[\n,;|/]+", text)) if i]
+
+
+def language(x: str) -> dict:
+    """name and level; without a level Intermediate."""
+    found = [w for w in _words(re.sub(r"[-–()]", " ", x)) if w in LEVELS]
+    bare = re.sub(r"\b(?:%s)\b" % "|".join(LEVELS), "", x, flags=re.I)
+    return {"name": clean(re.sub(r"[()–]", " ", bare)).title(), "level": LEVELS[found[0]] if found else "Intermediate"}
+
+
+def is_certificate(x: str) -> bool:
+    return 2 < len(x) <= 100 and not HEAD_OF_CERTIFICATE.search(x) and (x.lower() in KNOWN_CERTIFICATES or bool(CERTIFICATE.search(x)))
+
+
+def certificates_in(text: str) -> list[dict]:
+    """Names of certificates in running text: what stands before a month and year, cut at the issuers that it names."""
+    out = []
+    dated = re.split(r"((?:%s)[a-z]*\.?\s+(?:19|20)\d{2})" % "|".join(m[:3] for m in MONTHS), " ".join(text.split()), flags=re.I)
+    for body, when in zip(dated[::2], dated[1::2], strict=False):
+        month, year = MONTH.search(when)[1], YEAR.search(when)[0]
+        named = re.split(r"\b(%s)\b" % "|".join(ISSUERS), body, flags=re.I)
+        for name, issuer in zip(named[::2], [*named[1::2], ""], strict=True):
+            name = clean(re.sub(r"^[\s&]+", "", name))
+            if name and len(name.split()) > 1 and not HEAD_OF_CERTIFICATE.search(name) and (issuer or is_certificate(name)):
+                full = next(m for m in MONTHS if m.lower().startswith(month.lower()))
+                out.append({"name": name, "issuingOrg": issuer, "achievedDate": f"{full} {year}", "url": ""})
+    return out
+
+
+def achieved(x: str) -> str:
+    year, month = YEAR.search(x), MONTH.search(x)
+    full = next((m for m in MONTHS if month and m.lower().startswith(month[1].lower())), "")
+    return f"{full} {year[0]}".strip() if year else ""
+
+
+def projects_from_lines(text: str) -> list[dict]:
+    """A short line that is no duty begins a project, the lines after it tell of it."""
+    out: list[dict] = []
+    for line in lines(text):
+        t = clean(line)
+        if not is_duty(t) and len(t.split()) <= 8 and not t.endswith(".") and line_kind(line) != "bullet" and t.lower() not in NO_TITLES:
+            out.append({"title": t, "description": "", "role": "", "tools": "", "url": ""})
+        elif out:
+            out[-1]["description"] = f"{out[-1]['description']} {t}".strip()
+    return out
+
+
+# the record -------------------------------------------------------------------
+
+
+def build(native: dict, cases: dict[str, str], implied: Iterable[str], low: float = 0.35) -> dict:
+    """The builder record of a document's sections, and ``notes`` on what was left out or repaired."""
+    notes: list[str] = []
+    raw = lambda s: section(native, s)[0]
+    sure = lambda s: section(native, s)[2]
+    weak = lambda s: 0.0 < sure(s) < low
+    everything, contact = raw("raw_text"), raw("contact")
+
+    email = pick_email([raw("email"), contact, raw("summary"), everything])
+    if email and sure("email") < low and email not in contact:
+        notes.append("email left out: low confidence")
+        email = ""
+    phone = pick_phone([raw("phone"), contact, everything])
+    if phone and sure("phone") < low and phone not in contact:
+        notes.append("phone left out: low confidence")
+        phone = ""
+    name = clean(raw("name"))
+    if not is_name(name) or 0.0 < sure("name") < low + 0.15:
+        notes += [f"name '{name}' not taken"] if name else []
+        name = next((n for n in [clean(x) for x in lines(everything)][:15] if is_name(n)), "")
+        name = name or name_in("\n".join([contact, everything, raw("certifications"), raw("achievements")]), pick_email([raw("email"), everything]))
+    first, last = split_name(name) if name else ("", "")
+    profile, sites = links(native)
+    city, country = place(contact)
+    pin = re.search(r"\b\d{5,6}\b", contact)
+
+    rows = [study_of(e) for e in entries(section(native, "education")[1])] + studies_from_lines(raw("education"))
+    education = [] if weak("education") else merge_studies(rows)
+    listed = entries(section(native, "experience")[1])
+    experience = [job(e) for e in listed]
+    if not listed and raw("experience"):
+        found = jobs_from_lines(raw("experience"))
+        if job_score(found) > job_score(experience):
+            notes.append("experience taken from the raw section")
+            experience = found
+    experience = [] if weak("experience") else repair_jobs(experience)
+
+    data = section(native, "skills")[1]
+    wanted = [str(s) for s in data.get("all_skills") or []] + [str(s) for v in (data.get("categories") or {}).values() if isinstance(v, list) for s in v] + split_items(raw("skills"))
+    if not wanted or sure("skills") < low:
+        told = " ".join(j["description"] for j in experience).lower()
+        wanted += [k for k in implied if k in told]
+    own_skills = skills(wanted, cases)
+
+    projects = [{"title": value(e, "name", "title"), "description": value(e, "description"), "role": value(e, "role"), "tools": value(e, "technologies", "tools"), "url": url(value(e, "link", "url"))} for e in entries(section(native, "projects")[1])]
+    projects = [] if weak("projects") else [p for p in projects or projects_from_lines(raw("projects")) if p["title"] or p["description"]]
+
+    certificates = []
+    for e in entries(section(native, "certifications")[1]) if not weak("certifications") else []:
+        given = value(e, "name")
+        if HEAD_OF_CERTIFICATE.search(given) or len(given) > 100:
+            certificates += certificates_in(given)
+        elif given:
+            certificates.append({"name": given, "issuingOrg": value(e, "issuer", "issuingOrg"), "achievedDate": achieved(value(e, "year", "achievedDate", "date")), "url": url(value(e, "url"))})
+    if not certificates:
+        text = raw("certifications") or "\n".join(block_under(everything, ("certifications", "certification", "certificates", "licenses", "courses")))
+        certificates = certificates_in(text) + [{"name": clean(YEAR.sub("", x)), "issuingOrg": "", "achievedDate": achieved(x), "url": ""} for x in map(clean, lines(text)) if is_certificate(x)]
+    certificates += certificates_in(raw("achievements"))
+    certificates = certificates or certificates_in(everything)
+    certificates = list({c["name"].lower(): c for c in reversed(certificates) if c["name"]}.values())[::-1]
+
+    said = section(native, "languages")[1].get("languages") if not weak("languages") else None
+    said = [str(s) for s in said] if isinstance(said, list) and said else split_items(raw("languages")) or block_under(everything, ("languages", "language skills", "known languages"))
+    languages = [x for x in map(language, said) if x["name"]]
+
+    profession = next((j["title"] for j in experience if j["title"] and not is_duty(j["title"])), "")
+    summary = ""
+    for s in ("summary", "objective", "profile"):
+        text, data, _ = section(native, s)
+        summary = summary or "\n".join(clean(x) if not x.endswith(".") else x for x in lines(text)) or value(data, "text", "content", "summary", "description", "profile")
+    summary = summary or " ".join(block_under(everything, ("summary", "professional summary", "career summary", "objective", "career objective", "profile", "about me")))
+    if not summary and (profession or own_skills):
+        summary = f"{profession or 'Professional'}{' skilled in ' + ', '.join(own_skills[:4]) if own_skills else ''}."
+        notes.append("summary made from profession and skills")
+    notes += [f"section '{s}' has no field" for s in sorted(native) if s not in SUPPORTED]
+    return {
+        "personal": {"firstName": first, "lastName": last, "profession": profession, "city": city, "country": country, "pincode": pin[0] if pin else "", "phone": phone, "email": email, "linkedin": profile, "websites": sites},
+        "summary": summary, "skills": own_skills, "education": [{"location": "", "gradMonth": "", **s} for s in education], "experience": experience, "projects": projects,
+        "certifications": certificates, "languages": languages, "notes": notes,
+    }
+
+
+SUPPORTED = ("name", "email", "phone", "summary", "objective", "profile", "skills", "education", "experience", "projects", "certifications", "languages", "contact", "links", "raw_text")

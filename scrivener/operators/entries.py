@@ -24,10 +24,15 @@ def skill_category(skill: Column) -> Column:
     return F.coalesce(*[F.when(skill.rlike(rf"\b(?:{words})\b"), name) for name, words in SKILL_CATEGORIES.items()], F.lit("other"))
 
 
+def skills_of(text: Column) -> Column:
+    """Distinct lower-cased parts of two characters or more between commas, semicolons and line ends."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,;â€¢\n]+"), lambda s: F.lower(F.trim(s)))
+    return F.array_distinct(F.filter(parts, lambda s: F.length(s) >= 2))
+
+
 def parse_skills(rows: DataFrame) -> DataFrame:
-    """doc_id, skill, category: distinct lower-cased parts of two characters or more between commas, semicolons and line ends."""
-    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"[,;â€¢\n]+"), lambda s: F.lower(F.trim(s)))
-    skills = rows.select("doc_id", F.explode(F.array_distinct(F.filter(parts, lambda s: F.length(s) >= 2))).alias("skill"))
+    """doc_id, skill, category of each skill."""
+    skills = rows.select("doc_id", F.explode(skills_of(F.col("text"))).alias("skill"))
     return skills.withColumn("category", skill_category(F.col("skill")))
 
 
@@ -129,14 +134,20 @@ def _company_in(x: Column) -> Column:
 
 
 def parse_experience(rows: DataFrame) -> DataFrame:
-    """doc_id, entry_no, title, company, duration, description.
+    """doc_id, entry_no, title, company, duration, description."""
+    out = rows.select("doc_id", F.posexplode(experience_of(F.col("text"))).alias("entry_no", "e"))
+    return out.select("doc_id", (F.col("entry_no") + 1).alias("entry_no"), "e.*")
+
+
+def experience_of(text: Column) -> Column:
+    """Array of struct(title, company, duration, description).
 
     Where an entry begins depends on what the open one has, so each document's lines are folded by ``aggregate``: the
     state is the open entry and the finished ones. All of it stays in the JVM.
     """
     empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("title", "company", "duration", "description")])
     facts = F.transform(
-        F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n"),
+        F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n"),
         lambda raw: _facts(F.trim(raw)),
     )
 
@@ -168,9 +179,7 @@ def parse_experience(rows: DataFrame) -> DataFrame:
 
     start = F.struct(empty.alias("open"), F.array().cast("array<struct<title:string,company:string,duration:string,description:string>>").alias("done"))
     any_ = lambda e: F.coalesce(e["title"], e["company"], e["duration"], e["description"]).isNotNull()
-    entries = F.aggregate(facts, start, step, lambda a: F.when(any_(a["open"]), F.array_append(a["done"], a["open"])).otherwise(a["done"]))
-    out = rows.select("doc_id", F.posexplode(entries).alias("entry_no", "e"))
-    return out.select("doc_id", (F.col("entry_no") + 1).alias("entry_no"), "e.*")
+    return F.aggregate(facts, start, step, lambda a: F.when(any_(a["open"]), F.array_append(a["done"], a["open"])).otherwise(a["done"]))
 
 
 def _facts(x: Column) -> Column:
@@ -182,31 +191,6 @@ def _facts(x: Column) -> Column:
     )
 
 
-def names(docs: DataFrame, first_names: DataFrame | None = None, most_lines: int = 15) -> DataFrame:
-    """doc_id, name, confidence: the best candidate among the first lines.
-
-    A candidate has two to four capitalised words and no digits, signs or heading words, or follows ``Name:``. Score: 0.3
-    for the method (label) or 0.15, 0.25 falling with the line, 0.15 for two or three words, 0.2 where the first word is in
-    the dictionary of first names (column name; a parameter).
-    """
-    top = lines(docs).filter(F.col("line_no") < most_lines)
-    label = F.regexp_extract("line", r"(?i)^name\s*[:\-]\s*(.+)$", 1)
-    value = F.when(label != "", F.trim(label)).otherwise(F.col("line"))
-    words = F.split(value, r"\s+")
-    shaped = value.rlike(r"^[\p{L}'.\- ]+$") & F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))
-    blocked = F.lower(value).rlike(r"\b(?:resume|curriculum|vitae|summary|skills|experience|education|projects?|university|college|engineer|developer|manager|objective|profile)\b")
-    cand = top.withColumns({"name": value, "labelled": label != ""}).filter((F.col("name") != "") & (F.col("labelled") | shaped) & ~blocked)
-    cand = cand.withColumn("first", F.lower(F.get(F.split("name", r"\s+"), F.lit(0))))
-    known = F.lit(0.0)
-    if first_names is not None:
-        cand = cand.join(first_names.select(F.lower("name").alias("first")).distinct().withColumn("_known", F.lit(True)), "first", "left")
-        known = F.when(F.col("_known"), 0.2).otherwise(0.0)
-    score = F.when(F.col("labelled"), 0.30).otherwise(0.15) + F.greatest(0.25 - 0.02 * F.col("line_no"), F.lit(0.0)) + F.when(F.size(F.split("name", r"\s+")).isin(2, 3), 0.15).otherwise(0.10) + known
-    cand = cand.withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 2))
-    best = F.max_by(F.struct("name", "confidence"), F.struct("confidence", -F.col("line_no")))
-    return cand.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.name", "b.confidence")
-
-
 def name_of_file(path: Column) -> Column:
     """Last resort: the file's name without its ending, digits and words such as resume, in title case."""
     stem = F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]+)?$", 1)

@@ -43,6 +43,21 @@ def filtered(samples: DataFrame, field_name: str | None = None, status: str | No
     return keyed(samples).filter("changed").select(samples.columns) if only_changed else samples
 
 
+def count_samples(samples: DataFrame, status: str | None = None) -> int:
+    """How many samples there are, or of one status."""
+    return filtered(samples, status=status).count()
+
+
+def of_resume(feedback: DataFrame, resume_id: int) -> DataFrame:
+    """One document's feedback, newest first."""
+    return feedback.filter(F.col("resume_id") == resume_id).orderBy(F.col("timestamp").desc_nulls_last())
+
+
+def of_field(feedback: DataFrame, field_name: str) -> DataFrame:
+    """One field's feedback, newest first."""
+    return feedback.filter(F.col("field_name") == field_name).orderBy(F.col("timestamp").desc_nulls_last())
+
+
 def statistics(samples: DataFrame) -> DataFrame:
     """field_name, feedback_type, total, approved, pending, rejected, changed: by field, by type, and over all (nulls)."""
     k = keyed(samples)

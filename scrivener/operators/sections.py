@@ -484,3 +484,116 @@ def extract_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = docs.select(F.col(id_col).alias("doc_id"), F.lit("summary").alias("section"), let(F.transform(lines, flags), body).alias("text"))
     return found.withColumn("text", text_or_empty(F.col("text"))).withColumn("confidence", summary_confidence(F.col("text")))
+
+
+#: Fixed values of the generic extractor: headings of each kind, and patterns of some.
+KINDS = {
+    "name": ("name", "personal details", "personal information", "contact info", "profile"),
+    "summary": ("summary", "career summary", "professional summary", "objective", "career objective", "profile", "about me", "about", "introduction"),
+    "skills": (
+        "skills", "technical skills", "key skills", "core skills", "skill set", "skills summary", "technical expertise", "technical competencies", "technical proficiencies", "technologies",
+        "tools & technologies", "tools and technologies", "software skills", "programming skills", "technology stack", "tech stack", "competencies", "professional skills",
+        "areas of expertise", "computer skills", "it skills", "skills & abilities", "skills and abilities",
+    ),
+    "education": (
+        "education", "education qualification", "educational qualifications", "academic qualifications", "education & qualifications", "education details", "education background",
+        "academic background", "educational profile", "educational summary", "academic credentials", "qualification", "qualifications", "academic details", "degree", "degrees",
+    ),
+    "experience": (
+        "experience", "work experience", "employment history", "employment", "professional experience", "work history", "job history", "career history", "internship", "internships",
+        "practical experience",
+    ),
+    "projects": (
+        "projects", "project", "academic projects", "personal projects", "project experience", "project details", "key projects", "project work", "major projects", "minor projects",
+    ),
+    "certifications": (
+        "certifications", "certificates", "certification", "credentials", "licenses", "licenses & certifications", "certifications & licenses", "professional certifications",
+        "certifications earned", "certifications obtained", "certificate", "certified", "license",
+    ),
+    "awards": ("awards", "achievements", "honors", "recognition", "accomplishments", "awards & achievements", "awards and achievements"),
+    "languages": ("languages", "language skills", "language proficiency", "known languages"),
+    "interests": ("interests", "hobbies", "personal interests", "activities"),
+    "references": ("references", "referees", "recommendations"),
+    "declaration": ("declaration", "statement", "legal"),
+    "contact": ("contact", "contact details", "contact information", "email", "phone", "address"),
+    "publications": ("publications", "papers", "research", "conference papers"),
+    "volunteer": ("volunteer", "volunteering", "community service", "social work"),
+    "training": ("training", "workshops", "seminars", "courses", "professional development"),
+    "strengths": ("strengths", "strength", "key strengths", "personal strengths", "core strengths"),
+    "extra-curricular": ("extra-curricular", "extracurricular", "co-curricular"),
+}
+KIND_PATTERNS = {
+    "skills": (
+        r"\b(python|java|javascript|html|css|sql|react|angular|vue|node|django|flask)\b", r"\b(machine learning|deep learning|data science|artificial intelligence)\b",
+        r"\b(aws|azure|gcp|docker|kubernetes|jenkins|git)\b", r"\b(c\+\+|c#|ruby|php|swift|kotlin|go|rust)\b", r"\b(mysql|postgresql|mongodb|redis|elasticsearch)\b",
+        r"\b(framework|library|tool|platform|language)\b",
+    ),
+    "education": (
+        r"\b(bachelor|master|phd|doctorate|diploma|certificate)\b", r"\b(20\d{2}|19\d{2})\b", r"\b(university|college|institute|school)\b", r"\b(gpa|grade|percentage|score)\b",
+        r"\b(degree|graduation|passed)\b", r"\b(location|place)\b",
+    ),
+    "projects": (
+        r"\b(developed|built|created|designed|implemented|led)\b", r"\b(python|java|javascript|react|angular|node|django|flask)\b", r"\b(machine learning|data science|api|database|web)\b",
+        r"\b(github|gitlab|heroku|aws|azure)\b", r"\b(project|team|application|system)\b",
+    ),
+    "experience": (
+        r"\b(company|organization|employer|work)\b", r"\b(20\d{2}|19\d{2})\b", r"\b(developer|engineer|manager|analyst|designer|consultant)\b", r"\b(intern|junior|senior|lead|head)\b",
+        r"\b(responsible|duties|achievements)\b",
+    ),
+    "certifications": (
+        r"\b(certified|certificate|certification)\b", r"\b(aws|azure|gcp|google|amazon|microsoft)\b", r"\b(pmp|scrum|agile|pmi|itil|ccna|ccnp|mcse|mcsa)\b",
+        r"\b(iso|ceh|cissp|cisa|comptia)\b", r"\b(license|earned|obtained)\b",
+    ),
+    "awards": (
+        r"\b(awarded|won|received|achieved)\b", r"\b(prize|medal|certificate|recognition)\b", r"\b(competition|contest|event)\b", r"\b(first|second|third|winner)\b",
+    ),
+}
+#: Headings that should not stand inside another section: each takes a fifth of the confidence, down to two fifths.
+FOREIGN = ("languages", "declaration", "references", "hobbies", "personal details", "certifications", "projects", "education", "experience", "skills")
+
+
+def kind_headings() -> tuple[str, str]:
+    """(a line that begins with a heading of any kind, a pattern for ends to strip): lines over 60 characters are no headings."""
+    return f"^(?:{_one_of({w for words in KINDS.values() for w in words})})", r"[:\-–—]+$"
+
+
+def by_kind(docs: DataFrame, kinds: Sequence[str] = tuple(KINDS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, section, text, confidence by one rule for all kinds: the lines between a heading that stands alone and the next heading of any kind.
+
+    One scan for any number of kinds; unknown kinds raise KeyError, documents without the heading have an empty text and 0.
+    """
+    any_, ends = kind_headings()
+
+    def flags(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        bare = F.trim(F.regexp_replace(low, ends, ""))
+        keep = (x != "") & ~x.rlike(SEPARATOR) & ~x.rlike(YEARS_ONLY)
+        return F.struct(i.alias("i"), x.alias("x"), low.alias("low"), ((x != "") & (F.length(x) <= 60) & bare.rlike(any_)).alias("head"), keep.alias("keep"))
+
+    def body(rows: Column, kind: str) -> Column:
+        start = F.get(F.filter(rows, lambda r: r["low"].rlike(f"^(?:{_one_of(KINDS[kind])})[\\s:–—-]*$")), F.lit(0))["i"]
+
+        def after(b: Column) -> Column:
+            end = F.coalesce(F.get(F.filter(rows, lambda r: (r["i"] > b) & r["head"]), F.lit(0))["i"], F.lit(1 << 30))
+            return let(end, lambda e: F.transform(F.filter(rows, lambda r: (r["i"] > b) & (r["i"] < e) & r["keep"]), lambda r: r["x"]))
+
+        kept = let(let(start, after), lambda a: F.coalesce(a, F.array().cast("array<string>")))
+        normal = lambda x: F.regexp_replace(F.lower(x), r"\s+", " ")
+        return let(kept, lambda a: let(F.transform(a, normal), lambda low: F.filter(a, lambda x, i: F.array_position(low, normal(x)) == i + 1)))
+
+    marked = F.transform(F.transform(lines_of(F.col(text_col)), lambda x: strip(x)), flags)
+    found = docs.select(F.col(id_col).alias("doc_id"), marked.alias("_rows"))
+    rows = found.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("section"), F.array_join(body(F.col("_rows"), k), "\n").alias("text")) for k in kinds])))
+    score = F.coalesce(*[F.when(F.col("section") == k, kind_confidence(F.col("text"), k)) for k in kinds])
+    return rows.select("doc_id", "section", "text", score.alias("confidence"))
+
+
+def kind_confidence(text: Column, kind: str) -> Column:
+    """Of lines, matches, characters and the kind's own words, less for headings of other kinds inside; to two decimals."""
+    full, weight = (5, 0.4) if kind in ("skills", "education", "experience", "projects", "certifications") else (3, 0.3)
+    own = sum((F.when(F.contains(F.lower(text), F.lit(w)), 1).otherwise(0) for w in KINDS[kind]), F.lit(0))
+    score = share(non_blank_lines(text), 5, 0.3) + share(hits(text, KIND_PATTERNS.get(kind, ())), full, weight) + share(F.length(text), 200, 0.3) + share(own, 3, 0.1)
+    rounded = let(score, lambda v: F.round(F.least(F.when(v > 0.7, F.least(v * 1.1, F.lit(1.0))).otherwise(v), F.lit(1.0)), 2))
+    inside = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
+    foreign = sum((F.when(F.contains(inside, F.lit(f"\n{w}\n")), 1).otherwise(0) for w in FOREIGN if w != kind), F.lit(0))
+    return F.when(F.trim(text) == "", 0.0).otherwise(F.round(F.when(foreign > 0, rounded * F.greatest(F.lit(0.4), 1 - foreign * 0.2)).otherwise(rounded), 2))

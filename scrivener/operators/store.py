@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
@@ -167,3 +167,33 @@ def to_classifier_lines(rows: DataFrame) -> DataFrame:
     """One JSON line for each example: the text and the category it belongs to."""
     cats = F.create_map(F.col("field_name"), F.lit(1.0))
     return rows.select(F.to_json(F.array(F.col("text"), F.to_json(F.struct(cats.alias("cats"))))).alias("value"))
+
+
+def add_manual(rows: DataFrame, path: str) -> None:
+    """Append examples (field_name, text, label) as JSON files, one folder a field; they count as verified."""
+    out = rows.select("text", "label", F.lit("manual").alias("source"), F.lit(True).alias("verified"), F.current_timestamp().cast("string").alias("added_at"), "field_name")
+    out.write.mode("append").partitionBy("field_name").json(path)
+
+
+def read_manual(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("text string, label string, source string, verified boolean, added_at string, field_name string").json(path)
+
+
+# reports ------------------------------------------------------------------------
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """One JSON document of a report's rows, in place of the one before."""
+    report.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_report(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The report's rows, with the columns of ``like``; lines that are no JSON are passed over."""
+    read = spark.read.text(path).select(F.from_json("value", like.schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r is not null")
+    return read.select("r.*")
+
+
+def timings(runs: DataFrame) -> DataFrame:
+    """name, count, total, avg, min, max of recorded durations (name, seconds)."""
+    s = F.col("seconds")
+    return runs.groupBy("name").agg(F.count(s).alias("count"), F.sum(s).alias("total"), F.avg(s).alias("avg"), F.min(s).alias("min"), F.max(s).alias("max"))

@@ -11,7 +11,7 @@ from ..operators import ats
 from ..operators.entries import DEGREE_LEVELS, ISSUERS, PROJECT_HOSTS, SKILL_CATEGORIES, TECHNOLOGIES
 from ..operators.lines import DEGREES, PATTERNS, ROLES, SCHOOLS
 from ..operators.schema import LEVEL_WORDS
-from ..operators.sections import NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, header_pattern, stop_pattern
+from ..operators.sections import FOREIGN, KIND_PATTERNS, KINDS, NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, _one_of, header_pattern, kind_headings, stop_pattern
 from ..sources.tables import RESUME_TEXT_SQL, SAMPLES_SQL
 
 RES = f"resume_text as ({RESUME_TEXT_SQL})"
@@ -139,6 +139,32 @@ select doc_id, coalesce(best, regexp_replace(later, '\\s+', ' ', 'g'), '') as te
     }
 
 
+def _by_kind(kinds: tuple[str, ...]) -> str:
+    """The generic extractor: headings that stand alone, the next heading of any kind, distinct lines."""
+    any_, ends = kind_headings()
+    bare = f"trim(regexp_replace(low, {_q(ends)}, ''))"
+    head = f"(line <> '' and length(line) <= 60 and regexp_matches({bare}, {_q(any_)}))"
+    keep = f"(line <> '' and not regexp_matches(line, {_q(SEPARATOR)}) and not regexp_matches(line, {_q(YEARS_ONLY)}))"
+    starts = ", ".join(f"min(idx) filter (regexp_matches(low, {_q(f'^(?:{_one_of(KINDS[k])})[{chr(92)}s:–—-]*$')})) as \"{k}\"" for k in kinds)
+
+    def score(k: str) -> str:
+        full, weight = (5, 0.4) if k in ("skills", "education", "experience", "projects", "certifications") else (3, 0.3)
+        own = " + ".join(f"contains(lower(text), {_q(w)})::int" for w in KINDS[k])
+        foreign = " + ".join(f"contains(chr(10) || lower(text) || chr(10), chr(10) || {_q(w)} || chr(10))::int" for w in FOREIGN if w != k)
+        raw = f"least(items / 5.0::double, 1.0::double) * 0.3::double + least(({_hits('text', KIND_PATTERNS.get(k, ()))}) / {full}.0::double, 1.0::double) * {weight}::double"
+        raw += f" + least(length(text) / 200.0::double, 1.0::double) * 0.3::double + least(({own}) / 3.0::double, 1.0::double) * 0.1::double"
+        rounded = f"round(least(case when ({raw}) > 0.7::double then least(({raw}) * 1.1::double, 1.0::double) else ({raw}) end, 1.0::double), 2)"
+        return f"when section = '{k}' then round(case when ({foreign}) > 0 then {rounded} * greatest(0.4::double, 1 - ({foreign}) * 0.2::double) else {rounded} end, 2)"
+
+    return f"""with {RES}, {_lines()}, s as (select doc_id, {starts} from l group by doc_id),
+b as (select doc_id, section, b from s unpivot include nulls (b for section in ({", ".join(f'"{k}"' for k in kinds)}))),
+e as (select b.doc_id, section, any_value(b) as b, coalesce(min(idx) filter ({head} and idx > b), 1000000) as e from b join l on b.doc_id = l.doc_id group by b.doc_id, section),
+i as (select e.doc_id, section, idx, line, low from e join l on e.doc_id = l.doc_id where idx > b and idx < e and {keep}),
+u as (select * from (select *, row_number() over (partition by doc_id, section, regexp_replace(low, '\\s+', ' ', 'g') order by idx) as nth from i) where nth = 1),
+t as (select b.doc_id, b.section, coalesce(string_agg(line, chr(10) order by idx), '') as text, count(line) as items from b left join u on b.doc_id = u.doc_id and b.section = u.section group by b.doc_id, b.section)
+select doc_id, section, text, case when text = '' then 0.0::double {' '.join(map(score, kinds))} end as confidence from t"""
+
+
 def _skills() -> str:
     s = SKILLS
     begins, contains = stop_pattern(s)
@@ -353,6 +379,7 @@ j as (select distinct doc_id, item from i where item <> '')
 select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select unnest(string_split(trim(regexp_replace(item, '(?i)\\b(?:{_LEVELS})\\b', '', 'g'), ' -–:()|,'), ' ')) as w)) as name,
   case {' '.join(f"when regexp_matches(lower(item), '{w}') then '{n}'" for n, w in LEVEL_WORDS)} else 'Intermediate' end as level from j""",
         **_ats(),
+        "res_by_kind": _by_kind(("skills", "education", "experience", "projects", "certifications", "awards", "languages", "summary")),
         "res_choose_best": f"""with {SAM}, c as (select *, (sample_id % 7) / 7.0::double as x, original_value <> '' and confidence_before >= 0.2 as good from samples)
 select sample_id, case when good and (corrected_value = '' or confidence_before >= x - 0.15::double) then original_value else corrected_value end as text,
   round(case when good and corrected_value = '' then greatest(confidence_before, 0.45::double) when good and confidence_before >= x - 0.15::double then greatest(confidence_before, x * 0.9::double) else x end, 6) as confidence from c""",

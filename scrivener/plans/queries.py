@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, entities, scores, text
-from ..operators import ats, builder, entries, feedback, layout, lines, schema, sections, similarity, store
+from ..operators import ats, builder, entries, feedback, layout, lines, mapper, names, schema, sections, similarity, store
 from ..sources.tables import load, resume_text, samples
 from . import documents
 
@@ -317,7 +317,12 @@ def res_entities(spark, sf):
 
 @query
 def res_names(spark, sf):
-    return entries.names(resume_text(spark, sf))
+    """Names written in four ways in front of each text; the dictionary knows some of them."""
+    first, last = F.element_at(F.array(*map(F.lit, ("Mara", "Otto", "Ines", "Yann"))), (F.col("doc_id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("Quill", "Fern", "Brook"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    full = F.concat_ws(" ", first, last)
+    line = F.when(F.col("doc_id") % 5 == 0, F.upper(full)).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Mr. "), full)).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("Name: "), full)).when(F.col("doc_id") % 5 == 3, full).otherwise(F.lit("Software Engineer"))
+    docs = resume_text(spark, sf).select("doc_id", F.concat(line, F.expr("substring(text, instr(text, chr(10)))")).alias("text"))
+    return names.names(docs, spark.createDataFrame([("Mara",), ("Brook",)], "name string"))
 
 
 @query
@@ -372,6 +377,25 @@ def res_parse(spark, sf):
     return documents.parse(resume_text(spark, sf), samples(spark, sf))
 
 
+@query
+def res_native_payload(spark, sf):
+    docs = resume_text(spark, sf)
+    natives = mapper.native_payload(mapper.structured_output(docs, documents.all_sections(docs)))
+    return natives.select("doc_id", "native")
+
+
+@query
+def res_builder_mapped(spark, sf):
+    """The builder records of all documents, through the mapper."""
+    docs = resume_text(spark, sf)
+    return documents.builder_records(docs, documents.all_sections(docs))
+
+
+@query
+def res_by_kind(spark, sf):
+    return sections.by_kind(resume_text(spark, sf), ("skills", "education", "experience", "projects", "certifications", "awards", "languages", "summary"))
+
+
 @query
 def res_accuracy(spark, sf):
     return documents.accuracy(documents.all_sections(resume_text(spark, sf)))
