@@ -63,7 +63,7 @@ DEGREES = (
 ISSUERS = ("udemy", "coursera", "ibm", "google", "microsoft", "aws", "amazon", "oracle", "cisco", "smartbridge", "aicte", "linkedin", "hackerrank", "nptel", "salesforce", "infosys", "edx")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-PHONE = re.compile(r"\+?\d[\d\s().-]{6,18}\d")
+PHONE = re.compile(r"\+?\(?\d[\d\s().-]{6,18}\d")
 LINK = re.compile(r"https?://[^\s,;]+|www\.[^\s,;]+|[A-Za-z0-9.-]+\.[A-Za-z]{2,}/[^\s,;]+", re.I)
 YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
 MARK = re.compile(r"(?:\b(?:cgpa|gpa|grade|percentage)\s*[:\-]?\s*)?(\d{1,2}(?:\.\d+)?\s*/\s*10|\d{1,3}(?:\.\d+)?\s*%)|\b(?:cgpa|gpa)\s*[:\-]?\s*(\d{1,2}(?:\.\d+)?)", re.I)
@@ -494,10 +494,10 @@ def skill(x: str, cases: dict[str, str]) -> str:
 
 
 def skills(items: Iterable[str], cases: dict[str, str]) -> list[str]:
-    """Distinct skills; places are none, and one whose words another one holds goes."""
+    """Distinct skills; places are none, and one word that is among another's words, or a part of another's text, goes."""
     spelt = [s for s in distinct(skill(i, cases) for i in items) if not set(_words(s)) <= set(PLACES)]
-    parts = {s: set(re.findall(r"[a-z0-9+#]+", s.lower())) for s in spelt}
-    return [s for s in spelt if not any(o != s and parts[s] < parts[o] for o in spelt)]
+    parts = {s: set(re.findall("[a-z0-9]+", s.lower())) for s in spelt}
+    return [s for s in spelt if not any(o != s and ((len(parts[s]) == 1 and parts[s] <= parts[o]) or s.lower() in o.lower()) for o in spelt)]
 
 
 def split_items(text: str) -> list[str]:

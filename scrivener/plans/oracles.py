@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 
-from ..functions.dates import CURRENT, MONTH, MONTHS, RANGE
+from ..functions.dates import CURRENT, MONTH, MONTHS, RANGE, YEAR
+from ..functions.entities import EMAIL, LINKS, PHONES, SIMPLE_PHONES
 from ..functions.headings import ALIASES, HEADING_TERMS, TAIL_WORDS
 from ..functions.scores import DAMAGE
 from ..operators import ats
 from ..operators.entries import DEGREE_LEVELS, ISSUERS, PROJECT_HOSTS, SKILL_CATEGORIES, TECHNOLOGIES
-from ..operators.lines import DEGREES, PATTERNS, ROLES, SCHOOLS
+from ..operators.lines import DEGREES, FULL_ORDER, PATTERNS, ROLES, SCHOOLS
 from ..operators.schema import LEVEL_WORDS
-from ..operators.sections import FOREIGN, KIND_PATTERNS, KINDS, NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, _one_of, header_pattern, kind_headings, stop_pattern
+from ..operators.sections import CONTACTS, FOREIGN, KIND_PATTERNS, KINDS, NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, _one_of, header_pattern, kind_headings, stop_pattern
 from ..sources.tables import RESUME_TEXT_SQL, SAMPLES_SQL
+from .documents import CONTACT_SCORES
 
 RES = f"resume_text as ({RESUME_TEXT_SQL})"
 SAM = f"samples as ({SAMPLES_SQL})"
@@ -139,6 +141,37 @@ select doc_id, coalesce(best, regexp_replace(later, '\\s+', ' ', 'g'), '') as te
     }
 
 
+def _ordered(a: str) -> str:
+    """Distinct elements of a list, the first of each kept."""
+    return f"list_filter({a}, lambda x, i: list_position({a}, x) = i)"
+
+
+def _found(kind: str, text: str) -> str:
+    """The list of matches of addresses, numbers or links in a text."""
+    if kind == "email":
+        return f"list_filter(regexp_extract_all({text}, {_q(EMAIL)}), lambda x, i: list_position(list_transform(regexp_extract_all({text}, {_q(EMAIL)}), lambda y: lower(y)), lower(x)) = i)"
+    patterns, flags = (PHONES, "") if kind == "phone" else (LINKS, "(?i)")
+    return _ordered(f"flatten([{', '.join(f'regexp_extract_all({text}, {_q(flags + p)})' for p in patterns)}])")
+
+
+def _contacts() -> str:
+    """What stands under a heading if it has a match, else all matches of the whole text."""
+    parts = []
+    for s in CONTACTS:
+        full, weight, length, rest, raised = CONTACT_SCORES[s.name]
+
+        def score(text: str, s=s, full=full, weight=weight, length=length, rest=rest, raised=raised) -> str:
+            items = f"len(list_filter(string_split({text}, chr(10)), lambda x: trim(x) <> ''))" if s.name == "links" else f"len({_found(s.name, text)})"
+            raw = f"(least({items} / {full}.0::double, 1.0::double) * {weight}::double + least(length({text}) / {length}.0::double, 1.0::double) * {rest}::double)"
+            return f"case when trim({text}) = '' or {items} = 0 then 0.0::double else round(least(case when {raw} > 0.3 and length({text}) > {raised} then least({raw} * 1.2::double, 1.0::double) else {raw} end, 1.0::double), 2) end"
+
+        parts.append(
+            f"""select doc_id, '{s.name}' as section, text, {score('text')} as confidence from (select h.doc_id, case when ({score('h.text')}) > 0 then h.text else array_to_string({_found(s.name, 'r.text')}, chr(10)) end as text
+  from ({section_sql(s)}) h join ({RESUME_TEXT_SQL}) r on h.doc_id = r.doc_id)"""
+        )
+    return "\nunion all\n".join(parts)
+
+
 def _by_kind(kinds: tuple[str, ...]) -> str:
     """The generic extractor: headings that stand alone, the next heading of any kind, distinct lines."""
     any_, ends = kind_headings()
@@ -279,6 +312,10 @@ _JOBS_STORE = "d as (select doc_id as id, source || '.txt' as filename, text as
 _VERSIONS = """v as (select event_type as model_name, event_id::varchar as version_id, lpad(event_id::varchar, 12, '0') as created_at,
   case when event_id % 50 = 7 then 'active' when event_id % 3 = 0 then 'archived' else 'staged' end as status from events)"""
 _EXAMPLES = f"{SAM}, x as (select field_name, 'feedback' as source, false as verified from samples where status = 'pending' union all select field_name, 'correction', true from samples where status = 'approved')"
+#: The jobs in the texts that are made from customers: a title with years, a title at a company, and a line of dates.
+_JOBS = """j as (select c_custkey as doc_id, 1 as entry_no, c_mktsegment || ' manager 2015 - 2019' as title, null::varchar as company, c_mktsegment || ' manager 2015 - 2019' as duration, '- managed the company team' as description from customer
+  union all select c_custkey, 2, 'Software developer at Acme Ltd', 'Acme Ltd', null, null from customer
+  union all select c_custkey, 3, null, null, 'Jan ' || (2019 + c_custkey % 4)::varchar || ' - Present', '- developed web applications' from customer)"""
 _YEAR = r"(?:19|20)\d{2}"
 
 
@@ -322,7 +359,7 @@ select sample_id, new_value, corrected, coalesce(round(c * 0.55::double + correc
     and a.corrected_value = b.corrected_value and a.feedback_type = b.feedback_type)) select sample_id, resume_id, field_name, original_value, corrected_value, feedback_type from n where nth = 1""",
         "fb_export": f"""with {SAM} select sample_id, field_name, original_value as input, case when feedback_type = 'correction' then corrected_value end as expected, feedback_type
   from samples where feedback_type in ('correction', 'rejection')""",
-        "fb_set_status": f"with {SAM} select case when status = 'pending' then 'rejected' else status end as status, count(*) as total from samples group by 1",
+        "fb_set_status": f"with {SAM} select sample_id, case when status = 'pending' then 'rejected' else status end as status from samples",
         # documents
         "doc_lines": f"with {_lines('documents')} select doc_id, count(*) as n_lines, count(*) filter (line <> '') as n_full, max(length(line)) as longest from l group by doc_id",
         "doc_text_confidence": f"select doc_id, {_QUALITY.replace('{t}', 'text')} as confidence from documents",
@@ -379,6 +416,25 @@ j as (select distinct doc_id, item from i where item <> '')
 select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select unnest(string_split(trim(regexp_replace(item, '(?i)\\b(?:{_LEVELS})\\b', '', 'g'), ' -–:()|,'), ' ')) as w)) as name,
   case {' '.join(f"when regexp_matches(lower(item), '{w}') then '{n}'" for n, w in LEVEL_WORDS)} else 'Intermediate' end as level from j""",
         **_ats(),
+        "doc_phones": "select doc_id, phone from (select doc_id, coalesce("
+        + ", ".join(f"case when length(regexp_replace(regexp_extract(text, {_q(p)}), '[^\\d+]', '', 'g')) >= 10 then regexp_replace(regexp_extract(text, {_q(p)}), '[^\\d+]', '', 'g') end" for p in SIMPLE_PHONES)
+        + ", '') as phone from documents) where phone <> ''",
+        "doc_entity_counts": f"select doc_id, len({_found('email', 'text')}) as emails, len({_found('links', 'text')}) as links, len(regexp_extract_all(text, {_q(YEAR)})) as years from documents",
+        "doc_key_normal": "select doc_id, md5(lower(regexp_replace(trim(regexp_replace(replace(text, chr(0), ' '), '\\s+', ' ', 'g')), '^ | $', '', 'g'))) as key from documents",
+        "res_entities": _contacts(),
+        # what a reader takes from the jobs of each text, told from the columns that the texts are made of
+        "res_experience_entries": f"with {_JOBS} select doc_id, entry_no, title, company, duration, description from j",
+        "res_builder_jobs": f"""with {_JOBS} select doc_id, entry_no, coalesce(title, '') as title, coalesce(company, '') as employer, coalesce(description, '') as description,
+  case when entry_no = 3 then 'January' else '' end as "startMonth", case entry_no when 1 then '2015' when 3 then duration[5:8] else '' end as "startYear", '' as "endMonth", case when entry_no = 1 then '2019' else '' end as "endYear",
+  entry_no = 3 as current from j""",
+        "res_jobs_distinct": f"""with {_JOBS} select doc_id, entry_no::bigint - 1 as pos, coalesce(title, '') as title, coalesce(company, '') as employer, [0.7::double, 0.6::double, 0.4::double][entry_no] as quality from j""",
+        "res_years_experience": "select c_custkey as doc_id, 2024 - 2015 as years from customer",
+        "res_names": f"""with n as (select c_custkey as doc_id, ['Mara', 'Otto', 'Ines', 'Yann'][c_custkey % 4 + 1] as a, ['Quill', 'Fern', 'Brook'][c_custkey % 3 + 1] as b from customer where c_custkey % 5 <> 4)
+select doc_id, a || ' ' || b as name, round(least(case when doc_id % 5 = 1 then 0.85::double else 0.9::double end + ((a = 'Mara')::int + (b = 'Brook')::int) / 2.0::double * 0.35::double, 1.0::double), 2) as confidence,
+  case when doc_id % 5 = 1 then 'heuristic' else 'regex' end as method from n""",
+        "res_full_text": f"""with {_REBUILT}, {_ISLANDS}, fb as (select doc_id, section, min(idx) as first, case when section is null then '' else upper(section) || chr(10) end || string_agg(line, chr(10) order by idx) as block from ri where head is null and line <> '' group by doc_id, section),
+fr as (select *, case when section is null then 0 else coalesce(nullif(list_position({FULL_ORDER!r}, section), 0), 99) end as rank from fb)
+select doc_id, string_agg(block, chr(10) || chr(10) order by rank, first) as text, 0.95::double as confidence from fr group by doc_id""",
         "res_by_kind": _by_kind(("skills", "education", "experience", "projects", "certifications", "awards", "languages", "summary")),
         "res_choose_best": f"""with {SAM}, c as (select *, (sample_id % 7) / 7.0::double as x, original_value <> '' and confidence_before >= 0.2 as good from samples)
 select sample_id, case when good and (corrected_value = '' or confidence_before >= x - 0.15::double) then original_value else corrected_value end as text,
@@ -398,17 +454,19 @@ select sample_id, case when top = 0 then 'none' when r = top then 'regex' when n
         "store_latest": f"with {_JOBS_STORE} select id, filename, created_at from (select *, row_number() over (partition by filename order by created_at desc, id desc) as nth from d) where nth = 1",
         "store_orphans_antijoin": "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
         "store_delete_newest": f"""with {_JOBS_STORE}, g as (select id from d where filename = 'src1.txt' order by created_at desc, id desc limit 1)
-select filename, count(*) as total from d where id not in (select id from g) group by filename""",
-        "store_update": f"with {_JOBS_STORE} select case when id % 20 = 0 then 'renamed.txt' else filename end as filename, count(*) as total from d group by 1",
+select id, filename, created_at from d where id not in (select id from g)""",
+        "store_update": f"with {_JOBS_STORE} select id, case when id % 20 = 0 then 'renamed.txt' else filename end as filename, created_at from d",
         "store_previews": f"with {_JOBS_STORE} select id, md5(case when length(extracted_text) > 500 then substr(extracted_text, 1, 500) || '...' else extracted_text end) as digest from d",
         "registry_models": f"""with {_VERSIONS} select model_name, count(*) as n_versions, arg_max(version_id, (created_at, version_id)) as latest_version,
   arg_max(version_id, (created_at, version_id)) filter (status = 'active') as active_version from v group by model_name""",
-        "registry_deploy": f"""with {_VERSIONS} select model_name, case when model_name = 'click' and version_id = '1' then 'active' when model_name = 'click' and status = 'active' then 'archived' else status end as status, count(*) as total
-  from v group by 1, 2""",
+        "registry_deploy": f"""with {_VERSIONS} select model_name, version_id, case when model_name = 'click' and version_id = '1' and n > 0 then 'active' when model_name = 'click' and status = 'active' and n > 0 then 'archived' else status end as status
+  from v, (select count(*) as n from v where model_name = 'click' and version_id = '1') k""",
         "train_split": f"""with {SAM}, r as (select sample_id, row_number() over (order by md5(sample_id::varchar), sample_id) as rn, count(*) over () as n from samples)
 select sample_id, case when rn <= floor(n * 0.7::double) then 'train' when rn <= floor(n * 0.7::double) + floor(n * 0.15::double) then 'validation' else 'test' end as part from r""",
         "train_stats": f"with {_EXAMPLES} select field_name, source, verified, count(*) as total from x group by grouping sets ((field_name), (source), (verified), ())",
-        "train_augment": f"with {_EXAMPLES} select k > 0 as augmented, source, count(*) as total from x, range(3) r(k) group by 1, 2",
+        "train_augment": f"""with {SAM}, x as (select field_name, 'feedback' as source, false as verified, original_value as text, corrected_value as label from samples where status = 'pending'
+  union all select field_name, 'correction', true, original_value, corrected_value from samples where status = 'approved')
+select field_name, source, verified, label, count(text) as originals, 2 * count(*) as variations from x group by field_name, source, verified, label""",
         # layout
         "layout_columns": f"with {_ELEMENTS} select * from cols",
         "layout_reading_order": f"""with {_ELEMENTS}, j as (select e.*, split_x, two_columns, case when two_columns and x0 > split_x then 'right' else 'left' end as side from e join cols on e.doc_id = cols.doc_id),

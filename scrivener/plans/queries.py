@@ -98,7 +98,7 @@ def fb_export(spark, sf):
 @query
 def fb_set_status(spark, sf):
     s = samples(spark, sf)
-    return feedback.set_status(s, s.filter("status = 'pending'").select(F.col("sample_id").alias("id")), "rejected").groupBy("status").agg(F.count("*").alias("total"))
+    return feedback.set_status(s, s.filter("status = 'pending'").select(F.col("sample_id").alias("id")), "rejected").select("sample_id", "status")
 
 
 # documents ----------------------------------------------------------------------
@@ -468,19 +468,19 @@ def store_latest(spark, sf):
 
 @query
 def store_orphans_antijoin(spark, sf):
-    return load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return store.without_file(load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
 @query
 def store_delete_newest(spark, sf):
-    return store.delete_newest(_stored(spark, sf), "src1.txt").groupBy("filename").agg(F.count("*").alias("total"))
+    return store.delete_newest(_stored(spark, sf), "src1.txt").select("id", "filename", "created_at")
 
 
 @query
 def store_update(spark, sf):
     docs = _stored(spark, sf).select("id", "filename", "created_at")
     changes = docs.filter("id % 10 = 0").select("id", F.when(F.col("id") % 20 == 0, F.lit("renamed.txt")).alias("filename"))
-    return store.update(docs, changes).groupBy("filename").agg(F.count("*").alias("total"))
+    return store.update(docs, changes).select("id", "filename", "created_at")
 
 
 @query
@@ -501,7 +501,8 @@ def registry_models(spark, sf):
 
 @query
 def registry_deploy(spark, sf):
-    return store.deploy(_versions(spark, sf), "click", "1").groupBy("model_name", "status").agg(F.count("*").alias("total"))
+    """One version that exists and one that does not."""
+    return store.deploy(store.deploy(_versions(spark, sf), "click", "1"), "view", "none").select("model_name", "version_id", "status")
 
 
 @query
@@ -518,7 +519,10 @@ def train_stats(spark, sf):
 @query
 def train_augment(spark, sf):
     s = samples(spark, sf)
-    return store.augment(store.examples(s.filter("status = 'pending'"), s.filter("status = 'approved'")), 3).groupBy("augmented", "source").agg(F.count("*").alias("total"))
+    """Every example as it is, and how many variations it has."""
+    rows = store.augment(store.examples(s.filter("status = 'pending'"), s.filter("status = 'approved'")), 3)
+    kept = F.count(F.when(~F.col("augmented"), F.col("text")))
+    return rows.groupBy("field_name", "source", "verified", "label").agg(kept.alias("originals"), F.count(F.when(F.col("augmented"), 1)).alias("variations"))
 
 
 # layout ----------------------------------------------------------------------------
