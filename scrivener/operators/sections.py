@@ -304,10 +304,16 @@ def stop_pattern(s: Section) -> tuple[str, str]:
 
 
 def is_header(line: Column, s: Section) -> Column:
-    low = F.lower(line)
+    return _is_header(F.lower(line), s)
+
+
+def _is_header(low: Column, s: Section) -> Column:
+    """The same of a line in lower case; the length, which settles most lines, is looked at first."""
     exact, prefix, inner = header_pattern(s)
-    test = low.rlike(exact) | ((F.length(line) < s.prefix) & low.rlike(prefix))
-    return test | ((F.length(line) < s.inner) & low.rlike(inner)) if s.inner else test
+    test = (F.length(low) < s.prefix) & low.rlike(prefix)
+    if max(map(len, s.headers)) >= s.prefix:
+        test = test | low.rlike(exact)
+    return test | ((F.length(low) < s.inner) & low.rlike(inner)) if s.inner else test
 
 
 def keeps(line: Column, s: Section) -> Column:
@@ -317,27 +323,29 @@ def keeps(line: Column, s: Section) -> Column:
     return test & F.lower(line).rlike(s.only) if s.only else test
 
 
-def capture(lines: Column, s: Section) -> Column:
-    """The kept lines between the first header and the first stop after it; further headers are skipped."""
+def capture(lines: Column, s: Section, lows: Column | None = None) -> Column:
+    """The kept lines between the first header and the first stop after it; further headers are skipped.
+
+    lows: the lines in lower case, if they are at hand. Of a document without the header nothing but headers is looked for.
+    """
     begins, contains = stop_pattern(s)
+    lows = F.transform(lines, lambda x: F.lower(x)) if lows is None else lows
+    last = F.lit(1 << 30)
+    first = lambda rows, test: F.get(F.filter(rows, test), F.lit(0))["i"]
 
     def flags(x: Column, i: Column) -> Column:
         low, head = F.lower(x), is_header(x, s)
         soft = (F.length(x) < s.contains) & low.rlike(contains) if s.contains else F.lit(False)
-        return F.struct(i.alias("i"), x.alias("x"), head.alias("head"), (~head & low.rlike(begins)).alias("stop"), (~head & soft).alias("soft"), (~head & keeps(x, s)).alias("keep"))
-
-    first = lambda rows, test: F.get(F.filter(rows, test), F.lit(0))["i"]
-    last = F.lit(1 << 30)
-
-    def between(rows: Column) -> Column:
-        def after(h: Column) -> Column:
-            begun = F.coalesce(first(rows, lambda r: (r["i"] > h) & r["keep"]), last) if s.contains and not s.loose else h
-            return let(begun, lambda b: let(F.coalesce(first(rows, lambda r: (r["i"] > h) & (r["stop"] | (r["soft"] & (r["i"] > b)))), last), lambda end: F.transform(
-                F.filter(rows, lambda r: (r["i"] > h) & (r["i"] < end) & r["keep"]), lambda r: r["x"])))
+        return F.struct(i.alias("i"), x.alias("x"), (~head & low.rlike(begins)).alias("stop"), (~head & soft).alias("soft"), (~head & keeps(x, s)).alias("keep"))
 
-        return let(first(rows, lambda r: r["head"]), lambda h: F.when(h.isNotNull(), after(h)).otherwise(F.array().cast("array<string>")))
+    def inside(rows: Column) -> Column:
+        begun = F.coalesce(first(rows, lambda r: r["keep"]), last) if s.contains and not s.loose else F.lit(-1)
+        stop = lambda b: F.coalesce(first(rows, lambda r: r["stop"] | (r["soft"] & (r["i"] > b))), last)
+        return let(let(begun, stop), lambda end: F.transform(F.filter(rows, lambda r: (r["i"] < end) & r["keep"]), lambda r: r["x"]))
 
-    kept = let(F.transform(lines, flags), between)
+    after = lambda h: F.when(h.isNotNull(), let(F.transform(F.slice(lines, F.coalesce(h, F.lit(0)) + 2, F.size(lines)), flags), inside))
+    head = F.get(F.filter(F.transform(lows, lambda low, i: F.when(_is_header(low, s), i)), lambda i: i.isNotNull()), F.lit(0))
+    kept = let(let(head, after), lambda a: F.coalesce(a, F.array().cast("array<string>")))
     if s.distinct == "cs":
         return F.array_distinct(kept)
     if s.distinct == "ci":
@@ -375,10 +383,10 @@ def extract_sections(docs: DataFrame, sections: Sequence[Section] = SECTIONS, id
     Null and empty texts have no sections. One scan, no shuffle.
     """
     lines = F.transform(lines_of(F.col(text_col)), lambda x: strip(x))
-    found = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"))
+    found = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"), F.transform(lines, lambda x: F.lower(x)).alias("_lows"))
 
     def text(s: Section) -> Column:
-        own = capture(F.col("_lines"), s)
+        own = capture(F.col("_lines"), s, F.col("_lows"))
         return F.array_join(let(own, lambda a: F.when(F.size(a) > 0, a).otherwise(by_keywords(F.col("_lines"), s))) if s.keywords else own, "\n")
 
     each = F.array(*[F.struct(F.lit(s.name).alias("section"), text(s).alias("text")) for s in sections])
