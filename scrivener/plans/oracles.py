@@ -316,6 +316,8 @@ _EXAMPLES = f"{SAM}, x as (select field_name, 'feedback' as source, false as ver
 _JOBS = """j as (select c_custkey as doc_id, 1 as entry_no, c_mktsegment || ' manager 2015 - 2019' as title, null::varchar as company, c_mktsegment || ' manager 2015 - 2019' as duration, '- managed the company team' as description from customer
   union all select c_custkey, 2, 'Software developer at Acme Ltd', 'Acme Ltd', null, null from customer
   union all select c_custkey, 3, null, null, 'Jan ' || (2019 + c_custkey % 4)::varchar || ' - Present', '- developed web applications' from customer)"""
+_STUDIES = """s as (select c_custkey as doc_id, 1::bigint as entry_no, 'B.Tech' as degree, '' as field, 'State University' as school, '' as gpa, (2000 + c_custkey % 20)::varchar as year from customer
+  union all select c_custkey, 2, 'Diploma', '', 'City College', '', '' from customer)"""
 _YEAR = r"(?:19|20)\d{2}"
 
 
@@ -428,6 +430,10 @@ select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select
   case when entry_no = 3 then 'January' else '' end as "startMonth", case entry_no when 1 then '2015' when 3 then duration[5:8] else '' end as "startYear", '' as "endMonth", case when entry_no = 1 then '2019' else '' end as "endYear",
   entry_no = 3 as current from j""",
         "res_jobs_distinct": f"""with {_JOBS} select doc_id, entry_no::bigint - 1 as pos, coalesce(title, '') as title, coalesce(company, '') as employer, [0.7::double, 0.6::double, 0.4::double][entry_no] as quality from j""",
+        "res_degree_blocks": f"with {_STUDIES} select * from s",
+        "res_studies_merged": f"with {_STUDIES} select * from s",
+        # sql is a part of mysql, labels go, and strengths are a heading of skills
+        "res_builder_skills": "select c_custkey as doc_id, 'Python,Leadership,Docker And React,MySQL,Redis' || case when c_custkey % 6 = 0 then ',Analytical And Organized,Confident' else '' end as skills from customer",
         "res_years_experience": "select c_custkey as doc_id, 2024 - 2015 as years from customer",
         "res_names": f"""with n as (select c_custkey as doc_id, ['Mara', 'Otto', 'Ines', 'Yann'][c_custkey % 4 + 1] as a, ['Quill', 'Fern', 'Brook'][c_custkey % 3 + 1] as b from customer where c_custkey % 5 <> 4)
 select doc_id, a || ' ' || b as name, round(least(case when doc_id % 5 = 1 then 0.85::double else 0.9::double end + ((a = 'Mara')::int + (b = 'Brook')::int) / 2.0::double * 0.35::double, 1.0::double), 2) as confidence,
