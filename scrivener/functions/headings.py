@@ -132,7 +132,9 @@ def is_continuation(previous: Column, line: Column) -> Column:
     """The line goes on with the one before; only the end of that one matters."""
     joins = previous.endswith("-") | line.rlike(r"^\p{Ll}") | line.rlike("^(?:and|or|with|to|for|in) ")
     capitals = line.rlike(r"^[A-Z][A-Z ]+$") & (F.length(line) < 36)
-    return (previous != "") & (line != "") & ~looks_like_heading(line) & ~line.startswith("- ") & ~line.rlike(r"^(19|20)\d{2}") & ~capitals & ~previous.endswith(":") & joins
+    # cheap tests first: few lines are left to be looked up as headings
+    possible = (previous != "") & (line != "") & joins & ~line.startswith("- ") & ~line.rlike(r"^(19|20)\d{2}") & ~capitals & ~previous.endswith(":")
+    return possible & ~looks_like_heading(line)
 
 
 def headings_confidence(sections: Column, titles: Column, total: Column, length: Column) -> Column:

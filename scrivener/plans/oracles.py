@@ -319,6 +319,8 @@ _JOBS = """j as (select c_custkey as doc_id, 1 as entry_no, c_mktsegment || ' ma
 _STUDIES = """s as (select c_custkey as doc_id, 1::bigint as entry_no, 'B.Tech' as degree, '' as field, 'State University' as school, '' as gpa, (2000 + c_custkey % 20)::varchar as year from customer
   union all select c_custkey, 2, 'Diploma', '', 'City College', '', '' from customer)"""
 _YEAR = r"(?:19|20)\d{2}"
+_EMAIL = "lower(replace(c_name, '#', '.')) || '@example.com'"
+_SUMMARY_LINE = "'Experienced analyst in ' || n_name || ' with many years of expertise in reporting'"
 
 
 _LEVELS = "|".join(w for _, w in LEVEL_WORDS)
@@ -441,6 +443,22 @@ select doc_id, a || ' ' || b as name, round(least(case when doc_id % 5 = 1 then
         "res_full_text": f"""with {_REBUILT}, {_ISLANDS}, fb as (select doc_id, section, min(idx) as first, case when section is null then '' else upper(section) || chr(10) end || string_agg(line, chr(10) order by idx) as block from ri where head is null and line <> '' group by doc_id, section),
 fr as (select *, case when section is null then 0 else coalesce(nullif(list_position({FULL_ORDER!r}, section), 0), 99) end as rank from fb)
 select doc_id, string_agg(block, chr(10) || chr(10) order by rank, first) as text, 0.95::double as confidence from fr group by doc_id""",
+        "res_accuracy": f"""with a as ({" union all ".join(f"select confidence, doc_id from ({x})" for x in (*map(section_sql, SECTIONS), _skills(), _SUMMARY, _contacts()))})
+select doc_id, coalesce(round(round(avg(confidence) filter (confidence > 0) * 100, 6), 2), 0.0::double) as accuracy from a group by doc_id""",
+        # records as told from the columns that the texts are made of: the first line is no name, prizes are awards and achievements, and volunteer work ends at none of the headings behind it
+        "res_schema_v1": f"""select c_custkey as doc_id, null::varchar as name, {_EMAIL} as email, {_SUMMARY_LINE} as summary, 3 as jobs, 3 as studies,
+  5 + (c_custkey % 2 = 0)::int + 2 * (c_custkey % 3 = 0)::int + (c_custkey % 5 = 0)::int + (c_custkey % 4 = 0)::int as customs, true as is_valid from customer join nation on c_nationkey = n_nationkey""",
+        "res_builder": f"""select c_custkey as doc_id, '' as "firstName", {_EMAIL} as email, 6 + 2 * (c_custkey % 6 = 0)::int as skills, 3 as languages, 0 as errors, true as is_valid from customer""",
+        "res_section_text": f"""with c as (select c_custkey as doc_id, * from customer join nation on c_nationkey = n_nationkey)
+select doc_id, unnest(['personal', 'summary', 'skills', 'experience', 'education', 'projects', 'volunteer']) as section, unnest([
+  concat_ws(chr(10), {_EMAIL}, '555) ' || (100 + doc_id % 900)::varchar || '-' || (1000 + doc_id % 9000)::varchar, 'https://github.com/user' || (doc_id % 50)::varchar, 'www.example.org/cv'),
+  {_SUMMARY_LINE},
+  'python, sql, leadership, docker and react, Databases: mysql, redis' || case when doc_id % 6 = 0 then ', analytical and organized, confident' else '' end,
+  concat_ws(chr(10), c_mktsegment || ' manager 2015 - 2019', '- managed the company team', '', 'Software developer at Acme Ltd', '', 'Jan ' || (2019 + doc_id % 4)::varchar || ' - Present', '- developed web applications'),
+  concat_ws(chr(10), 'B.Tech, State University ' || (2000 + doc_id % 20)::varchar, 'GPA 8.' || (doc_id % 10)::varchar, '', 'Diploma, City College', '', '1999 - 2002'),
+  array_to_string([x || chr(10) || x for x in ['Inventory Portal', 'built an api with python and react, see github.com/user' || (doc_id % 50)::varchar, 'Sales Board', 'designed a reporting application on aws']], chr(10) || chr(10)),
+  array_to_string([x || chr(10) || x for x in case when doc_id % 7 = 0 then ['Community trust organization'] || case when doc_id % 4 = 0 then ['Trainings attended', 'Completed a workshop on leadership'] else [] end
+    || case when doc_id % 6 = 0 then ['Strengths', 'analytical and organized', 'confident'] else [] end else [] end], chr(10) || chr(10))]) as text from c""",
         "res_by_kind": _by_kind(("skills", "education", "experience", "projects", "certifications", "awards", "languages", "summary")),
         "res_choose_best": f"""with {SAM}, c as (select *, (sample_id % 7) / 7.0::double as x, original_value <> '' and confidence_before >= 0.2 as good from samples)
 select sample_id, case when good and (corrected_value = '' or confidence_before >= x - 0.15::double) then original_value else corrected_value end as text,
