@@ -103,14 +103,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there and survives lost executors.
 
     ``keep``: the table outlives the innermost ``scratch``; it then belongs to the one around it, if any.
+    ``partition_by``: the last column, whose values become folders.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     scopes = _scopes.get()[:-1] if keep else _scopes.get()
     if scopes:
         scopes[-1].append(path)
