@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .common import read
 from .langid import fit, identify, training
 from .mixing import mix
@@ -79,11 +80,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, least_words=20, longest=1)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_language_id, op2_token_counts, op3_mixing, op4_near_duplicates, op5_pii, op6_url_filters, op7_top_k, op8_packing, op9_quality_rules, op10_sharding, op11_prefix_trie, op12_importance_resampling,
+            op1_language_id, op2_token_counts, op3_mixing, op4_near_duplicates, op5_pii, op6_url_filters, op7_top_k, op8_packing, op9_quality_rules, op10_sharding, op11_prefix_trie, op12_importance_resampling, op13_bpe,
         )
     }
 

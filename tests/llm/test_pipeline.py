@@ -71,7 +71,7 @@ def test_queries_return_the_columns_of_their_contracts(spark, sf):
         "op1_language_id": "doc_id held_out lang_pred score", "op2_token_counts": "doc_id n_bytes n_tokens over_limit", "op3_mixing": "doc_id size source_size target taken",
         "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6_url_filters": "page_id host path rule verdict", "op7_top_k": "query_id rank vec_id score",
         "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-        "op4_near_duplicates": "doc_id class_id", "op10_sharding": "doc_id shard_id", "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_importance_resampling": "doc_id n_features weight score rank",
+        "op4_near_duplicates": "doc_id class_id", "op10_sharding": "doc_id shard_id", "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12_importance_resampling": "doc_id n_features weight score rank", "op13_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     }
     assert set(q) == set(columns)
     for name, wanted in columns.items():
