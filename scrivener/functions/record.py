@@ -11,28 +11,9 @@ import re
 from collections.abc import Iterable
 
 from .dates import MONTHS
+from .words import COMPANY_SUFFIXES, DUTIES, JOB_HEADINGS, KNOWN_CERTIFICATES, NO_TITLES, PLACES, STOP_HEADINGS, TITLE_HINTS
 
-#: Words of titles, companies, duties, headings, degrees, schools, languages, places and names.
-TITLE_HINTS = (
-    "engineer", "developer", "manager", "analyst", "architect", "executive", "consultant", "specialist", "accountant", "administrator", "lead", "officer", "representative", "assistant",
-    "payroll", "cashier", "cloud", "sales", "technician", "supervisor", "coordinator", "director", "intern", "associate", "operator", "trainer",
-)
-COMPANY_SUFFIXES = (
-    "pvt", "ltd", "llc", "inc", "corp", "corporation", "technologies", "technology", "solutions", "services", "consulting", "group", "systems", "labs", "international", "co",
-)
-DUTIES = (
-    "achieve", "achieving", "assisted", "building", "calculated", "collaborated", "conducted", "coordinated", "coordinating", "created", "delivered", "designed", "developed", "drafted",
-    "ensure", "ensuring", "executed", "facilitated", "generated", "handled", "identifying", "implemented", "imported", "improved", "led", "liaised", "maintained", "managed", "mentored",
-    "monitor", "monitored", "negotiated", "negotiating", "owned", "participated", "performed", "prepared", "processed", "promoted", "provided", "reconciled", "resolved", "responsible",
-    "reviewed", "supported", "trained", "verifying", "worked",
-)
-JOB_HEADINGS = ("experience", "work experience", "professional experience", "employment history", "employment", "career history")
-STOP_HEADINGS = (*JOB_HEADINGS, "education", "skills", "projects", "certifications", "achievements", "languages", "interests", "summary", "professional summary")
-NO_TITLES = (
-    "professional experience", "proffessional experience", "work experience", "employment history", "employment", "career history", "responsibilities", "profile", "summary",
-    "professional summary", "key responsibilities", "key achievements", "achievements", "objective", "career objective", "projects", "certifications", "skills", "education", "languages",
-    "interests", "hobbies", "references", "additional information",
-)
+#: Words of objectives, languages, names, skills and degrees.
 OBJECTIVES = (
     "to work in", "to be in", "to contribute", "to utilize", "to apply", "to grow", "to seek", "i can", "i want", "i am looking", "looking for", "aspiring to", "seeking a position",
     "seeking an opportunity", "responsible position", "professional growth", "driven environment", "contribute my", "apply my knowledge", "organization's growth", "organisation's growth",
@@ -46,7 +27,6 @@ LEVELS = {
     "beginner": "Beginner", "elementary": "Beginner", "intermediate": "Intermediate", "conversational": "Intermediate", "advanced": "Advanced", "professional": "Advanced", "fluent": "Fluent",
     "native": "Native", "bilingual": "Native",
 }
-PLACES = ("hyderabad", "guntur", "vijayawada", "delhi", "telangana", "india", "mumbai", "pune", "bangalore", "bengaluru", "chennai", "kolkata")
 NO_NAMES = (
     "language", "languages", "python", "javascript", "java", "php", "sql", "html", "css", "react", "node", "skills", "tools", "platforms", "databases", "frameworks", "mpc", "nri", "ssc", "hsc",
     "college", "school", "institute", "university", "core", "competencies", "payroll", "implementation", "compliance", "uk", "audit", "financial", "reporting", "taxation", "risk",
@@ -54,7 +34,6 @@ NO_NAMES = (
 )
 SKILL_NOISE = ("additional information", "languages", "interests", "profile", "summary", "skills")
 GENERIC_SKILLS = ("team player", "hard working", "self motivated", "good communication")
-KNOWN_CERTIFICATES = ("adp ihcm", "gst", "ms-cit", "siebel", "siebel (records management)", "tally & taxation")
 #: Degrees from the highest, and issuers that a line of certificates may name.
 DEGREES = (
     (6, r"ph\.?\s?d|doctorate"), (5, r"master'?s?(?: of [a-z]+)?|m\.?\s?tech|m\.?\s?sc|mba|m\.?\s?com|m\.e"), (4, r"bachelor'?s?(?: of [a-z]+)?|b\.?\s?tech|b\.?\s?e|b\.?\s?sc|b\.?\s?com|bba"),
