@@ -14,6 +14,7 @@ from ..operators.lines import DEGREES, FULL_ORDER, PATTERNS, ROLES, SCHOOLS
 from ..operators.schema import LEVEL_WORDS
 from ..operators.sections import CONTACTS, FOREIGN, KIND_PATTERNS, KINDS, NOT_SKILLS, SECTIONS, SEPARATOR, SINGLE_SKILLS, SKILL_NOISE, SKILLS, SUMMARY_HEADERS, SUMMARY_PATTERNS, YEARS_ONLY, Section, _one_of, header_pattern, kind_headings, stop_pattern
 from ..sources.tables import RESUME_TEXT_SQL, SAMPLES_SQL
+from . import repairs
 from .documents import CONTACT_SCORES
 
 RES = f"resume_text as ({RESUME_TEXT_SQL})"
@@ -507,4 +508,4 @@ select doc_id, md5(case when take then text else f end) as digest, round(case wh
         "flagship": f"""with {_SAFE}, g as (select field_name, count(*) as samples, round(avg(confidence_before), 4) as confidence from samples group by 1), b as (select field_name, count(*) as accepted from safe group by 1)
 select g.field_name, samples, confidence, accepted, row_number() over (order by accepted desc, g.field_name)::int as rank from g left join b on g.field_name = b.field_name""",
     }
-    return {k: v for k, v in out.items() if v}
+    return {k: v for k, v in out.items() if v} | repairs.oracles(_SAFE, _QUALITY)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, entities, scores, text
 from ..operators import ats, builder, entries, feedback, layout, lines, mapper, names, schema, sections, similarity, store
 from ..sources.tables import load, resume_text, samples
-from . import documents
+from . import documents, repairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -581,6 +581,6 @@ query(flagship)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | repairs.QUERIES
 
 

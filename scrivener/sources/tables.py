@@ -45,6 +45,56 @@ select event_id as sample_id, user_id as resume_id, event_type as field_name,
 from events
 """
 
+_NUMBERED = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
+
+#: Entries of jobs: one for each line item, some of them fragments of the one in front, one or several or leading.
+JOB_ENTRIES_SQL = f"""
+select l_orderkey as doc_id, cast({_NUMBERED} as bigint) as entry_no,
+  case l_partkey % 7 when 0 then '' when 1 then 'Education' when 2 then 'Managed the night shift' when 3 then 'one two three four five six seven' else 'Planner '||cast(l_suppkey as string) end as title,
+  case when l_suppkey % 3 = 0 then 'Brook Group' else '' end as employer, case when l_quantity > 40 then '2019' else '' end as startYear, case when l_quantity > 45 then '2020' else '' end as endYear,
+  l_quantity = 7 as current, case when l_partkey % 5 = 0 then '' else 'part '||cast(l_partkey as string) end as description, case when l_partkey % 2 = 0 then 'first' else '' end as originalDescription
+from lineitem
+"""
+
+#: Rows of studies that complete one another, or contradict one another: one for each line item.
+STUDY_ROWS_SQL = f"""
+select l_orderkey as doc_id, cast({_NUMBERED} as bigint) as entry_no, case l_partkey % 4 when 0 then '' when 1 then 'Diploma' when 2 then 'diploma' else 'Master of Law' end as degree,
+  case when l_partkey % 3 = 0 then 'Law' else '' end as field, case l_suppkey % 4 when 0 then 'North College' when 1 then 'South School' else '' end as school, case when l_quantity > 30 then cast(cast(l_quantity as int) as string) else '' end as gpa,
+  '' as gradMonth, case when l_suppkey % 5 = 0 then cast(1990 + l_suppkey % 30 as string) else '' end as gradYear, '' as location
+from lineitem
+"""
+
+#: Raw sections of jobs in four layouts: one for each customer.
+RAW_JOBS_SQL = """
+select c_custkey as doc_id, case c_custkey % 4
+  when 0 then 'WORK EXPERIENCE'||chr(10)||'Sales Manager at Brook '||cast(c_custkey % 9 as string)||chr(10)||'Jan '||cast(2001 + c_custkey % 20 as string)||' - Present'||chr(10)||'- opened shop '||cast(c_custkey as string)
+    ||chr(10)||'Prepared monthly accounts'||chr(10)||'EDUCATION'||chr(10)||'Cloud Engineer at Nowhere'||chr(10)||'2001'
+  when 1 then '- stray bullet'||chr(10)||'Planning Analyst'||chr(10)||'Fern Works'||chr(10)||'Pune - 2010 - '||cast(2011 + c_custkey % 9 as string)||chr(10)||'Reviewed file '||cast(c_custkey as string)
+    ||chr(10)||'2005 - 2007'||chr(10)||'Supported the desk'
+  when 2 then 'Experience'||chr(10)||'Audit Officer @ Norwood'||chr(10)||'Mar 2015 - Apr 2016'||chr(10)||'Trainer at Quill'||chr(10)||'2012 - 2014'||chr(10)||'Key Responsibilities'||chr(10)||'- taught '||cast(c_custkey as string)||' people'
+  else 'some plain words'||chr(10)||'and more of them '||cast(c_custkey as string) end as text
+from customer
+"""
+
+#: Running text that names certificates, up to three in a text: one for each customer.
+CERTIFICATE_TEXT_SQL = """
+select c_custkey as doc_id, case when c_custkey % 5 = 0 then '' else 'Cloud Basics Certification '||case when c_custkey % 2 = 0 then 'Norwood ' else '' end||'Mar '||cast(2001 + c_custkey % 20 as string)||', ' end
+  ||case when c_custkey % 3 = 0 then '' else 'Tax Law Certificate Fern Online '||cast(1990 + c_custkey % 30 as string)||' ' end||case when c_custkey % 7 = 0 then 'Deep Full Stack Web Development' else '' end
+  ||case when c_custkey % 11 = 0 then ' a@b.co Late Certificate' else '' end as text
+from customer
+"""
+
+#: Builder payloads as text, most of them broken in one or more places: one for each order.
+PAYLOAD_SQL = """
+select o_orderkey as doc_id, case when o_orderkey % 29 = 0 then '{broken' else
+  '{"personal":{"firstName":"a","lastName":"b","profession":"","onet_code":"","city":'||case when o_orderkey % 3 = 0 then '7' else '"x"' end||',"country":"","pincode":"","phone":"","email":"","linkedin":"","websites":['
+  ||case when o_orderkey % 5 = 0 then '"u",1' else '' end||']},"summary":"","skills":'||case when o_orderkey % 7 = 0 then '"sql"' else '["sql"]' end||',"education":[{"school":"","location":"","field":"","degree":"","gradMonth":"'
+  ||case when o_orderkey % 2 = 0 then 'May' else 'may' end||'","gradYear":"2001","gpa":""}],"experience":[],"projects":[],"certifications":[{"name":"","issuingOrg":"","achievedDate":"'
+  ||case when o_orderkey % 11 = 0 then '05/2001' else 'May 2001' end||'","url":""}],"languages":[{"name":"x","level":"'||case when o_orderkey % 13 = 0 then 'Great' else 'Fluent' end||'"}],"template":"t","_meta":{"local_resume_id":'
+  ||case when o_orderkey % 17 = 0 then '"1"' else cast(o_orderkey as string) end||'},"file_type":"pdf"'||case when o_orderkey % 19 = 0 then ',"more":1' else '' end||'}' end as payload
+from orders
+"""
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -52,6 +102,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _over(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The SQL over the named tables, bound by name, so no view is left in the session."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = sql.replace(f" {t} ", f" {{{t}}} ").replace(f" {t}\n", f" {{{t}}}\n")
     return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in tables})
@@ -65,6 +116,26 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, SAMPLES_SQL, "events")
 
 
+def job_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, JOB_ENTRIES_SQL, "lineitem")
+
+
+def study_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, STUDY_ROWS_SQL, "lineitem")
+
+
+def raw_job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, RAW_JOBS_SQL, "customer")
+
+
+def certificate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, CERTIFICATE_TEXT_SQL, "customer")
+
+
+def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, PAYLOAD_SQL, "orders")
+
+
 _S, _L, _D, _B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
 
