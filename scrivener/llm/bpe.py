@@ -272,9 +272,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, id_col: st
         refs = parts.filter("digest is not null").groupBy("text_key", "pos").agg(F.first("digest").alias("digest")).join(encoded, "digest").select("text_key", "pos", "text", "ids")
         between = parts.filter("digest is null and text is not null").groupBy("text_key", "pos").agg(F.first("text").alias("text"))
         runs = refs.unionByName(between.withColumn("ids", F.lit(None).cast("binary")))
-        whole = runs.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "ids"))).alias("runs"))
-        results = "text_key string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-        joined = whole.mapInArrow(lambda given: _joined(given, path), results)
+        # the runs of a text follow one another, so a task holds the runs of one text and not a batch of whole texts
+        dealt = runs.repartition("text_key").sortWithinPartitions("text_key", "pos")
+        joined = dealt.mapInArrow(lambda given: _joined(given, path), "text_key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
         single = parts.filter("n_tokens is not null").groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
         found = materialize(joined.unionByName(single), "bpe-results", keep=True)
     return docs.select(F.col(id_col).alias("doc_id"), key).join(found, "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -288,10 +288,19 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    c = codec(path)
+    """Results of texts whose runs come one after another; a text may go on in the next batch."""
+    c, now, pieces = codec(path), None, []
+    names, types = ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.string(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         rows = []
-        for key, runs in zip(b.column("text_key").to_pylist(), b.column("runs"), strict=True):
-            pieces = [Piece(r["text"], c.encode(r["text"]) if r["ids"] is None else r["ids"]) for r in runs.as_py()]
-            rows.append((key, *_results(assemble(pieces, c.encode), c)))
-        yield _arrow(rows, ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.string(), pa.int64(), pa.string(), pa.string()])
+        for key, text, ids in zip(b.column("text_key").to_pylist(), b.column("text"), b.column("ids"), strict=True):
+            if key != now:
+                if pieces:
+                    rows.append((now, *_results(assemble(pieces, c.encode), c)))
+                now, pieces = key, []
+            text, ids = text.as_py(), ids.as_py()
+            pieces.append(Piece(text, c.encode(text) if ids is None else ids))
+        if rows:
+            yield _arrow(rows, names, types)
+    if pieces:
+        yield _arrow([(now, *_results(assemble(pieces, c.encode), c))], names, types)
