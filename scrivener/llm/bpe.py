@@ -74,6 +74,13 @@ class Codec:
             self.known[w] = ids[4 * begin : 4 * end]
             begin = end
 
+    def packed(self, ids: bytes) -> bytes:
+        """In two bytes each, where the vocabulary allows it, to be moved."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if len(self.names) <= 1 << 16 else ids
+
+    def unpacked(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(self.names) <= 1 << 16 else ids
+
     def decode(self, ids: bytes) -> str:
         """Without a decoder the library joins the tokens by blanks."""
         if self.library.decoder is None:
@@ -208,7 +215,7 @@ def _is_set(shared: bytes, bit: int) -> bool:
     return shared[bit >> 3] >> (bit & 7) & 1 == 1
 
 
-_PARTS = "text_key string, pos int, digest binary, text string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_PARTS = "text_key binary, pos int, digest binary, text string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _parts(texts: DataFrame, path: str, shared: bytes) -> DataFrame:
@@ -217,7 +224,7 @@ def _parts(texts: DataFrame, path: str, shared: bytes) -> DataFrame:
     A task tells the text of a shared chunk at its first occurrence.
     """
     given = texts.sparkSession.sparkContext.broadcast(shared)
-    types = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string()]
     names = [f.split()[0] for f in _PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,20 +268,21 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, id_col: st
     holds is one text with its ids.
     """
     path = tokenizer_path or default_path("word_bpe_49k.json")
-    key = F.substring(F.sha2(text_of(text_col), 256), 1, 32).alias("text_key")
+    key = F.unhex(F.substring(F.sha2(text_of(text_col), 256), 1, 32)).alias("text_key")
     bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         texts = docs.select(key, text_of(text_col).alias("text"))
         parts = materialize(_parts(texts, path, _shared_map(texts)), "bpe-parts")
         encoded = parts.filter("digest is not null and text is not null").groupBy("digest").agg(F.first("text").alias("text"))
         encoded = materialize(encoded.mapInArrow(lambda given: _encoded(given, path), "digest binary, text string, ids binary"), "bpe-chunks")
-        # copies of a text have the same runs: one of each is left before chunks are joined to them
+        # copies of a text have the same chunks, all of them shared: one of each is left before ids are joined to them, and
+        # what stands between shared chunks belongs to one text alone
         refs = parts.filter("digest is not null").groupBy("text_key", "pos").agg(F.first("digest").alias("digest")).join(encoded, "digest").select("text_key", "pos", "text", "ids")
-        between = parts.filter("digest is null and text is not null").groupBy("text_key", "pos").agg(F.first("text").alias("text"))
-        runs = refs.unionByName(between.withColumn("ids", F.lit(None).cast("binary")))
+        between = parts.filter("digest is null and text is not null")
+        runs = refs.unionByName(between.select("text_key", "pos", "text", F.lit(None).cast("binary").alias("ids")))
         # the runs of a text follow one another, so a task holds the runs of one text and not a batch of whole texts
         dealt = runs.repartition("text_key").sortWithinPartitions("text_key", "pos")
-        joined = dealt.mapInArrow(lambda given: _joined(given, path), "text_key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        joined = dealt.mapInArrow(lambda given: _joined(given, path), "text_key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
         single = parts.filter("n_tokens is not null").groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
         found = materialize(joined.unionByName(single), "bpe-results", keep=True)
     return docs.select(F.col(id_col).alias("doc_id"), key).join(found, "text_key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -283,14 +291,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, id_col: st
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for b in batches:
-        ids = pa.array([c.encode(t) for t in b.column("text").to_pylist()], pa.binary())
+        ids = pa.array([c.packed(c.encode(t)) for t in b.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("text"), ids], names=["digest", "text", "ids"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Results of texts whose runs come one after another; a text may go on in the next batch."""
     c, now, pieces = codec(path), None, []
-    names, types = ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.string(), pa.int64(), pa.string(), pa.string()]
+    names, types = ["text_key", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.binary(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         rows = []
         for key, text, ids in zip(b.column("text_key").to_pylist(), b.column("text"), b.column("ids"), strict=True):
@@ -299,7 +307,7 @@ def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                     rows.append((now, *_results(assemble(pieces, c.encode), c)))
                 now, pieces = key, []
             text, ids = text.as_py(), ids.as_py()
-            pieces.append(Piece(text, c.encode(text) if ids is None else ids))
+            pieces.append(Piece(text, c.encode(text) if ids is None else c.unpacked(ids)))
         if rows:
             yield _arrow(rows, names, types)
     if pieces:
