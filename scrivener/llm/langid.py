@@ -31,35 +31,47 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, texts, bucket of each n-gram, where each text's begin, letters of each text) for runs of texts.
+def _buckets(chars: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the n-gram that begins at each character, by order; whether each character is a letter."""
+    a = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter()[a]
+    a = np.where(letter, a, np.uint32(32))
+    h, seen, grams = a * np.uint32(0x9E3779B1), letter.copy(), []
+    for order in range(ORDERS):
+        if order:
+            h = h[:-1] * np.uint32(0x85EBCA6B) + a[order:] * np.uint32(0xC2B2AE35)
+            seen = seen[:-1] | letter[order:]
+        mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        bucket = (mixed >> np.uint32(32 - 13)).astype(np.int32)
+        # n-grams without a letter say nothing; they and the ends fall into a bucket of their own
+        grams.append(np.pad(np.where(seen, bucket, BUCKETS), (0, order), constant_values=BUCKETS))
+    return np.stack(grams), letter
+
+
+def _grams(texts: list[str], chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(first text, texts, bucket of each n-gram, where each text's begin, letters of each text, whether the text goes on).
 
     Letters are lower-cased, anything else reads as a blank. Blanks go in front of each text, inside its own stretch, and
-    after the last one: no n-gram has letters of two texts, and a text has the same n-grams alone as among others.
+    after the last one: no n-gram has letters of two texts, and a text has the same n-grams alone as among others. A text of
+    more than ``chunk`` characters comes in stretches of so many, and each of its n-grams in one of them.
     """
     first = 0
     while first < len(texts):
         last, chars = first, 0
-        while last < len(texts) and (last == first or chars + len(texts[last]) < CHUNK):
+        while last < len(texts) and (last == first or chars + len(texts[last]) < chunk):
             chars += len(texts[last])
             last += 1
         own = [t.lower() for t in texts[first:last]]
-        sizes = np.array([len(t) for t in own]) + ORDERS
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        a = np.frombuffer("".join("\0" * ORDERS + t for t in [*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _is_letter()[a]
-        a = np.where(letter, a, np.uint32(32))
-        count = np.add.reduceat(letter, starts, dtype=np.int64)
-        h, seen, grams = a * np.uint32(0x9E3779B1), letter.copy(), []
-        for order in range(ORDERS):
-            if order:
-                h = h[:-1] * np.uint32(0x85EBCA6B) + a[order:] * np.uint32(0xC2B2AE35)
-                seen = seen[:-1] | letter[order:]
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            bucket = (mixed >> np.uint32(32 - 13)).astype(np.int32)
-            # n-grams without a letter say nothing; they and the ends fall into a bucket of their own
-            grams.append(np.pad(np.where(seen, bucket, BUCKETS), (0, order), constant_values=BUCKETS))
-        yield first, last - first, np.stack(grams), starts, count
+        if len(own) == 1 and len(own[0]) > chunk:
+            whole, n = "\0" * ORDERS + own[0] + "\0" * ORDERS, len(own[0]) + ORDERS
+            for p in range(0, n, chunk):
+                q = min(n, p + chunk)
+                grams, letter = _buckets(whole[p : q + ORDERS])
+                yield first, 1, grams[:, : q - p], np.zeros(1, np.int64), letter[: q - p].sum(keepdims=True), q < n
+        else:
+            starts = np.concatenate([[0], np.cumsum([len(t) + ORDERS for t in own])[:-1]]).astype(np.int64)
+            grams, letter = _buckets("".join("\0" * ORDERS + t for t in [*own, ""]))
+            yield first, last - first, grams, starts, np.add.reduceat(letter, starts, dtype=np.int64), False
         first = last
 
 
@@ -92,8 +104,17 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, score, unclear = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for first, n, grams, starts, letters in _grams(texts):
-            if self.code.shape[1]:
+        bits, counts, held = self.code.shape[1], None, 0
+        # what is gathered at once is weights of bits x characters, so more bits mean fewer characters
+        for first, n, grams, starts, letters, more in _grams(texts, min(CHUNK, (1 << 23) // max(bits, 1))):
+            if more or counts is not None:  # a stretch of a long text: its n-grams are counted, whatever its length
+                seen = np.bincount(grams.ravel(), minlength=BUCKETS + 1)
+                counts, held = (seen, int(letters[0])) if counts is None else (counts + seen, held + int(letters[0]))
+                if more:
+                    continue
+                margin, letters = (counts @ self.weights / max(1, counts[:BUCKETS].sum()))[None], np.array([held])
+                counts, held = None, 0
+            elif bits:
                 total = sum(np.add.reduceat(self.weights[g], starts, axis=0, dtype=np.float64) for g in grams)
                 margin = total / np.maximum(1, sum(np.add.reduceat(g < BUCKETS, starts, dtype=np.int64) for g in grams))[:, None]
             else:
@@ -117,7 +138,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
                 own = total.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                for _, _, grams, _, _ in _grams(texts.tolist()):
+                for _, _, grams, *_ in _grams(texts.tolist()):
                     for g in grams:
                         own += np.bincount(g, minlength=BUCKETS + 1)
         for lang, own in total.items():

@@ -13,6 +13,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -115,13 +116,31 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def widened(text: str, begin: int, end: int) -> tuple[int, int]:
+    """The window with MOST_TOKENS whole tokens more on either side, as far as the text has them: no entity is cut at its edge."""
+    back = 64
+    while True:
+        starts = [m.start() for m in _TOKEN.finditer(text, max(0, begin - back), begin)]
+        if len(starts) > MOST_TOKENS:  # the first of them may be cut, so it isn't counted
+            low = starts[-MOST_TOKENS]
+            break
+        if back >= begin:
+            low = 0
+            break
+        back *= 4
+    high = end
+    for m in islice(_TOKEN.finditer(text, end), MOST_TOKENS):
+        high = m.end()
+    return low, high
+
+
 def candidates(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
-    """Token boundaries of the window widened by 64 characters, and its candidate segments (first token, end token, kind, features).
+    """Token boundaries of the widened window, and its candidate segments (first token, end token, kind, features).
 
     Only spans that can be entities are candidates: addresses around an @ or its spelling; numbers of 7 to 15 digits after
     +, ( or a word such as phone; 13 to 19 digits in groups of three or more; four dotted numbers.
     """
-    low, high = max(0, begin - 64), min(len(text), end + 64)
+    low, high = widened(text, begin, end)
     tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
     edges = [t[0] for t in tokens] + [tokens[-1][1]] if tokens else [low]
     at_begin, at_end = {b: i for i, b in enumerate(edges[:-1])}, {e: i + 1 for i, (_, e) in enumerate(tokens)}

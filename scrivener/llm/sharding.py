@@ -32,20 +32,21 @@ def _split(cells: DataFrame, depth: int, deep: int, limit: int) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, carry: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, shard_id (the bucket's bits), depth, shard_bytes, shard_docs, oversize.
 
     No shard is over ``limit_bytes`` unless it is one document that alone is over (oversize), and every shard's parent is
     over it. Null text has 0 bytes. The first 32 bits are those of the md5 of seed and id (null: as the word null); further
     bits hash the row's number, so repeated or null ids, however many, can be split too. An empty table gives an empty
-    result; with one bucket the shard_id is the empty string.
+    result; with one bucket the shard_id is the empty string. ``carry``: the whole input row comes along, as struct ``row``.
     """
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     high, low = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     h = F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(low, 32))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), h.alias("h")), "shard-rows")
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), h.alias("h"), *own), "shard-rows")
     done, left, depth = None, rows, 0
     while True:
         deep = min(depth + STEP, 63)
@@ -59,7 +60,7 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
         sums = leaf.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         entry = leaf.join(sums, ["depth", "prefix"]).select("cell", "depth", F.expr("case when depth = 0 then '' else lpad(bin(prefix), depth, '0') end").alias("shard_id"), "shard_bytes", "shard_docs")
         here = left.join(entry, "cell").select(
-            "doc_id", "n_bytes", "shard_id", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit_bytes).alias("oversize")
+            "doc_id", "n_bytes", "shard_id", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit_bytes).alias("oversize"), *(["row"] if carry else [])
         )
         done = here if done is None else done.unionByName(here)
         full = tree.filter("depth is null").select("cell")
@@ -68,7 +69,14 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
         left, depth = left.join(full, "cell", "left_semi").drop("cell"), deep
 
 
-def write_shards(docs: DataFrame, assignment: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write one folder for each shard; ids must be unique. Rows go to tasks by (shard, slice), so no task gets more than its shard."""
-    marked = docs.join(assignment.select(F.col("doc_id").alias(id_col), "shard_id"), id_col)
-    marked.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def write_shards(docs: DataFrame, limit_bytes: int, path: str, **options) -> None:
+    """Write the documents, each row as it is, in one folder for each shard: ``shard=b`` and the bucket's bits.
+
+    Rows carry their documents through the sharding, so null and repeated ids stay what they are. A shard is written by one
+    task, which therefore holds no more than the limit or one document. ``docs`` may have no column ``shard``.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("documents have a column named shard already")
+    found = shard(docs, limit_bytes, carry=True, **options)
+    named = found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.concat(F.lit("b"), "shard_id").alias("shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)

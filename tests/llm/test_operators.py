@@ -220,6 +220,30 @@ def test_sharding_splits_only_what_is_over(docs):
     assert {r.shard_id for r in sharding.shard(docs, 1 << 40).collect()} == {""}
 
 
+def test_langid_long_texts_in_stretches(spark, docs):
+    """A text in stretches has the n-grams it has in one piece, and as much memory as one stretch."""
+    import resource
+
+    rng = random.Random(9)
+    for n in (1, 5, 63, 64, 65, 200, 1000):
+        text = "".join(rng.choice("ab É3ΣσİÄ\n") for _ in range(n))
+        ((_, _, whole, _, letters, _),) = langid._grams([text])
+        parts = list(langid._grams(["x", text, "yz"], 64))
+        own = [p for p in parts if p[0] == 1 or (p[0] == 0 and p[1] > 1)]
+        if n > 64:
+            assert all(p[1] == 1 for p in own) and [p[5] for p in own] == [True] * (len(own) - 1) + [False]
+            assert sum(int(p[4][0]) for p in own) == letters[0]
+            got = sum(np.bincount(p[2].ravel(), minlength=langid.BUCKETS + 1)[: langid.BUCKETS] for p in own)
+            assert (got == np.bincount(whole.ravel(), minlength=langid.BUCKETS + 1)[: langid.BUCKETS]).all()
+    model = langid.fit(docs.filter(langid.training()))
+    long = " ".join(r.text for r in docs.filter("lang is not null and text is not null").orderBy("lang", "doc_id").limit(40).collect())
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    alone = model.predict([long[:500_000]])
+    many = model.predict([long[:500_000] * 40])
+    assert alone[0] == many[0] and alone[1] == pytest.approx(many[1], abs=1e-3)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
 def test_sharding_repeated_ids_and_hard(spark, hard, empty):
     hot = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("x" * 50).alias("text"))
     check_shards(sharding.shard(hot, 1000).collect(), 1000)
@@ -229,9 +253,16 @@ def test_sharding_repeated_ids_and_hard(spark, hard, empty):
         sharding.shard(hard, 0)
 
 
-def test_sharding_writes(spark, docs, tmp_path):
-    sharding.write_shards(docs, sharding.shard(docs, 100_000), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+def test_sharding_writes(spark, docs, hard, tmp_path):
+    """Exactly the input rows, null and repeated ids included, whether in many shards or in one."""
+    few = spark.createDataFrame([(1, "a"), (2, "bb"), (2, "bb"), (None, "c"), (None, None)], "doc_id long, text string")
+    for k, (table, limit) in enumerate(((docs, 100_000), (few, 2), (few, 1000), (hard, 64))):
+        path = str(tmp_path / str(k))
+        sharding.write_shards(table, limit, path)
+        back = spark.read.parquet(path)
+        assert collections.Counter(map(str, back.select(table.columns).collect())) == collections.Counter(map(str, table.collect()))
+        sizes = [(r.b, r.n) for r in back.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b"), F.count("*").alias("n")).collect()]
+        assert all(b <= limit or n == 1 for b, n in sizes)
 
 
 # tokens and packing --------------------------------------------------------------------
@@ -428,7 +459,7 @@ def test_language_order_of_rows_is_no_matter():
 
 def test_language_ngrams_do_not_span_texts():
     def grams(texts):
-        ((_, n, grams, starts, _),) = langid._grams(texts)
+        ((_, n, grams, starts, _, _),) = langid._grams(texts)
         ends = [*starts[1:], grams.shape[1]]
         return [[sorted(g[b:e][g[b:e] < langid.BUCKETS]) for g in grams] for b, e in zip(starts, ends, strict=True)]
 
@@ -445,7 +476,7 @@ def test_language_decoding_by_hand():
     m = langid.Model(names, code, rng.normal(size=(langid.BUCKETS + 1, code.shape[1])).astype(np.float32), rng.uniform(0.1, 1, code.shape))
     m.weights[langid.BUCKETS] = 0
     for text in ("the cat", "\u00e9t\u00e9 1 x", "q"):
-        ((_, _, grams, _, _),) = langid._grams([text])
+        ((_, _, grams, _, _, _),) = langid._grams([text])
         known = [int(g) for row in grams for g in row if g < langid.BUCKETS]
         margin = [sum(float(m.weights[g, j]) for g in known) / len(known) for j in range(code.shape[1])]
         total = sum(map(sum, m.worth.tolist()))
@@ -638,6 +669,22 @@ def test_pii_field_finds_what_patterns_miss():
     assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
 
 
+def test_pii_entities_at_window_edges_are_whole():
+    """A spelt address is found whole or not at all, however long its parts are; numbers of tokens bound it, not characters."""
+    w = pii.train()
+    for local, host in (("x" * 200, "mail dot example dot com"), ("a" * 91, "example(dot)org"), ("kim", "y" * 300 + " dot com"), ("q" * 5000, "mail dot net")):
+        text = f"please write to {local} (at) {host} today"
+        spans = [text[b:e] for k, b, e in pii.find(text, w)[1] if k == 0]
+        assert all(s.startswith(local) and s.endswith(host[-3:]) for s in spans), spans
+        assert spans
+    text = "-".join(["a"] * 60) + " (at) example (dot) com"
+    assert not [s for s in pii.find(text, w)[1] if s[0] == 0]
+    for n in (0, 1, 39, 40, 41, 200):
+        text = "b." * n + "5" + " c" * n
+        low, high = pii.widened(text, 2 * n, 2 * n + 1)
+        assert len(pii._TOKEN.findall(text[low : 2 * n])) == min(2 * n, pii.MOST_TOKENS) and len(pii._TOKEN.findall(text[2 * n + 1 : high])) == min(2 * n, pii.MOST_TOKENS)
+
+
 def test_pii_marginals_and_best_path_by_enumeration():
     rng = random.Random(1)
     for _ in range(50):
@@ -668,7 +715,7 @@ def test_pii_best_segmentation_by_enumeration():
             for s in scored:
                 ways += [x + [s] for x in ways if all(s[0] >= o[1] or s[1] <= o[0] for o in x)]
             best = max(sum(s[3] for s in x) for x in ways)
-            low, high = max(0, begin - 64), min(len(text), end + 64)
+            low, high = pii.widened(text, begin, end)
             own = [(k, b, e) for k, b, e in pii.decode(text[low:high], w)]
             value = {(k, edges[i] - low, edges[j] - low): s for i, j, k, s in scored}
             if all(s in value for s in own) and len(list(pii.windows(text[low:high]))) == 1:
