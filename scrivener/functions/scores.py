@@ -50,7 +50,7 @@ def text_quality(text: Column) -> Column:
 
 
 #: Words that a scanned page of this kind has.
-PAGE_TERMS = "experience education skills summary projects certifications languages contact profile".split()
+PAGE_TERMS = ("experience", "education", "skills", "summary", "projects", "certifications", "languages", "contact", "profile")
 
 
 def scan_score(text: Column) -> Column:
@@ -135,9 +135,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 #: Words that confirm a section.
 CONFIRMING = {
-    "skills": "python java javascript react angular vue node django flask aws azure gcp docker".split(),
-    "education": "bachelor master phd university college degree".split(),
-    "experience": "company engineer developer manager experience years".split(),
+    "skills": ("python", "java", "javascript", "react", "angular", "vue", "node", "django", "flask", "aws", "azure", "gcp", "docker"),
+    "education": ("bachelor", "master", "phd", "university", "college", "degree"),
+    "experience": ("company", "engineer", "developer", "manager", "experience", "years"),
 }
 
 

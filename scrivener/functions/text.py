@@ -62,6 +62,11 @@ def clean_line(x: Column) -> Column:
     return F.btrim(F.regexp_replace(clean_multiline(x), r"(?U)\s+", " "), F.lit(" -|,;:"))
 
 
+def tidy(x: Column) -> Column:
+    """White space collapsed, signs off both ends: all that a part of a clean line needs."""
+    return F.btrim(F.regexp_replace(text_or_empty(x), r"\s+", " "), F.lit(" -|,;:"))
+
+
 def split_items(x: Column) -> Column:
     """Items between line ends, commas, semicolons, bars and slashes."""
     parts = F.transform(F.split(clean_line(x), r"[\n,;|/]+"), lambda s: F.btrim(s, F.lit(" -|,;:")))

@@ -75,7 +75,7 @@ def parse_education(rows: DataFrame) -> DataFrame:
 #: Technologies and hosts of projects, issuers of certificates.
 TECHNOLOGIES = r"(?i)\b(python|java|javascript|react|angular|vue|node|django|flask|mongodb|mysql|postgresql|aws|azure|gcp|docker|kubernetes)\b"
 PROJECT_HOSTS = r"(?i)(github\.com|gitlab\.com|heroku\.com|aws\.amazon\.com|bitbucket\.org)[^\s]*"
-ISSUERS = "aws azure google microsoft oracle salesforce scrum pmi".split()
+ISSUERS = ("aws", "azure", "google", "microsoft", "oracle", "salesforce", "scrum", "pmi")
 
 
 def parse_projects(rows: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def isolated_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 #: Order of the blocks of a rewritten full text.
-FULL_ORDER = "name contact summary skills experience education projects certifications awards languages interests references".split()
+FULL_ORDER = ("name", "contact", "summary", "skills", "experience", "education", "projects", "certifications", "awards", "languages", "interests", "references")
 
 
 def full_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

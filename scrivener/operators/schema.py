@@ -22,7 +22,7 @@ V1 = {
     "projects": f"array<{PROJECT}>", "volunteer_experience": f"array<{VOLUNTEER}>", "custom_sections": f"array<{CUSTOM}>",
 }
 #: Sections that have a field of their own.
-MAPPED = "name email phone contact summary skills education experience projects volunteer links text raw_text".split()
+MAPPED = ("name", "email", "phone", "contact", "summary", "skills", "education", "experience", "projects", "volunteer", "links", "text", "raw_text")
 
 
 def section_map(sections: DataFrame) -> DataFrame:

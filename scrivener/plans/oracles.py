@@ -442,7 +442,7 @@ select doc_id, (select string_agg(upper(w[1]) || lower(w[2:]), ' ') from (select
 select doc_id, a || ' ' || b as name, round(least(case when doc_id % 5 = 1 then 0.85::double else 0.9::double end + ((a = 'Mara')::int + (b = 'Brook')::int) / 2.0::double * 0.35::double, 1.0::double), 2) as confidence,
   case when doc_id % 5 = 1 then 'heuristic' else 'regex' end as method from n""",
         "res_full_text": f"""with {_REBUILT}, {_ISLANDS}, fb as (select doc_id, section, min(idx) as first, case when section is null then '' else upper(section) || chr(10) end || string_agg(line, chr(10) order by idx) as block from ri where head is null and line <> '' group by doc_id, section),
-fr as (select *, case when section is null then 0 else coalesce(nullif(list_position({FULL_ORDER!r}, section), 0), 99) end as rank from fb)
+fr as (select *, case when section is null then 0 else coalesce(nullif(list_position({list(FULL_ORDER)!r}, section), 0), 99) end as rank from fb)
 select doc_id, string_agg(block, chr(10) || chr(10) order by rank, first) as text, 0.95::double as confidence from fr group by doc_id""",
         "res_accuracy": f"""with a as ({" union all ".join(f"select confidence, doc_id from ({x})" for x in (*map(section_sql, SECTIONS), _skills(), _SUMMARY, _contacts()))})
 select doc_id, coalesce(round(round(avg(confidence) filter (confidence > 0) * 100, 6), 2), 0.0::double) as accuracy from a group by doc_id""",

@@ -380,7 +380,7 @@ def res_parse(spark, sf):
 @query
 def res_native_payload(spark, sf):
     docs = resume_text(spark, sf)
-    natives = mapper.native_payload(mapper.structured_output(docs, documents.all_sections(docs)))
+    natives = mapper.native_payload(mapper.structured_output(docs, documents.section_table(docs)))
     return natives.select("doc_id", "native")
 
 
@@ -388,7 +388,7 @@ def res_native_payload(spark, sf):
 def res_builder_mapped(spark, sf):
     """The builder records of all documents, through the mapper."""
     docs = resume_text(spark, sf)
-    return documents.builder_records(docs, documents.all_sections(docs))
+    return documents.builder_records(docs, documents.section_table(docs))
 
 
 @query
@@ -403,7 +403,7 @@ def res_accuracy(spark, sf):
 
 def _records(spark, sf):
     docs = resume_text(spark, sf)
-    return documents.records(docs, documents.resolve(documents.all_sections(docs), lines.isolated_sections(docs)))
+    return documents.records(docs, documents.resolve(documents.section_table(docs), lines.isolated_sections(docs)))
 
 
 @query
