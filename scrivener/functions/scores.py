@@ -15,6 +15,11 @@ def clamp(x: Column) -> Column:
     return F.round(F.least(F.greatest(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
 
 
+def hundredths(x: Column) -> Column:
+    """To two decimals by the number as it is: 0.575 is a little below the half, and F.round would take its digits instead."""
+    return F.round(x * 100) / 100
+
+
 def share(count: Column, full: float, weight: float) -> Column:
     return F.least(count / float(full), F.lit(1.0)) * weight
 
@@ -44,7 +49,7 @@ def text_quality(text: Column) -> Column:
         words = F.size(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)))
         errors = F.regexp_count(t, F.lit(DAMAGE[0])) + F.regexp_count(t, F.lit(DAMAGE[1]))
         total = share(F.length(stripped), 1000, 0.4) + share(words, 200, 0.3) + F.greatest(1.0 - errors / 100.0, F.lit(0.0)) * 0.3
-        return F.when(stripped == "", 0.0).otherwise(F.round(total, 2))
+        return F.when(stripped == "", 0.0).otherwise(hundredths(total))
 
     return let(text_or_empty(text), score)
 

@@ -58,6 +58,12 @@ def test_entities(value):
     assert value(entities.is_email, "a@b.co", "not-an-email") == [True, False] and value(entities.is_phone, "82.5%", "+1 555 123 4567") == [False, True]
 
 
+def test_quality_just_below_a_half_is_rounded_down(value):
+    """410 characters in 74 words: 0.164 + 0.111 + 0.3 is 0.575 in digits, and less than that as a number."""
+    text = " ".join(["abcd"] * 73 + ["a" * 45])
+    assert len(text) == 410 and value(scores.text_quality, text) == [0.57]
+
+
 def test_scores(spark, value):
     assert value(scores.clamp, 1.5, -1.0, None, 0.12345, kind="double") == [1.0, 0.0, 0.0, 0.1235]
     assert value(scores.text_quality, "", None, "a b c") == [0.0, 0.0, 0.31]
