@@ -105,8 +105,8 @@ def is_education_line(x: Column) -> Column:
 
 def is_skill_line(x: Column) -> Column:
     """Two or more of the skills, and nothing of education."""
-    known = F.filter(F.array(*map(F.lit, SKILLS)), lambda s: F.contains(F.lower(x), s))
-    return ~is_education_line(x) & (F.size(known) >= 2)
+    known = lambda low: F.filter(F.array(*map(F.lit, SKILLS)), lambda s: F.contains(low, s))
+    return let(F.lower(x), lambda low: F.when(low.rlike(any_word(SKILLS)), ~is_education_line(x) & (F.size(known(low)) >= 2)).otherwise(False))
 
 
 def is_heading(x: Column) -> Column:
@@ -130,7 +130,8 @@ def skills(docs: DataFrame) -> DataFrame:
             pieces = F.when(F.size(bars) >= 3, bars).when((F.size(commas) >= 3) & ~x.rlike(r"20\d{2}|19\d{2}"), commas)
             named = F.transform(F.coalesce(pieces, F.array().cast("array<string>")), lambda p: F.trim(p))
             good = lambda p: (F.length(p) >= 2) & (F.array_contains(known, F.lower(p)) | F.lower(p).rlike(any_word(SKILLS)))
-            return F.when((x == "") | is_education_line(x) | contact | role, F.array().cast("array<string>")).otherwise(F.filter(named, good))
+            none = F.array().cast("array<string>")
+            return F.when(~x.rlike(r"(?s)\|.*\||,.*,"), none).when(is_education_line(x) | contact | role, none).otherwise(F.filter(named, good))  # most lines have no two bars or commas
 
         return of
 
@@ -146,7 +147,7 @@ def _study(x: Column) -> Column:
     field, year = F.trim(F.regexp_extract(x, DEGREE_START, 2)), F.regexp_extract(x, STUDY_YEAR, 1)
     skip = (x == "") | x.rlike("^[-•]") | F.lower(x).rlike(any_word((*ROLE_WORDS, "architect"))) | is_skill_line(x)
     entry = F.concat_ws(" ", F.upper(F.regexp_extract(x, DEGREE_START, 1)), F.nullif(field, F.lit("")), F.concat(F.lit("("), year, F.lit(")")))
-    return F.when(~skip & x.rlike(DEGREE_START) & (year != ""), entry)
+    return F.when(x.rlike(DEGREE_START) & (year != "") & ~skip, entry)  # what settles most lines comes first
 
 
 def education(docs: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def experience(docs: DataFrame) -> DataFrame:
         bars = F.transform(F.split(x, r"\|"), lambda p: F.trim(p))
         listed = (F.size(F.split(x, ",")) >= 3) & ~F.lower(x).rlike(any_word(("engineer", "developer", "manager")))
         fits = F.get(bars, F.lit(0)).rlike(TITLE) | F.element_at(bars, F.lit(-1)).rlike(JOB_YEAR)
-        return F.when((x != "") & ~is_skill_line(x) & ~is_education_line(x) & ~listed & (F.size(bars) >= 2) & fits, F.array_join(bars, " | "))
+        return F.when(x.contains("|") & (F.size(bars) >= 2) & fits & ~listed & ~is_education_line(x) & ~is_skill_line(x), F.array_join(bars, " | "))  # what settles most lines comes first
 
     def bullet(x: Column) -> Column:
         action = F.trim(F.regexp_replace(x, "^[-•]+", ""))
