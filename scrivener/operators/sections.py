@@ -291,6 +291,13 @@ def _one_of(words: Sequence[str]) -> str:
     return "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-").replace("\\&", "&") for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
+def _any_word(patterns: Sequence[str]) -> str:
+    """One pattern for all: those between word boundaries share theirs, so that nothing is tried inside a word."""
+    inner = [p[2:-2] for p in patterns if p.startswith(r"\b") and p.endswith(r"\b")]
+    rest = [p for p in patterns if not (p.startswith(r"\b") and p.endswith(r"\b"))]
+    return "|".join(([rf"\b(?:{'|'.join(inner)})\b"] if inner else []) + rest)
+
+
 def header_pattern(s: Section) -> tuple[str, str, str]:
     """(exact, prefix, inner) patterns over the lower-cased line."""
     any_ = _one_of(s.headers)
@@ -323,29 +330,47 @@ def keeps(line: Column, s: Section) -> Column:
     return test & F.lower(line).rlike(s.only) if s.only else test
 
 
-def capture(lines: Column, s: Section, lows: Column | None = None) -> Column:
+def marks(lows: Column, sections: Sequence[Section]) -> Column:
+    """Array of (i, low): the lines in lower case that may head or end one of the sections, with their places; asked once for all.
+
+    A line without any of their words in front, or a header's word behind a sign, does neither.
+    """
+    front, inner = _one_of([w for s in sections for w in (*s.headers, *s.stops)]), _one_of([w for s in sections if s.inner for w in s.headers])
+    most = max(s.inner for s in sections)
+    may = lambda low: low.rlike(f"^(?:{front})") | ((F.length(low) < most) & low.rlike(f"[ :-](?:{inner})")) if most else low.rlike(f"^(?:{front})")
+    return F.filter(F.transform(lows, lambda low, i: F.when(may(low), F.struct(i.alias("i"), low.alias("low")))), lambda r: r.isNotNull())
+
+
+def capture(lines: Column, s: Section, marked: Column | None = None) -> Column:
     """The kept lines between the first header and the first stop after it; further headers are skipped.
 
-    lows: the lines in lower case, if they are at hand. Of a document without the header nothing but headers is looked for.
+    marked: ``marks`` of the lines, if they are at hand. Only they are looked at for the header and for a stop that begins a
+    line, and only what stands between is looked at line by line.
     """
     begins, contains = stop_pattern(s)
-    lows = F.transform(lines, lambda x: F.lower(x)) if lows is None else lows
+    marked = marks(F.transform(lines, lambda x: F.lower(x)), [s]) if marked is None else marked
     last = F.lit(1 << 30)
     first = lambda rows, test: F.get(F.filter(rows, test), F.lit(0))["i"]
 
     def flags(x: Column, i: Column) -> Column:
         low, head = F.lower(x), is_header(x, s)
-        soft = (F.length(x) < s.contains) & low.rlike(contains) if s.contains else F.lit(False)
-        return F.struct(i.alias("i"), x.alias("x"), (~head & low.rlike(begins)).alias("stop"), (~head & soft).alias("soft"), (~head & keeps(x, s)).alias("keep"))
+        soft = (F.length(x) < s.contains) & low.rlike(contains) & ~head if s.contains else F.lit(False)
+        return F.struct(i.alias("i"), x.alias("x"), soft.alias("soft"), (keeps(x, s) & ~head).alias("keep"))
 
     def inside(rows: Column) -> Column:
-        begun = F.coalesce(first(rows, lambda r: r["keep"]), last) if s.contains and not s.loose else F.lit(-1)
-        stop = lambda b: F.coalesce(first(rows, lambda r: r["stop"] | (r["soft"] & (r["i"] > b))), last)
-        return let(let(begun, stop), lambda end: F.transform(F.filter(rows, lambda r: (r["i"] < end) & r["keep"]), lambda r: r["x"]))
-
-    after = lambda h: F.when(h.isNotNull(), let(F.transform(F.slice(lines, F.coalesce(h, F.lit(0)) + 2, F.size(lines)), flags), inside))
-    head = F.get(F.filter(F.transform(lows, lambda low, i: F.when(_is_header(low, s), i)), lambda i: i.isNotNull()), F.lit(0))
-    kept = let(let(head, after), lambda a: F.coalesce(a, F.array().cast("array<string>")))
+        kept = lambda rows: F.transform(F.filter(rows, lambda r: r["keep"]), lambda r: r["x"])
+        if not s.contains:
+            return kept(rows)
+        begun = F.coalesce(first(rows, lambda r: r["keep"]), last) if not s.loose else F.lit(-1)
+        stop = lambda b: F.coalesce(first(rows, lambda r: r["soft"] & (r["i"] > b)), last)
+        return let(let(begun, stop), lambda end: kept(F.filter(rows, lambda r: r["i"] < end)))
+
+    def between(h: Column) -> Column:
+        end = F.coalesce(first(marked, lambda r: (r["i"] > h) & r["low"].rlike(begins) & ~_is_header(r["low"], s)), F.size(lines))
+        return let(F.transform(F.slice(lines, h + 2, F.greatest(end - h - 1, F.lit(0))), flags), inside)
+
+    head = first(marked, lambda r: _is_header(r["low"], s))
+    kept = let(let(head, lambda h: F.when(h.isNotNull(), between(F.coalesce(h, F.lit(0))))), lambda a: F.coalesce(a, F.array().cast("array<string>")))
     if s.distinct == "cs":
         return F.array_distinct(kept)
     if s.distinct == "ci":
@@ -356,15 +381,16 @@ def capture(lines: Column, s: Section, lows: Column | None = None) -> Column:
 def by_keywords(lines: Column, s: Section) -> Column:
     """The lines with a keyword and what may introduce them, distinct up to case."""
 
+    stops = "|".join(re.escape(w) for w in s.stops)
+
     def pick(x: Column, i: Column) -> Column:
         previous = F.get(lines, i - 1)
-        stops = "|".join(re.escape(w) for w in s.stops)
         words = F.size(F.regexp_extract_all(previous, F.lit(r"\S+"), F.lit(0)))
         leads = (i > 0) & (previous != "") & (F.length(previous) < s.before) & ~F.lower(previous).rlike(stops) & (words <= s.words)
-        hit = F.lower(x).rlike("|".join(s.keywords))
-        return F.when(hit & F.coalesce(leads, F.lit(False)), F.array(previous, x)).when(hit, F.array(x)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.coalesce(leads, F.lit(False)), F.array(previous, x)).otherwise(F.array(x))
 
-    return distinct_ci(F.flatten(F.transform(lines, pick)))
+    hits_at = F.filter(F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(_any_word(s.keywords)), i)), lambda i: i.isNotNull())
+    return distinct_ci(F.flatten(F.transform(hits_at, lambda i: pick(F.get(lines, i), i))))
 
 
 def confidence(text: Column, s: Section) -> Column:
@@ -383,10 +409,10 @@ def extract_sections(docs: DataFrame, sections: Sequence[Section] = SECTIONS, id
     Null and empty texts have no sections. One scan, no shuffle.
     """
     lines = F.transform(lines_of(F.col(text_col)), lambda x: strip(x))
-    found = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"), F.transform(lines, lambda x: F.lower(x)).alias("_lows"))
+    found = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines")).withColumn("_marks", marks(F.transform("_lines", lambda x: F.lower(x)), sections))
 
     def text(s: Section) -> Column:
-        own = capture(F.col("_lines"), s, F.col("_lows"))
+        own = capture(F.col("_lines"), s, F.col("_marks"))
         return F.array_join(let(own, lambda a: F.when(F.size(a) > 0, a).otherwise(by_keywords(F.col("_lines"), s))) if s.keywords else own, "\n")
 
     each = F.array(*[F.struct(F.lit(s.name).alias("section"), text(s).alias("text")) for s in sections])

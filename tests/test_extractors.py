@@ -141,3 +141,20 @@ def test_readers_by_key(spark):
     f = spark.createDataFrame(rows, "resume_id long, field_name string, timestamp string, status string")
     assert [r.field_name for r in feedback.of_resume(f, 1).collect()] == ["email", "name"] and [r.resume_id for r in feedback.of_field(f, "name").collect()] == [1, 2]
     assert feedback.count_samples(f) == 3 and feedback.count_samples(f, "approved") == 2
+
+
+def test_lines_are_marked_once_for_all_sections(spark):
+    """Only lines with a header's or stop's word in front, or a header's word behind a sign, are looked at again; a section of one's own has its own words."""
+    from dataclasses import replace
+
+    lines = ["some prose", "awards and prizes", "Won a medal", "my skills: many", "plain", "qux words", "inside", "end here"]
+    lows = F.array(*map(F.lit, lines))
+    got = spark.range(1).select(sections.marks(lows, sections.SECTIONS).alias("m")).first().m
+    assert [r.i for r in got] == [1]
+    own = replace(sections.BY_NAME["awards"], name="own", headers=("qux",), stops=("end",), keywords=(), inner=0)
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    assert [(r.section, r.text) for r in sections.extract_sections(docs, [own]).collect()] == [("own", "inside")]
+
+
+def test_keywords_share_their_word_boundary():
+    assert sections._any_word((r"\bab\b", r"\b(c|d)\b", "ef")) == r"\b(?:ab|(c|d))\b|ef"
