@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,16 +71,29 @@ def allowed_tail(tail: Column) -> Column:
     return (tail == "") | tail.rlike(rf"^[\s/&]*(?:{TAIL_WORDS})(?:[\s/&]+(?:{TAIL_WORDS}))?[\s/&]*$")
 
 
+def _shorter(alias: str) -> list[str]:
+    """The alias without a tail that allowed_tail takes."""
+    parts = alias.split(" ")
+    tail = rf"[\s/&]*(?:{TAIL_WORDS})(?:[\s/&]+(?:{TAIL_WORDS}))?[\s/&]*"
+    return [" ".join(parts[:-k]) for k in range(1, min(TAIL_PARTS, len(parts) - 1) + 1) if re.fullmatch(tail, " ".join(parts[-k:]))]
+
+
 #: First words of the aliases: a line that begins otherwise is no heading, and nothing more is asked about it.
 _FIRST = sorted({alias.split(" ")[0] for words in ALIASES.values() for alias in words})
 _ALL = sorted({alias for words in ALIASES.values() for alias in words})
+#: The aliases as they are, by the section that each heads: that of itself or of what is left of it without tail words.
+_HEADED_BY = {
+    alias: next(name for name, words in ALIASES.items() if any(head in words for head in [alias, *_shorter(alias)])) for alias in _ALL
+}
+#: What a line that heads a section begins with, before it is made normal: signs, and the first word of an alias to its end.
+_POSSIBLE = rf"[[\P{{L}}â]&&[^\n]]*+(?:{'|'.join(_FIRST)})(?![\p{{L}}&&[^â]])"
 
 
 def canonical(line: Column) -> Column:
     """The section that the line heads, or null.
 
     Hashed set look-ups: the whole line, or the line without a tail of a few words. No join is needed. Most lines are
-    settled by their first word, and sections are told apart only where one of all aliases has been found.
+    settled by their first word as it stands, and sections are told apart only where one of all aliases has been found.
     """
 
     def heads_of(p: Column, normal: Column) -> Column:
@@ -98,7 +113,16 @@ def canonical(line: Column) -> Column:
         possible = F.substring_index(normal, " ", 1).isin(*_FIRST) & ~is_noise(normal)
         return F.when(possible, let(F.split(normal, " "), lambda p: let(heads_of(p, normal), named)))
 
-    return let(normalize_line(line), section)
+    def plain(low: Column) -> Column:
+        return F.coalesce(*[F.when(low.isin(*[a for a in _ALL if _HEADED_BY[a] == name]), name) for name in ALIASES])
+
+    known = let(F.btrim(F.lower(line), F.lit("-*.:;|_ ")), plain)  # most headings are an alias and signs, and need no more
+    return F.when(line.rlike(f"(?iU)^{_POSSIBLE}"), F.coalesce(known, let(normalize_line(line), section)))
+
+
+def parts(text: Column) -> Column:
+    """The text as an array of parts; every line that may be a heading begins one, what follows it stands in it."""
+    return F.split(text, rf"(?iU)\n(?={_POSSIBLE})")
 
 
 def key_of(line: Column) -> Column:
@@ -130,7 +154,8 @@ def looks_like_heading(line: Column) -> Column:
 
 def is_continuation(previous: Column, line: Column) -> Column:
     """The line goes on with the one before; only the end of that one matters."""
-    joins = previous.endswith("-") | line.rlike(r"^\p{Ll}") | line.rlike("^(?:and|or|with|to|for|in) ")
+    # no lower-case letter comes before a, and the words that join (and, or, with, to, for, in) begin with one
+    joins = previous.endswith("-") | ((line >= "a") & line.rlike(r"^\p{Ll}"))
     capitals = line.rlike(r"^[A-Z][A-Z ]+$") & (F.length(line) < 36)
     # cheap tests first: few lines are left to be looked up as headings
     possible = (previous != "") & (line != "") & joins & ~line.startswith("- ") & ~line.rlike(r"^(19|20)\d{2}") & ~capitals & ~previous.endswith(":")

@@ -13,9 +13,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: All characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """Without white space at both ends, whatever its kind."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, whatever its kind. Most lines begin and end with a visible ASCII sign, and are left alone."""
+    last = F.substring(x, -1, 1)
+    return F.when((x >= "!") & (x < "\x7f") & (last >= "!") & (last < "\x7f"), x).otherwise(F.btrim(x, F.lit(WHITE)))
 
 
 def text_or_empty(x: Column) -> Column:
@@ -95,7 +100,7 @@ NOISE = ("â€¢", "•", "◦", "●", "▪", "â€“", "â€”", "–", "
 def normalize_document(x: Column) -> Column:
     """Line ends, bullets and dashes unified; tabs and runs of blanks as one blank."""
     t = F.regexp_replace(text_or_empty(x), r"\r\n?", "\n")
-    t = F.regexp_replace(t, "|".join(NOISE), "-")
+    t = let(t, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, "|".join(NOISE), "-")))  # all of them are beyond ASCII
     return F.regexp_replace(F.replace(t, F.lit("\t"), F.lit(" ")), r"[ ]{2,}", " ")
 
 
@@ -105,5 +110,40 @@ def bullet_line(x: Column) -> Column:
     return F.regexp_replace(t, r"^-\s{2,}", "- ")
 
 
+def bullet_lines(x: Column) -> Column:
+    """As bullet_line, of every line of a text whose lines end in ``\\n``: a text is gone through once, not each line again."""
+    other = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    t = F.regexp_replace(x, f"[{other}][ {other}]*| [ {other}]+", " ")
+    t = F.trim(F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
+    return F.regexp_replace(t, r"(?m)^[\u2022\-\*\u25CF\u25E6]+ *", "- ")
+
+
+def first_of(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items of an array whose key has not come before, in their order; those with an empty key stay.
+
+    Copies are found by sorting, so a long array costs no pass for each of its items.
+    """
+
+    def keep(a: Column, keys: Column) -> Column:
+        ranked = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        first = lambda s: F.transform(s, lambda r, n: F.when((n == 0) | (r["k"] == "") | (F.get(s, n - 1)["k"] != r["k"]), r["i"]))
+        at = F.sort_array(F.filter(let(ranked, first), lambda i: i.isNotNull()))
+        full = F.filter(keys, lambda k: k != "")
+        return F.when(F.size(F.array_distinct(full)) == F.size(full), a).otherwise(F.transform(at, lambda i: F.get(a, i)))
+
+    return let(items, lambda a: let(F.transform(a, key), lambda keys: keep(a, keys)))
+
+
+def places(items: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """Where in the array (from 0) the items stand for which test(item, place) holds."""
+    return F.filter(F.transform(items, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+
+
+def sessions(items: Column, starts: Callable[[Column, Column], Column]) -> Column:
+    """The parts of the array that begin where starts(item, place) holds, as arrays; what stands in front of the first goes."""
+    part = lambda a, at: F.transform(at, lambda i, n: F.slice(a, i + 1, F.coalesce(F.get(at, n + 1), F.size(a)) - i))
+    return let(items, lambda a: let(places(a, starts), lambda at: part(a, at)))
+
+
 def preview(x: Column, most: int = 500) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)

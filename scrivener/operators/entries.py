@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let, lines_of, sessions, strip
 from ..functions.text import title as title_case
 from .lines import doc_order, lines
 
@@ -55,21 +56,28 @@ def parse_education(rows: DataFrame) -> DataFrame:
 
     The first years count, and the last school and grade; entries with none of the fields go.
     """
-    marked = lines(rows).withColumn("level", degree_level(F.col("line")))
-    begins = F.col("level").isNotNull() | (F.lag("line", 1, "").over(doc_order()) == "")
-    numbered = marked.withColumn("begins", begins.cast("int")).withColumn("entry", F.sum("begins").over(doc_order()))
-    plain = F.col("level").isNull()
-    years = F.regexp_extract_all("line", F.lit(YEAR), F.lit(0))
-    at = F.col("line_no")
-    school = plain & F.lower("line").rlike("university|college|institute|school|academy")
-    grade = plain & (F.lower("line").rlike("gpa|grade") | F.col("line").contains("%"))
-    has_years = plain & (F.size(years) > 0)
-    found = numbered.filter("line <> ''").groupBy("doc_id", "entry").agg(
-        F.max(F.when(~plain, F.col("line"))).alias("degree"), F.max("level").alias("level"), F.min_by(F.when(has_years, F.array_join(years, " - ")), F.when(has_years, at)).alias("year"),
-        F.max_by(F.when(school, F.col("line")), F.when(school, at)).alias("institution"), F.max_by(F.when(grade, F.col("line")), F.when(grade, at)).alias("grade"),
-    )
-    found = found.filter(F.coalesce("degree", "year", "institution", "grade").isNotNull())
-    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("entry")).alias("entry_no"), "degree", "level", "year", "institution", "grade")
+
+    def facts(raw: Column) -> Column:
+        x = strip(raw)
+        return let(x, lambda x: F.struct(x.alias("line"), degree_level(x).alias("level"), F.lower(x).alias("low"), F.regexp_extract_all(x, F.lit(YEAR), F.lit(0)).alias("years")))
+
+    def entry(part: Column) -> Column:
+        of = lambda test: F.filter(part, lambda r: test(r) & (r["line"] != ""))
+        plain = lambda test: of(lambda r: r["level"].isNull() & test(r))
+        last = lambda rows: F.get(rows, F.size(rows) - 1)["line"]
+        best = lambda c: F.array_max(F.transform(of(lambda r: r["level"].isNotNull()), lambda r: r[c]))
+        return F.struct(
+            best("line").alias("degree"), best("level").alias("level"), F.array_join(F.get(plain(lambda r: F.size(r["years"]) > 0), F.lit(0))["years"], " - ").alias("year"),
+            let(plain(lambda r: r["low"].rlike("university|college|institute|school|academy")), last).alias("institution"),
+            let(plain(lambda r: r["low"].rlike("gpa|grade") | r["line"].contains("%")), last).alias("grade"),
+        )
+
+    def begins(a: Column):
+        return lambda r, i: r["level"].isNotNull() | (F.coalesce(F.get(a, i - 1)["line"], F.lit("")) == "")
+
+    every = let(F.transform(lines_of(F.col("text")), facts), lambda a: F.transform(sessions(a, begins(a)), entry))
+    found = F.filter(every, lambda e: F.coalesce(e["degree"], e["year"], e["institution"], e["grade"]).isNotNull())
+    return rows.select("doc_id", F.posexplode(found).alias("at", "e")).select("doc_id", (F.col("at") + 1).alias("entry_no"), "e.*")
 
 
 #: Technologies and hosts of projects, issuers of certificates.
@@ -98,10 +106,11 @@ def parse_projects(rows: DataFrame) -> DataFrame:
 
 def parse_certifications(rows: DataFrame) -> DataFrame:
     """doc_id, entry_no, name, year, issuer: a record for each line; the last issuer of the list that it names counts."""
-    full = lines(rows).filter("line <> ''")
+    every = F.filter(F.transform(lines_of(F.col("text")), lambda x: strip(x)), lambda x: x != "")
+    full = rows.select("doc_id", F.posexplode(every).alias("at", "line"))
     issuer = F.coalesce(*[F.when(F.lower("line").contains(i), i.title()) for i in reversed(ISSUERS)])
     year = F.nullif(F.regexp_extract("line", YEAR, 0), F.lit(""))
-    return full.select("doc_id", F.row_number().over(doc_order()).alias("entry_no"), F.col("line").alias("name"), year.alias("year"), issuer.alias("issuer"))
+    return full.select("doc_id", (F.col("at") + 1).alias("entry_no"), F.col("line").alias("name"), year.alias("year"), issuer.alias("issuer"))
 
 
 #: What tells titles, companies, dates and descriptions of jobs apart.

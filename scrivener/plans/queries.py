@@ -251,7 +251,7 @@ def res_full_text(spark, sf):
 
 
 def _isolated(spark, sf, name):
-    return lines.isolated_sections(resume_text(spark, sf)).filter(F.col("section") == name).select("doc_id", "text")
+    return lines.isolated_sections(resume_text(spark, sf), only=[name]).select("doc_id", "text")
 
 
 @query
